@@ -5,6 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from gleanery.llm import mixing, quality
+from gleanery.llm.packing import pack, pieces
 from gleanery.llm.token_counts import count_tokens
 
 
@@ -12,11 +14,33 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.clean_lines(documents(spark, sf_dir).select("doc_id", "text"), with_text=False)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+                      "n_failed_lines", "lost_chars")
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(pieces(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), size=1024, end_id=2), size=1024)
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = count_tokens(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
     return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
-QUERIES = {"op10_token_counts": op10_token_counts}
+QUERIES = {
+    "op2_quality_rules": op2_quality_rules,
+    "op5_best_fit_packing": op5_best_fit_packing,
+    "op9_mixing": op9_mixing,
+    "op10_token_counts": op10_token_counts,
+}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_quality_rules": quality.ORACLE_SQL,
+    "op9_mixing": mixing.ORACLE_SQL,
+}
