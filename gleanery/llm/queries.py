@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.llm import mixing, quality
+from gleanery.llm import langid, mixing, quality
 from gleanery.llm.packing import pack, pieces
 from gleanery.llm.token_counts import count_tokens
 
@@ -20,6 +20,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "n_failed_lines", "lost_chars")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang").withColumn("held_out", langid.is_held_out())
+    out = langid.identify(docs, langid.fit(docs.where("NOT held_out")))
+    return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), size=1024, end_id=2), size=1024)
 
@@ -35,6 +41,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_language_id": op3_language_id,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op9_mixing": op9_mixing,
     "op10_token_counts": op10_token_counts,
