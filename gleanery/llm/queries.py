@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gleanery.llm import langid, mixing, quality
+from gleanery.llm import hmm, langid, mixing, quality
 from gleanery.llm.packing import pack, pieces
 from gleanery.llm.token_counts import count_tokens
 
@@ -30,6 +31,11 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), size=1024, end_id=2), size=1024)
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return hmm.score(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -43,11 +49,13 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_language_id": op3_language_id,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_lm_scoring": op6_lm_scoring,
     "op9_mixing": op9_mixing,
     "op10_token_counts": op10_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": quality.ORACLE_SQL,
+    "op6_lm_scoring": op6_lm_scoring,
     "op9_mixing": mixing.ORACLE_SQL,
 }
