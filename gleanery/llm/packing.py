@@ -8,6 +8,7 @@ bins into one another, until one group is left.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -24,36 +25,61 @@ from gleanery.llm.common import small_batches, written
 class PieceEncoder(dict):
     """Token ids (bytes of little-endian unsigned 32-bit numbers) of space-separated parts, remembered.
 
-    The splitting pattern of byte-level vocabularies joins one space to the word behind it, so a text without
-    white space beside its single spaces has the tokens of its parts, each with its space; any other text, and
-    one that may hold a special string, is encoded whole.
+    The splitting pattern of byte-level vocabularies joins one space to the word behind it, so a text whose white
+    space is single spaces and line ends, none beside another, has the tokens of its parts, each with its space. A part
+    has in turn the tokens of what stands before, at and behind a line end, and of a word and the mark that closes it.
+    Any other text, and one that may hold a special string, is encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 600_000):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library, self.most = Tokenizer.from_file(path), most
         self.heads = sorted({t.content[:2] for t in self.library.get_added_tokens_decoder().values()})
+        self.odd = re.compile(r"[^\S\n ]|[\x1c-\x1f]").search
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def plain(self, text: str) -> bool:
+        return not ("  " in text or "\n " in text or " \n" in text or "\n\n" in text or text[-1:].isspace() or text[:1].isspace()
+                    or self.odd(text) or any(h in text for h in self.heads))
+
+    @staticmethod
+    def atoms(part: str) -> list[str]:
+        out = []
+        for i, x in enumerate(part.split("\n")):
+            if i:
+                out.append("\n")
+            if x[-1:] in ".,;:!?" and x[-2:-1].isalpha():
+                out += [x[:-1], x[-1]]
+            else:
+                out.append(x)
+        return out
+
     def batch(self, texts: list[str | None]) -> list[bytes]:
         split, alone = [], []
         for i, text in enumerate(texts):
-            parts = (text or "").split(" ")
-            parts[1:] = [" " + p for p in parts[1:]]
-            if text and (any(h in text for h in self.heads) or any(p[-1:].isspace() or p[p[:1] == " ":][:1].isspace() for p in parts)):
+            parts = []
+            if text and self.plain(text):
+                parts = text.split(" ")
+                parts[1:] = [" " + p for p in parts[1:]]
+            elif text:
                 alone.append(i)
-                parts = []
             split.append(parts)
         if len(self) >= self.most:
             self.clear()
-        missing = list(set().union(*split) - self.keys())
-        self.update(zip(missing, self.whole(missing), strict=True))
-        out = [b"".join(map(self.__getitem__, parts)) for parts in split]
+        missing = {p: self.atoms(p) for p in set().union(*split) - self.keys()}
+        new = list(set().union(*missing.values()) - self.keys())
+        self.update(zip(new, self.whole(new), strict=True))
+        brief = {}
+        for p, atoms in missing.items():
+            if len(atoms) > 1:
+                (self if len(atoms) == 2 else brief)[p] = b"".join([self[a] for a in atoms])
+        get = self.__getitem__
+        out = [b"".join([brief[p] if p in brief else get(p) for p in parts] if "\n" in (text or "") else map(get, parts)) for parts, text in zip(split, texts, strict=True)]
         for i in alone:
             out[i] = self.whole([texts[i]])[0]
         return out

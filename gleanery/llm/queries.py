@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import hmm, langid, mixing, quality
+from gleanery.llm import hmm, langid, line_dedup, mixing, quality
 from gleanery.llm.packing import pack, pieces
 from gleanery.llm.token_counts import count_tokens
 
@@ -15,6 +15,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.mark_lines(documents(spark, sf_dir), tau=2, min_chars=40)
+    return out.select("doc_id", "n_lines", "n_exact", "n_near", "n_kept", F.array_join("removed_lines", ",").alias("removed_lines"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.clean_lines(documents(spark, sf_dir).select("doc_id", "text"), with_text=False)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
@@ -46,6 +51,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op3_language_id": op3_language_id,
     "op5_best_fit_packing": op5_best_fit_packing,
@@ -55,6 +61,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": line_dedup.ORACLE_SQL,
     "op2_quality_rules": quality.ORACLE_SQL,
     "op6_lm_scoring": op6_lm_scoring,
     "op9_mixing": mixing.ORACLE_SQL,
