@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -21,6 +23,10 @@ from pyspark.sql import functions as F
 
 from gleanery.llm.common import small_batches, written
 
+#: Marks that are tokens apart from the letter before them.
+MARKS = (".", ",", ";", ":", "!", "?")
+LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
+
 
 class PieceEncoder(dict):
     """Token ids (bytes of little-endian unsigned 32-bit numbers) of space-separated parts, remembered.
@@ -39,9 +45,11 @@ class PieceEncoder(dict):
         self.library, self.most = Tokenizer.from_file(path), most
         self.heads = sorted({t.content[:2] for t in self.library.get_added_tokens_decoder().values()})
         self.odd = re.compile(r"[^\S\n ]|[\x1c-\x1f]").search
+        self.marks = dict(zip(MARKS, self.whole(list(MARKS)), strict=True))
+        self.update(self.marks)
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() if LITTLE else np.asarray(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def plain(self, text: str) -> bool:
         return not ("  " in text or "\n " in text or " \n" in text or "\n\n" in text or text[-1:].isspace() or text[:1].isspace()
@@ -53,33 +61,52 @@ class PieceEncoder(dict):
         for i, x in enumerate(part.split("\n")):
             if i:
                 out.append("\n")
-            if x[-1:] in ".,;:!?" and x[-2:-1].isalpha():
+            if x[-1:] in MARKS and x[-2:-1].isalpha():
                 out += [x[:-1], x[-1]]
             else:
                 out.append(x)
         return out
 
+    def learn(self, parts: set[str]) -> dict[str, bytes]:
+        """Remembers the ids of `parts`, but for those across a line end, which hardly come again and are returned."""
+        new, closed, across = set(), [], []
+        for p in parts:
+            if "\n" in p:
+                atoms = self.atoms(p)
+                new.update(atoms)
+                across.append((p, atoms))
+            elif p[-1] in MARKS and p[-2:-1].isalpha():
+                new.add(p[:-1])
+                closed.append(p)
+            else:
+                new.add(p)
+        fresh = list(new - self.keys())
+        self.update(zip(fresh, self.whole(fresh), strict=True))
+        for p in closed:
+            self[p] = self[p[:-1]] + self[p[-1]]
+        return {p: b"".join([self[a] for a in atoms]) for p, atoms in across}
+
     def batch(self, texts: list[str | None]) -> list[bytes]:
-        split, alone = [], []
-        for i, text in enumerate(texts):
-            parts = []
-            if text and self.plain(text):
-                parts = text.split(" ")
-                parts[1:] = [" " + p for p in parts[1:]]
-            elif text:
-                alone.append(i)
-            split.append(parts)
         if len(self) >= self.most:
             self.clear()
-        missing = {p: self.atoms(p) for p in set().union(*split) - self.keys()}
-        new = list(set().union(*missing.values()) - self.keys())
-        self.update(zip(new, self.whole(new), strict=True))
-        brief = {}
-        for p, atoms in missing.items():
-            if len(atoms) > 1:
-                (self if len(atoms) == 2 else brief)[p] = b"".join([self[a] for a in atoms])
-        get = self.__getitem__
-        out = [b"".join([brief[p] if p in brief else get(p) for p in parts] if "\n" in (text or "") else map(get, parts)) for parts, text in zip(split, texts, strict=True)]
+            self.update(self.marks)
+        out, alone, waiting, get = [b""] * len(texts), [], [], self.get
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if not self.plain(text):
+                alone.append(i)
+                continue
+            parts = text.split(" ")
+            parts[1:] = [" " + p for p in parts[1:]]
+            ids = list(map(get, parts))
+            gaps = [j for j, x in enumerate(ids) if x is None] if None in ids else []
+            waiting.append((i, ids, gaps, [parts[j] for j in gaps]))
+        across = self.learn(set().union(*[w[3] for w in waiting]))
+        for i, ids, gaps, parts in waiting:
+            for j, p in zip(gaps, parts, strict=True):
+                ids[j] = across[p] if p in across else self[p]
+            out[i] = b"".join(ids)
         for i in alone:
             out[i] = self.whole([texts[i]])[0]
         return out
