@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,7 +22,7 @@ from gleanery.llm.common import small_batches, written
 
 #: Weight of a word that was never seen, and bytes of a word's ending that make its class.
 UNSEEN, ENDING = 0.1, 3
-BLOCK, MOST_TOKENS = 512, 300_000
+BLOCK, MOST_TOKENS = 128, 1_200_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -116,7 +116,7 @@ class Hmm:
         return cls(a / a.sum(), b / b.sum(1, keepdims=True), c / c.sum(0))
 
 
-def portions(docs: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
+def portions(docs: Iterable[np.ndarray]) -> Iterator[list[np.ndarray]]:
     """`docs` in lists of about MOST_TOKENS symbols at most."""
     part, n = [], 0
     for d in docs:
@@ -207,9 +207,8 @@ def score(df: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "tex
 
         def expected(batches: Iterator[pd.DataFrame], now=now) -> Iterator[pd.DataFrame]:
             acc = now.value.zeros()
-            for batch in batches:
-                for part in portions([symbols_of(b) for b in batch["s"]]):
-                    now.value.expect(part, acc)
+            for part in portions(symbols_of(b) for batch in batches for b in batch["s"]):
+                now.value.expect(part, acc)
             flat = np.concatenate([acc[2], acc[1], acc[0][None]])
             at = np.flatnonzero(flat.sum(1) > 1e-12)
             yield pd.DataFrame({"row": at, **{f"x{i}": flat[at, i] for i in range(states)}})
@@ -222,9 +221,21 @@ def score(df: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "tex
     last = spark.sparkContext.broadcast(model)
 
     def likelihood(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+
+        def flush() -> pd.DataFrame:
+            rows = pd.concat(held, ignore_index=True)
+            logs = [last.value.log10(p) for p in portions(map(symbols_of, rows["s"]))]
+            return rows.drop(columns="s").assign(hmm=np.concatenate(logs))
+
         for batch in batches:
-            logs = np.concatenate([last.value.log10(p) for p in portions([symbols_of(b) for b in batch["s"]])]) if len(batch) else []
-            yield batch.drop(columns="s").assign(hmm=logs)
+            held.append(batch)
+            n += int(batch["n"].sum())
+            if n >= MOST_TOKENS:
+                yield flush()
+                held, n = [], 0
+        if n:
+            yield flush()
 
     scored = encoded.select("rid", "doc_id", "train", "n", "known", "base", "s").mapInPandas(
         likelihood, f"rid long, doc_id {dict(df.dtypes)[doc_id]}, train boolean, n long, known long, base double, hmm double")
