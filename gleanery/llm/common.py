@@ -35,9 +35,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bounds what a Python worker holds at once: batches of at most `rows` texts."""
+    """Bounds what a Python worker holds at once: batches of at most `rows` texts and about 16 MB."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:

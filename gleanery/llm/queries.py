@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.llm import hmm, langid, line_dedup, mixing, quality
+from gleanery.llm.near_dup import near_classes
 from gleanery.llm.packing import pack, pieces
 from gleanery.llm.token_counts import count_tokens
 
@@ -32,6 +33,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op4_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(documents(spark, sf_dir), similarity=0.8, words=5).select("doc_id", "class_id", "kept")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), size=1024, end_id=2), size=1024)
 
@@ -54,6 +59,7 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op3_language_id": op3_language_id,
+    "op4_minhash_near_dup": op4_minhash_near_dup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_lm_scoring": op6_lm_scoring,
     "op9_mixing": op9_mixing,
