@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.llm import hmm, langid, line_dedup, mixing, quality
+from gleanery.llm.embedding_dup import near_vectors
 from gleanery.llm.near_dup import near_classes
 from gleanery.llm.packing import pack, pieces
 from gleanery.llm.token_counts import count_tokens
@@ -46,6 +47,10 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0)
 
 
+def op7_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.95)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -62,6 +67,7 @@ QUERIES = {
     "op4_minhash_near_dup": op4_minhash_near_dup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_lm_scoring": op6_lm_scoring,
+    "op7_embedding_near_dup": op7_embedding_near_dup,
     "op9_mixing": op9_mixing,
     "op10_token_counts": op10_token_counts,
 }
