@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import hmm, langid, line_dedup, mixing, quality
+from gleanery.llm import hmm, langid, line_dedup, mixing, quality, secrets
 from gleanery.llm.embedding_dup import near_vectors
 from gleanery.llm.near_dup import near_classes
 from gleanery.llm.packing import pack, pieces
@@ -51,6 +51,11 @@ def op7_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.95)
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.scan(documents(spark, sf_dir))
+    return out.select("doc_id", "start", F.length("c").cast("long").alias("length"), F.md5("c").alias("digest"), "score", "kept")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -68,6 +73,7 @@ QUERIES = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_lm_scoring": op6_lm_scoring,
     "op7_embedding_near_dup": op7_embedding_near_dup,
+    "op8_secret_scan": op8_secret_scan,
     "op9_mixing": op9_mixing,
     "op10_token_counts": op10_token_counts,
 }
