@@ -41,9 +41,9 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
-def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
+def maybe_broadcast(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     """`df`, marked for broadcast if its counted `rows` are few enough."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    return F.broadcast(df) if rows <= most else df
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

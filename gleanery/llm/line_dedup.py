@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from gleanery.llm.common import maybe_broadcast, written
 
 
-def signatures(line: str, tau: int, min_chars: int) -> str:
-    """SQL for the array of (key, probe, at, width) of the string expression `line`: its own segments, and what it probes."""
-    k, n = tau + 1, f"length({line})"
+def signatures(line: str, n: str, tau: int, min_chars: int, bare: bool = False) -> str:
+    """SQL for the array of (key, probe, at, width) of the string column `line` of `n` characters: its own segments, and what it
+    probes; `bare`: the keys alone, which what it probes at its own length includes. Elements that don't fit the line have a null key."""
+    k = tau + 1
     rows = []
     for delta in range(tau + 1):
         size = f"({n} - {delta})"
@@ -28,8 +29,9 @@ def signatures(line: str, tau: int, min_chars: int) -> str:
                 key = f"xxhash64({size}, {i}, substring({line}, {at} + {shift + 1}, {width}))"
                 inside = f"{at} + {shift} >= 0 AND {at} + {shift} + {width} <= {n} AND {size} >= {min_chars}"
                 rows += [(key, probe, f"{at} + {shift}", width, inside) for probe in ("false", "true") if probe == "true" or (delta, shift) == (0, 0)]
-    return "filter(array(" + ", ".join(
-        f"IF({inside}, named_struct('key', {key}, 'probe', {probe}, 'at', CAST({at} AS INT), 'width', CAST({width} AS INT)), NULL)" for key, probe, at, width, inside in rows) + "), x -> x IS NOT NULL)"
+    if bare:
+        return "array(" + ", ".join(f"IF({inside}, {key}, NULL)" for key, probe, _, _, inside in rows if probe == "true") + ")"
+    return "array(" + ", ".join(f"named_struct('key', IF({inside}, {key}, NULL), 'probe', {probe}, 'at', CAST({at} AS INT), 'width', CAST({width} AS INT))" for key, probe, at, width, inside in rows) + ")"
 
 
 def within(a: str, b: str, tau: int) -> str:
@@ -54,38 +56,58 @@ def within(a: str, b: str, tau: int) -> str:
             s -> s.d)"""
 
 
-def near_links(lines: DataFrame, tau: int, min_chars: int, crowd: int = 32, levels: int = 3) -> DataFrame:
+#: Letters by whose counts candidates are told apart: an edit changes these counts by two at most.
+COUNTED = "etaoinsrhldu"
+
+
+def signed(lines: DataFrame, tau: int, min_chars: int, bare: bool, *kept: str) -> DataFrame:
+    """The signatures of `lines` (line and `kept`), one row each; lengths are taken once, and no text travels on."""
+    sized = lines.select(*kept, "line", F.length("line").alias("n"))
+    arrays = sized.select(*kept, F.expr(signatures("line", "n", tau, min_chars, bare)).alias("s"))
+    rows = arrays.select(*kept, F.explode("s").alias("key" if bare else "s"))
+    return rows.where("key IS NOT NULL") if bare else rows.select(*kept, "s.*").where("key IS NOT NULL")
+
+
+def near_links(lines: DataFrame, tau: int, min_chars: int, crowd: int = 128) -> DataFrame:
     """Pairs (a, b) of first places of different lines within `tau` edits; lines: (place, line), repeats allowed.
 
-    `crowd` is the number of signatures at one key beyond which its lines are cut once more, up to `levels` times.
+    `crowd` is the number of signatures at one key beyond which its lines are cut once more. Candidates are held against
+    each other by counts of letters before their texts are fetched.
     """
-    long = lines.where(F.length("line") >= min_chars)
-    found = written(long.select(F.xxhash64("line").alias("lid"), F.explode(F.transform(F.expr(signatures("line", tau, min_chars)), lambda x: x["key"])).alias("key")), "segments")
-    met = written(found.groupBy("key").agg(F.min("lid").alias("lo"), F.max("lid").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key"), "keys")
+    long = lines.where(F.length("line") >= min_chars).withColumn("lid", F.xxhash64("line"))
+    found = written(signed(long, tau, min_chars, True, "lid"), "segments")
+    met = written(found.groupBy("key").agg(F.min("lid").alias("lo"), F.max("lid").alias("hi")).where("lo <> hi").select("key"), "keys")
     n_met = met.count()
     lids = written(found.join(maybe_broadcast(met, n_met), "key", "left_semi").groupBy("lid").agg(F.lit(1).alias("one")).select("lid"), "lids")
-    n_lids = lids.count()
-    few = written(long.withColumn("lid", F.xxhash64("line")).join(maybe_broadcast(lids, n_lids), "lid", "left_semi")
-                  .groupBy(F.md5("line").alias("h")).agg(F.min("place").alias("place"), F.min("line").alias("line")), "lines")
-    rows = few.select("h", "line", F.explode(F.expr(signatures("line", tau, min_chars))).alias("s")).select("h", "line", "s.*")
-    rows = rows.join(maybe_broadcast(met, n_met), "key", "left_semi")
-    pairs = None
-    for level in range(levels):
-        rows = written(rows, "probes")
-        sizes = written(rows.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n"), "crowds")
-        small = sizes.where(F.col("n") <= crowd) if level < levels - 1 else sizes
-        mine = rows.join(small, "key", "left_semi").select("key", "h", "probe")
-        some = (mine.where("NOT probe").select("key", F.col("h").alias("x")).join(mine.where("probe").select("key", F.col("h").alias("y")), "key")
-                .where("x <> y").select("x", "y").distinct())
-        pairs = some if pairs is None else pairs.unionByName(some)
-        if level == levels - 1 or sizes.where(F.col("n") > crowd).isEmpty():
-            break
-        rest = rows.join(sizes.where(F.col("n") > crowd), "key", "left_semi").withColumn("line", F.expr("concat(left(line, at), '\\u0001', substring(line, at + width + 1))"))
-        rows = (rest.select(F.col("key").alias("up"), "h", "line", F.col("probe").alias("was"), F.explode(F.expr(signatures("line", tau, 0))).alias("s"))
-                .where("s.probe = was").select(F.xxhash64("up", "s.key").alias("key"), "h", "line", "s.probe", "s.at", "s.width"))
+    counts = F.struct(*[(F.length("line") - F.length(F.replace("line", F.lit(c), F.lit("")))).alias(c) for c in COUNTED])
+    few = written(long.join(maybe_broadcast(lids, lids.count()), "lid", "left_semi")
+                  .groupBy(F.unhex(F.md5("line")).alias("h")).agg(F.min("place").alias("place"), F.min("line").alias("line")).withColumn("counts", counts), "lines")
+    n_few = few.count()
+    rows = written(signed(few, tau, min_chars, False, "h").join(maybe_broadcast(met, n_met), "key", "left_semi"), "probes")
+
+    def candidates(rows: DataFrame, keys: DataFrame) -> DataFrame:
+        mine = rows.join(keys.select("key"), "key", "left_semi").select("key", "h", "probe").join(maybe_broadcast(few.select("h", "counts"), n_few), "h")
+        x = mine.where("NOT probe").select("key", F.col("h").alias("x"), F.col("counts").alias("cx"))
+        y = mine.where("probe").select("key", F.col("h").alias("y"), F.col("counts").alias("cy"))
+        return x.join(y, "key").where("x <> y AND " + " + ".join(f"abs(cx.{c} - cy.{c})" for c in COUNTED) + f" <= {2 * tau}").select("x", "y").distinct()
+
+    def shared(rows: DataFrame) -> DataFrame:
+        return written(rows.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n"), "crowds")
+
+    keys = shared(rows)
+    pairs = candidates(rows, keys.where(F.col("n") <= crowd))
+    dense = keys.where(F.col("n") > crowd)
+    if not dense.isEmpty():
+        rest = (rows.join(dense.select("key"), "key", "left_semi").join(maybe_broadcast(few.select("h", "line"), n_few, most=20_000), "h")
+                .select(F.col("key").alias("up"), "h", F.col("probe").alias("was"), F.expr("concat(left(line, at), '\u0001', substring(line, at + width + 1))").alias("line")))
+        again = signed(rest, tau, 0, False, "up", "h", "was").where("probe = was").select(F.xxhash64("up", "key").alias("key"), "h", "probe")
+        again = written(again, "rests")
+        pairs = pairs.unionByName(candidates(again, shared(again)))
     # the shorter of a pair is the segments' owner, so y is as long as x or longer
-    x, y = (few.select(F.col("h").alias(c), F.col("place").alias(f"{c}_place"), F.split("line", "").alias(f"{c}_line")) for c in "xy")
-    both = pairs.distinct().join(x, "x").join(y, "y").where(f"{within('y_line', 'x_line', tau)} <= {tau}")
+    pairs = written(pairs.distinct(), "pairs")
+    x, y = (maybe_broadcast(few.select(F.col("h").alias(c), F.col("place").alias(f"{c}_place"), F.col("line").alias(f"{c}_line")), n_few, most=20_000) for c in "xy")
+    both = pairs.join(x, "x").join(y, "y").select("x_place", "y_place", F.split("x_line", "").alias("x_line"), F.split("y_line", "").alias("y_line"))
+    both = both.where(f"{within('y_line', 'x_line', tau)} <= {tau}")
     return both.select(F.least("x_place", "y_place").alias("a"), F.greatest("x_place", "y_place").alias("b")).distinct()
 
 
