@@ -8,7 +8,8 @@ are candidates, and candidates are verified by the exact Jaccard similarity of t
 
 Within a band's bucket all members are held against one hub, the member that shares most buckets; only those that
 do not end up in the hub's class are held against the other members, and of these pairs only those whose distances
-from the hub differ by no more than a link may span (Jaccard distance is a metric). So classes are exact for all
+from the hub differ by no more than a link may span (Jaccard distance is a metric) and whose shingles that occur in
+other such texts are as many as a link needs. So classes are exact for all
 candidate pairs, while a large group of copies costs one comparison per member.
 """
 
@@ -142,9 +143,23 @@ def near_classes(df: DataFrame, similarity: float = 0.8, words: int = 5, bands:
              .join(near.selectExpr("a AS row", "b AS hub", "j"), ["row", "hub"], "left")
              .select("key", "row", F.coalesce("c", "row").alias("c"), F.coalesce("hub_c", "hub").alias("hub_c"), "hub", F.coalesce("j", F.lit(1.0)).alias("j")))
     known = written(known, "known")
-    out_of = known.where("c <> hub_c").selectExpr("key", "row AS a", "c AS a_c", "hub_c AS h_c", "j AS a_j")
-    others = known.where("row <> hub").selectExpr("key", "row AS b", "c AS b_c", "hub_c = c AS inside", "j AS b_j")
-    more = (out_of.join(others, "key").where((F.col("a_c") != F.col("b_c")) & (F.col("inside") | (F.col("a") < F.col("b"))) & (F.abs(F.col("a_j") - F.col("b_j")) <= 1 - similarity + 1e-9))
+    undecided = known.join(known.where("c <> hub_c").select("key").distinct(), "key", "left_semi")
+    rest = written(undecided.select("row").distinct(), "rest")
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x = [np.frombuffer(b, np.int64) for b in batch["s"]]
+            yield pd.DataFrame({"x": np.concatenate(x), "row": np.repeat(batch["row"].to_numpy(), [len(v) for v in x])})
+
+    # shingles that no other of these texts has can't be shared, which bounds what two texts may have in common
+    own = shingled.join(maybe_broadcast(rest, rest.count()), "row", "left_semi")
+    alone = own.mapInPandas(spread, "x long, row long").groupBy("x").agg(F.count("*").alias("n"), F.min("row").alias("row")).where("n = 1").groupBy("row").agg(F.count("*").alias("alone"))
+    bounds = own.select("row", F.expr("length(s) DIV 8").alias("size")).join(alone, "row", "left").select("row", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"))
+    undecided = undecided.join(written(bounds, "bounds"), "row")
+    out_of = undecided.where("c <> hub_c").selectExpr("key", "row AS a", "c AS a_c", "j AS a_j", "size AS a_size", "common AS a_common")
+    others = undecided.where("row <> hub").selectExpr("key", "row AS b", "c AS b_c", "hub_c = c AS inside", "j AS b_j", "size AS b_size", "common AS b_common")
+    enough = F.least("a_common", "b_common") * (1 + similarity) >= (F.col("a_size") + F.col("b_size")) * similarity - 1e-6
+    more = (out_of.join(others, "key").where((F.col("a_c") != F.col("b_c")) & (F.col("inside") | (F.col("a") < F.col("b"))) & (F.abs(F.col("a_j") - F.col("b_j")) <= 1 - similarity + 1e-9) & enough)
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     more = verified(more, "more")
     label = components(near.where(link).select("a", "b").unionByName(more.where(link).select("a", "b")))
