@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.functions import facts, identity
+from gleanery.functions import cascade, facts, identity
 from gleanery.operators import archive, browse, match, ranking, telemetry
 from gleanery.plans.opportunities import AS_OF, OPPS, opportunities
 from gleanery.session import table
+from gleanery.sources import readers, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -557,3 +558,65 @@ def breaker_states(spark, sf_dir):
 @query("SELECT event_id, greatest(0.0, coalesce(600.0 - date_diff('microsecond', lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), ts) // 1000 / CAST(1000 AS DOUBLE), 0.0)) AS wait_s FROM events", opps=False)
 def throttle_gaps(spark, sf_dir):
     return telemetry.throttle_gaps(table(spark, sf_dir, "events"), "user_id", "ts", 600.0).select("event_id", "wait_s")
+
+
+# ---- extraction that needs state, readers, reports and streams: held against examples and brute force in the tests
+PAGE = "concat('Award no. ', id, '\\nDeadline: ', CASE id % 3 WHEN 0 THEN '15 March 1999' WHEN 1 THEN 'March 1999' ELSE '03/04/1999' END, '\\nStudy in: ', coalesce(country, '?'), '\\nValue: up to €', 100 + id % 900, ' per month\\nLevel:\\n', coalesce(degree_level, '?'), '\\nNumber of awards: ', id % 50)"
+
+
+def _pages(spark, sf_dir):
+    return opportunities(spark, sf_dir).select("id", F.expr(PAGE).alias("text"))
+
+
+@query("""SELECT id, CASE id % 3 WHEN 0 THEN DATE '1999-03-15' WHEN 1 THEN DATE '1999-03-31' ELSE DATE '1999-04-03' END AS deadline, id % 3 <> 0 AS estimated FROM opps""")
+def deadline_parse(spark, sf_dir):
+    return _pages(spark, sf_dir).select("id", cascade.parse_deadline(F.col("text"), AS_OF).alias("d")).select("id", "d.deadline", "d.estimated")
+
+
+@query("SELECT id, round((100 + id % 900) * 1.09 * 10, 2)::DOUBLE AS usd, 'month' AS unit FROM opps")
+def money_amounts(spark, sf_dir):
+    return _pages(spark, sf_dir).select("id", F.array_max(cascade.parse_amounts(F.col("text"))).alias("m")).select("id", "m.usd", "m.unit")
+
+
+@query("SELECT id, coalesce(country, '?') AS country, coalesce(degree_level, '?') AS degree, CAST(id % 50 AS VARCHAR) AS n_awards FROM opps")
+def labels(spark, sf_dir):
+    return _pages(spark, sf_dir).select("id", cascade.parse_labels(F.col("text")).alias("l")).select("id", *[F.col("l")[k].alias(k) for k in ("country", "degree", "n_awards")])
+
+
+@query("SELECT id, coalesce(country, '?') AS country, CASE id % 3 WHEN 0 THEN DATE '1999-03-15' WHEN 1 THEN DATE '1999-03-31' ELSE DATE '1999-04-03' END AS deadline, round((100 + id % 900) * 1.09 * 10, 2)::DOUBLE AS amount_usd, CAST(id % 50 AS INT) AS n_awards FROM opps")
+def extract_all(spark, sf_dir):
+    return _pages(spark, sf_dir).select("id", cascade.extract_all(F.col("text"), AS_OF).alias("x")).select("id", "x.country", "x.deadline", "x.amount_usd", "x.n_awards")
+
+
+@query()
+def clean_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", cascade.clean_text(F.col("html")).alias("text"))
+
+
+@query()
+def scan_html_list(spark, sf_dir):
+    return readers.finished(readers.html_listing(table(spark, sf_dir, "pages"), "pages", "li, article", "a[href], h1"), 120)
+
+
+@query()
+def scan_html_table(spark, sf_dir):
+    row = F.concat(F.lit("<table><tr><td><a href='/x/"), F.col("id"), F.lit("'>"), F.col("title"), F.lit("</a></td><td>"), F.coalesce("country", F.lit("?")), F.lit("</td></tr></table>"))
+    pages = opportunities(spark, sf_dir).select(F.lit("https://e.org/list").alias("url"), row.alias("html"))
+    return readers.html_table(pages, "table", columns={"title": 0, "country": 1}).select("title", "url", "cell_country")
+
+
+@query("SELECT conv_id, turn, length(text) AS n FROM conversations WHERE length(text) <= 200 AND NOT contains(text, chr(10))", opps=False)
+def chunk_messages(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").where("length(text) <= 200 AND NOT contains(text, '\n')")
+    return c.select("conv_id", "turn", F.explode(writers.chunked(F.col("text"), 3500, 4)).alias("chunk")).select("conv_id", "turn", F.length("chunk").cast("long").alias("n"))
+
+
+@query()
+def summary_md(spark, sf_dir):
+    return writers.markdown(scored(spark, sf_dir).where("gate_pass"), 40)
+
+
+@query()
+def export_json(spark, sf_dir):
+    rows = scored(spark, sf_dir)
+    return writers.json_report(rows.orderBy(*ranking.best_first()).limit(400), browse.statistics(rows, AS_OF), AS_OF)
