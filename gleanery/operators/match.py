@@ -148,7 +148,11 @@ def urgency(days: Column) -> Column:
 
 def evaluate(df: DataFrame, p: Profile, as_of: str) -> DataFrame:
     """Adds gates, days_left, breakdown (map), confidence, score and tier. A null component counts as unknown; rows that fail
-    a hard gate score at most 40 and are ineligible. One projection without a shuffle."""
+    a hard gate score at most 40 and are ineligible. One projection without a shuffle.
+
+    The session's constraint inference is switched off: over so many derived columns its time grows exponentially.
+    """
+    df.sparkSession.conf.set("spark.sql.constraintPropagation.enabled", "false")
     parts = components(p)
     out = with_gates(df, p, as_of).withColumn("days_left", days_left(F.col("deadline"), as_of)).withColumn("confidence", confidence())
     out = out.withColumns({f"part_{k}": c for k, c in parts.items()})
