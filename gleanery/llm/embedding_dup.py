@@ -12,17 +12,21 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import components, small_batches, written
+from gleanery.llm.common import components, maybe_broadcast, small_batches, written
 
 #: Vectors that are compared at once.
 LEAF = 128
 
 
-def units(blobs: pd.Series) -> np.ndarray:
-    return np.stack([np.frombuffer(b, dtype="<f8") for b in blobs])
+def units(blobs: pd.Series, kind: str) -> np.ndarray:
+    """The unit vectors of packed vectors of one length, in double precision."""
+    x = np.stack([np.frombuffer(b, dtype=kind) for b in blobs]).astype(float)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
 def apart(a: np.ndarray, b: np.ndarray, eps: float) -> bool:
@@ -31,67 +35,110 @@ def apart(a: np.ndarray, b: np.ndarray, eps: float) -> bool:
     return float(gap @ gap) > eps * eps
 
 
-def join(x: np.ndarray, px: np.ndarray, i: int, y: np.ndarray, py: np.ndarray, j: int, eps: float, least: float, same: bool, out: list) -> None:
-    """Appends the links (rows of the first, rows of the second) of two sequences that start at `i` and `j`."""
+class Links:
+    """What is known of the links between two sequences: each row's number of partners, and edges that hold components together."""
+
+    def __init__(self, na: np.ndarray, nb: np.ndarray, same: bool):
+        self.na, self.nb, self.shift = na.astype(float), nb.astype(float), 0 if same else len(na)
+        self.mine, self.theirs, self.edges = np.zeros(len(na)), np.zeros(len(nb)), []
+
+    def add(self, hit: np.ndarray, i: int, j: int) -> None:
+        if not hit.any():
+            return
+        a, b = hit.shape
+        weights = hit.astype(float)
+        self.mine[i:i + a] += weights @ self.nb[j:j + b]
+        self.theirs[j:j + b] += self.na[i:i + a] @ weights
+        p, q = np.nonzero(hit)
+        p, q = p + i, q + j + self.shift
+        self.edges.append(forest(p, q) if len(p) > a + b else (p, q))
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from each node of the links (a, b) to the smallest of its component: as many as there are nodes, at most."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    p, q = at[:len(a)], at[len(a):]
+    label = np.arange(len(ids))
+    while True:
+        low = np.minimum(label[p], label[q])
+        new = label.copy()
+        np.minimum.at(new, label[p], low)
+        np.minimum.at(new, label[q], low)
+        while not np.array_equal(further := new[new], new):
+            new = further
+        if (new[p] == new[q]).all():
+            break
+        label = new
+    far = np.nonzero(new != np.arange(len(ids)))[0]
+    return ids[far], ids[new[far]]
+
+
+def join(x: np.ndarray, px: np.ndarray, i: int, y: np.ndarray, py: np.ndarray, j: int, eps: float, least: float, same: bool, links: Links) -> None:
+    """Adds to `links` those of two sequences that start at rows `i` and `j`."""
     if not same and apart(px, py, eps):
         return
     if len(x) <= LEAF and len(y) <= LEAF:
-        a, b = np.nonzero(x @ y.T >= least)
-        if same:
-            a, b = a[a < b], b[a < b]
-        if len(a):
-            out.append((a + i, b + j))
+        hit = x @ y.T >= least
+        links.add(np.triu(hit, 1) if same else hit, i, j)
         return
     if same:
         h = len(x) // 2
-        join(x[:h], px[:h], i, x[:h], px[:h], i, eps, least, True, out)
-        join(x[h:], px[h:], i + h, x[h:], px[h:], i + h, eps, least, True, out)
-        join(x[:h], px[:h], i, x[h:], px[h:], i + h, eps, least, False, out)
+        join(x[:h], px[:h], i, x[:h], px[:h], i, eps, least, True, links)
+        join(x[h:], px[h:], i + h, x[h:], px[h:], i + h, eps, least, True, links)
+        join(x[:h], px[:h], i, x[h:], px[h:], i + h, eps, least, False, links)
     elif len(x) >= len(y):
         h = len(x) // 2
-        join(x[:h], px[:h], i, y, py, j, eps, least, False, out)
-        join(x[h:], px[h:], i + h, y, py, j, eps, least, False, out)
+        join(x[:h], px[:h], i, y, py, j, eps, least, False, links)
+        join(x[h:], px[h:], i + h, y, py, j, eps, least, False, links)
     else:
         h = len(y) // 2
-        join(x, px, i, y[:h], py[:h], j, eps, least, False, out)
-        join(x, px, i, y[h:], py[h:], j + h, eps, least, False, out)
+        join(x, px, i, y[:h], py[:h], j, eps, least, False, links)
+        join(x, px, i, y[h:], py[h:], j + h, eps, least, False, links)
 
 
-def forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """Of the links (a, b) among n nodes, enough to hold each component together."""
-    up, kept = list(range(n)), []
+def pieces_of(axes: np.ndarray, kind: str, block: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """The function that cuts one stretch of the order into pieces of `block` rows, the last of up to twice as many, with their bounds."""
 
-    def find(i: int) -> int:
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, n, held = TaskContext.get().partitionId(), 0, None
 
-    for i, j in zip(a.tolist(), b.tolist(), strict=True):
-        p, q = find(i), find(j)
-        if p != q:
-            up[max(p, q)] = min(p, q)
-            kept.append((i, j))
-    return kept
+        def piece(rows: pd.DataFrame) -> pd.DataFrame:
+            p = units(rows["u"], kind) @ axes
+            return pd.DataFrame([(part, n, b"".join(rows["u"]), rows["rep"].tolist(), rows["n"].tolist(), p.min(0).tolist(), p.max(0).tolist())], columns=["part", "piece", "x", "reps", "ns", "lo", "hi"])
 
+        for batch in batches:
+            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            while len(held) >= 2 * block:
+                yield piece(held.iloc[:block])
+                held, n = held.iloc[block:].reset_index(drop=True), n + 1
+        if held is not None and len(held):
+            yield piece(held)
+
+    return cut
 
-def blocks_of(axes: np.ndarray, eps: float, block: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """The function that cuts one stretch of the order into blocks, with their bounds."""
 
-    def cut(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, out = rows.sort_values("rep", kind="stable"), []
-        x = units(rows["u"])
-        p = x @ axes
-        order = np.lexsort([*np.floor(p / eps).T[::-1]])
-        for b, i in enumerate(range(0, len(order), block)):
-            at = order[i:i + block]
-            out.append(((int(rows["part"].iloc[0]) << 32) | b, x[at].tobytes(), rows["rep"].to_numpy()[at].tolist(), rows["n"].to_numpy()[at].tolist(), p[at].min(0).tolist(), p[at].max(0).tolist()))
-        return pd.DataFrame(out, columns=["block", "x", "reps", "ns", "lo", "hi"])
+def comparer(axes: np.ndarray, kind: str, eps: float, least: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The function that compares the two blocks of a pair, or the one of a pair with itself, given as their pieces."""
 
-    return cut
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, sides = rows.sort_values(["part", "piece"]), []
+        for block in sorted(set(rows["block"])):
+            own = rows[rows["block"] == block]
+            x = np.concatenate([units(pd.Series([blob[i:i + len(blob) // len(reps)] for i in range(0, len(blob), len(blob) // len(reps))]), kind) for blob, reps in zip(own["x"], own["reps"], strict=True)])
+            sides.append((x, np.concatenate(list(own["reps"])), np.concatenate(list(own["ns"]))))
+        same = len(sides) == 1
+        (x, ra, na), (y, rb, nb) = sides[0], sides[-1]
+        found = Links(na, nb, same)
+        join(x, x @ axes, 0, y, y @ axes, 0, eps, least, same, found)
+        node, load = np.concatenate([ra, rb]), np.concatenate([found.mine, found.theirs]).astype(np.int64)
+        p, q = forest(*(np.concatenate(z) for z in zip(*found.edges, strict=True))) if found.edges else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        some = load > 0
+        return pd.DataFrame({"a": np.concatenate([node[some], node[p]]), "b": np.concatenate([np.full(some.sum(), -1), node[q]]), "load": np.concatenate([load[some], np.zeros(len(p), np.int64)])}).astype("int64")
 
+    return compare
 
-def near_vectors(df: DataFrame, cosine: float = 0.95, leading: int = 6, block: int = 1024, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+
+def near_vectors(df: DataFrame, cosine: float = 0.95, leading: int = 12, block: int = 4096, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """Per row of `df`: vec_id, n_links (other rows linked directly), component_id (smallest vec_id reachable by links),
     kept (vec_id = component_id).
 
@@ -100,88 +147,71 @@ def near_vectors(df: DataFrame, cosine: float = 0.95, leading: int = 6, block: i
     same vec_id are counted each and share a component. vec_id must not be null. Equal vectors are compared once. Other
     columns are not used; an empty table gives an empty table.
 
-    What travels is each vector once for the sort and each block once for each block it may link with; links are
-    summed and thinned to a forest where they are found, so a dense group costs no list of pairs.
+    What travels is each vector once for the sort, as wide as its column has it, and each block of `block` rows (fewer if
+    they take over 8 MB) once for each block it may link with; links are summed and thinned to a forest where they are
+    found, so a dense group costs no list of pairs.
     """
     spark = df.sparkSession
     small_batches(spark, 4096)
+    kind = "<f4" if df.schema[embedding].dataType.elementType.typeName() == "float" else "<f8"
     rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("v"))
 
-    def unit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for v in batch["v"]:
-                x = np.array(v, dtype=float) if v is not None and len(v) else None
-                if x is None or not np.isfinite(x).all() or not x.any():
-                    out.append(None)
-                    continue
-                x = x / np.abs(x).max()
-                out.append((x / np.sqrt(x @ x) + 0.0).astype("<f8").tobytes())
+                x = np.array(v, dtype=float) if v is not None else np.zeros(0)
+                out.append((x + 0.0).astype(kind).tobytes() if len(x) and np.isfinite(x).all() and x.any() else None)
             yield pd.DataFrame({"vec_id": batch["vec_id"], "u": out})
 
-    normed = written(rows.mapInPandas(unit, "vec_id long, u binary"), "units")
-    groups = written(normed.where("u IS NOT NULL").groupBy("u").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "vectors")
+    packs = written(rows.mapInPandas(packed, "vec_id long, u binary"), "packed")
+    groups = written(packs.where("u IS NOT NULL").groupBy("u").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "vectors")
     lengths = [r[0] for r in groups.select(F.length("u")).distinct().collect()]
 
     def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
         for batch in batches:
-            x = units(batch["u"])
+            x = units(batch["u"], kind)
             x = np.concatenate([np.ones((len(x), 1)), x], axis=1)
             total = x.T @ x if total is None else total + x.T @ x
         if total is not None:
             yield pd.DataFrame({"i": range(len(total)), "row": list(total)})
 
+    eps = float(np.sqrt(max(0.0, 2 - 2 * cosine))) * (1 + 1e-9) + 1e-12
     loads, links = [], None
     for length in sorted(lengths):
         own = groups.where(F.length("u") == length)
-        width = length // 8 + 1
+        width = length // int(kind[-1]) + 1
         parts = own.select("u").mapInPandas(moments, "i int, row array<double>").groupBy("i").agg(*[F.sum(F.col("row")[k]).alias(f"x{k}") for k in range(width)]).orderBy("i").collect()
         m = np.array([r[1:] for r in parts])
         mean = m[0, 1:] / m[0, 0]
         _, axes = np.linalg.eigh(m[1:, 1:] / m[0, 0] - np.outer(mean, mean))
         axes = axes[:, ::-1][:, :leading]
-        eps = float(np.sqrt(max(0.0, 2 - 2 * cosine))) * (1 + 1e-9) + 1e-12
+        k, most = axes.shape[1], max(64, min(block, (8 << 20) // length))
 
-        def cells(batches: Iterator[pd.DataFrame], axes=axes, eps=eps) -> Iterator[pd.DataFrame]:
+        def cells(batches: Iterator[pd.DataFrame], axes=axes) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                yield batch.assign(cell=list(np.floor(units(batch["u"]) @ axes / eps).astype(np.int64)))
-
-        k = min(leading, length // 8)
-        gridded = own.mapInPandas(cells, "u binary, rep long, n long, cell array<long>")
-        n_blocks = max(1, -(-int(own.count()) // block))
-        ordered = written(gridded.repartitionByRange(n_blocks, *[F.col("cell")[i] for i in range(k)], "rep").sortWithinPartitions(*[F.col("cell")[i] for i in range(k)], "rep")
-                          .select("u", "rep", "n", F.spark_partition_id().alias("part")), "ordered")
-
-        table = written(ordered.groupBy("part").applyInPandas(blocks_of(axes, eps, block), "block long, x binary, reps array<long>, ns array<long>, lo array<double>, hi array<double>"), "blocks")
+                # big-endian and unsigned, so that the order of bytes is that of the cells
+                cell = np.clip(np.floor(units(batch["u"], kind) @ axes / eps), -(2.0**31), 2.0**31 - 1).astype(np.int64) + (1 << 31)
+                yield batch.assign(cell=[c.tobytes() for c in cell.astype(">u4")])
+
+        n_blocks = max(1, -(-int(m[0, 0]) // most))
+        ordered = own.mapInPandas(cells, "u binary, rep long, n long, cell binary").repartitionByRange(n_blocks, "cell", "rep").sortWithinPartitions("cell", "rep")
+        table = written(ordered.select("u", "rep", "n").mapInPandas(pieces_of(axes, kind, most), "part long, piece long, x binary, reps array<long>, ns array<long>, lo array<double>, hi array<double>"), "pieces")
+        # where the order was cut into more parts than asked for, neighbours make up one block
+        n_parts = (table.agg(F.max("part")).first()[0] or 0) + 1
+        table = table.withColumn("block", F.expr(f"shiftleft(part * {min(n_blocks, n_parts)}L DIV {n_parts}L, 32) | piece"))
+        bounds = table.groupBy("block").agg(*[F.min(F.col("lo")[i]).alias(f"lo{i}") for i in range(k)], *[F.max(F.col("hi")[i]).alias(f"hi{i}") for i in range(k)])
         # pairs of blocks that may link: they share a stretch of the first component, and no bound keeps them apart
-        bounds = table.select("block", "lo", "hi", F.explode(F.expr(f"sequence(CAST(floor(lo[0] / {eps!r}D) AS LONG) - 1, CAST(floor(hi[0] / {eps!r}D) AS LONG) + 1)")).alias("stretch"))
-        gap = " + ".join(f"pow(greatest(0D, a.lo[{i}] - b.hi[{i}], b.lo[{i}] - a.hi[{i}]), 2)" for i in range(k))
+        bounds = bounds.withColumn("stretch", F.explode(F.expr(f"sequence(CAST(floor(lo0 / {eps!r}D) AS LONG) - 1, CAST(floor(hi0 / {eps!r}D) AS LONG) + 1)")))
+        gap = " + ".join(f"pow(greatest(0D, a.lo{i} - b.hi{i}, b.lo{i} - a.hi{i}), 2)" for i in range(k))
         pairs = written(bounds.alias("a").join(bounds.alias("b"), F.expr(f"a.stretch = b.stretch AND a.block <= b.block AND {gap} <= {eps * eps!r}D"))
-                        .selectExpr("a.block AS a", "b.block AS b").distinct().withColumn("pair", F.xxhash64("a", "b")), "blockpairs")
-        n_pairs = max(1, min(pairs.count(), 2000))
+                        .selectExpr("a.block AS a", "b.block AS b").distinct(), "blockpairs")
+        n_pairs = pairs.count()
 
-        def compare(batches: Iterator[pd.DataFrame], axes=axes, eps=eps) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for r in batch.itertuples(index=False):
-                    x, ra, na = np.frombuffer(r.xa).reshape(len(r.ra), -1), np.asarray(r.ra), np.asarray(r.na)
-                    same = r.a == r.b
-                    y, rb, nb = (x, ra, na) if same else (np.frombuffer(r.xb).reshape(len(r.rb), -1), np.asarray(r.rb), np.asarray(r.nb))
-                    found: list = []
-                    join(x, x @ axes, 0, y, y @ axes, 0, eps, cosine, same, found)
-                    if not found:
-                        continue
-                    i, j = (np.concatenate(z) for z in zip(*found, strict=True))
-                    mine, theirs = np.bincount(i, weights=nb[j], minlength=len(ra)), np.bincount(j, weights=na[i], minlength=len(rb))
-                    tree = forest(i, j if same else j + len(ra), len(ra) + (0 if same else len(rb)))
-                    ids = ra if same else np.concatenate([ra, rb])
-                    node, load = np.concatenate([ra, rb]), np.concatenate([mine, theirs]).astype(np.int64)
-                    yield pd.DataFrame({"a": [*node[load > 0], *(ids[p] for p, _ in tree)], "b": [*[-1] * int((load > 0).sum()), *(ids[q] for _, q in tree)], "load": [*load[load > 0], *[0] * len(tree)]}).astype("int64")
-
-        left, right = (table.selectExpr(f"block AS {s}", f"x AS x{s}", f"reps AS r{s}", f"ns AS n{s}") for s in "ab")
-        joined = pairs.join(left, "a").join(right, "b").select("a", "b", "xa", "ra", "na", "xb", "rb", "nb", "pair").repartition(n_pairs, "pair").drop("pair")
-        small_batches(spark, 16)
-        found = written(joined.mapInPandas(compare, "a long, b long, load long"), "links")
+        sent = pairs.select(F.explode(F.expr("IF(a = b, array(a), array(a, b))")).alias("block"), F.xxhash64("a", "b").alias("pair"))
+        joined = table.select("block", "part", "piece", "x", "reps", "ns").join(maybe_broadcast(sent, 2 * n_pairs), "block").repartition(max(1, min(n_pairs, 20_000)), "pair")
+        found = written(joined.groupBy("pair").applyInPandas(comparer(axes, kind, eps, cosine), "a long, b long, load long"), "links")
         loads.append(found.where("load > 0").selectExpr("a AS rep", "load"))
         edges = found.where("load = 0").select("a", "b")
         links = edges if links is None else links.unionByName(edges)
@@ -191,6 +221,6 @@ def near_vectors(df: DataFrame, cosine: float = 0.95, leading: int = 6, block: i
     label = components(links if links is not None else spark.createDataFrame([], "a long, b long"))
     per = written(groups.join(one.groupBy("rep").agg(F.sum("load").alias("load")), "rep", "left").join(label.withColumnRenamed("id", "rep"), "rep", "left")
                   .select("u", (F.coalesce("load", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id")), "classes")
-    return normed.join(per, "u", "left").select(
+    return packs.join(per, "u", "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"),
         (F.col("vec_id") == F.coalesce("component_id", "vec_id")).alias("kept"))
