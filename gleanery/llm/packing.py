@@ -1,8 +1,8 @@
-"""Best-fit packing of token sequences, hierarchically.
+"""Best-fit packing of token sequences over the whole table.
 
-Each partition packs its own pieces by best fit, longest first, and closes the bins that are nearly full; the
-others travel up a tree as items: each round brings several groups together and best-fits their underfull
-bins into one another, until one group is left.
+Pieces of one length are alike, so best fit, longest first, hangs on no more than how many pieces each length has.
+Partitions count theirs, the counts are added up, and the driver packs whole runs of equal pieces at once. Each piece
+then finds its sequence by its length and its number among all pieces of that length.
 """
 
 from __future__ import annotations
@@ -12,16 +12,16 @@ import re
 import sys
 import zlib
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import small_batches, written
+from gleanery.llm.common import maybe_broadcast, small_batches, written
 
 #: Marks that are tokens apart from the letter before them.
 MARKS = (".", ",", ";", ":", "!", "?")
@@ -164,75 +164,78 @@ def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, in
     return bins, offsets, n
 
 
-ITEM = ["doc_id", "piece", "start", "length", "ids_crc32", "seq", "offset", "grp", "done"]
+def best_fit_runs(counts: dict[int, int], size: int) -> tuple[np.ndarray, int]:
+    """Best fit, longest first, of `counts` (length: items): as many bins as `best_fit` gives the same items.
 
-
-def packed(rows: pd.DataFrame, size: int, slack: int, carry: int, level: int, grp: int, base: int = 0) -> pd.DataFrame:
-    """Best-fits the bins `seq` of `rows` into one another. A bin is done when at most `slack` tokens are free, and
-    beyond `carry` bins the fullest are done too, so that no later task holds more than its share."""
-    rows = rows.sort_values(["seq", "offset"], kind="stable").reset_index(drop=True)
-    at, first = np.unique(rows["seq"].to_numpy(), return_inverse=True)
-    fill = np.bincount(first, weights=rows["length"].to_numpy(), minlength=len(at)).astype(np.int64)
-    bins, offsets, n = best_fit(fill, size)
-    free = size - np.bincount(bins, weights=fill, minlength=n).astype(np.int64)
-    done = free <= slack
-    if (n - done.sum()) > carry:
-        done[np.argsort(free, kind="stable")[:n - carry]] = True
-    rows["seq"] = (level << 56) | (grp << 32) | (base + bins[first])
-    rows["offset"] = rows["offset"].to_numpy() + offsets[first]
-    rows["grp"], rows["done"] = grp, done[bins[first]]
-    return rows[ITEM]
-
-
-def merger(size: int, slack: int, carry: int, level: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
-    """The function that merges one group of round `level`."""
-    return lambda key, rows: packed(rows, size, slack, carry, level, int(key[0]))
+    Rows are (length, number of the run's first item among those of its length, first bin, items a bin, offset in the
+    bin), ascending; the second value is the number of bins. Bins with equal free space take the items of a length in
+    turn, each as many as it holds, since the bin that took one is the tightest for the next.
+    """
+    open_at: list[list[tuple[int, int]]] = [[] for _ in range(size + 1)]  # (first bin, bins) by free space
+    runs, bins = [], 0
+    for length in sorted(counts, reverse=True):
+        at, n = 0, counts[length]
+
+        def fill(free: int, first: int, m: int) -> None:
+            nonlocal at
+            each = free // length if length else n
+            full = min(m, (n - at) // each)
+            part = n - at - full * each if full < m else 0
+            for b, k, of in ((first, each, full), (first + full, part, 1 if part else 0)):
+                if of:
+                    runs.append((length, at, b, k, size - free))
+                    at += k * of
+                    if left := free - k * length:
+                        open_at[left].append((b, of))
+            if rest := m - full - (part > 0):
+                open_at[free].append((first + full + (part > 0), rest))
+
+        for free in range(length, size + 1):
+            while open_at[free] and at < n:
+                fill(free, *open_at[free].pop())
+            if at == n:
+                break
+        if at < n:
+            new = -(-(n - at) // (size // length if length else n))
+            bins += new
+            fill(size, bins - new, new)
+    return np.array(sorted(runs), dtype=np.int64).reshape(-1, 5), bins
 
 
 def pack(items: DataFrame, size: int = 1024, slack: int = 8, fan_in: int = 8, carry: int = 20_000, chunk: int = 100_000) -> DataFrame:
     """Places every row of `items` (as of `pieces`) in a sequence: adds sequence_id and offset (long).
 
-    No sequence exceeds `size`; offsets are gapless from 0. `slack` is the free space of a bin that counts as
-    nearly full, `fan_in` the groups that meet in a round, `chunk` the pieces that a partition holds at once,
-    `carry` the underfull bins that a task passes on at most: others stay as they are, so nothing is lost.
-    Repeated rows are items of their own. An empty table gives an empty table. Rounds grow with the logarithm
-    of the number of partitions; only underfull bins are shuffled.
+    No sequence exceeds `size`; offsets are gapless from 0; sequences are as many as best fit, longest first, makes of the
+    whole table, however it is dealt over partitions. Repeated rows are items of their own. An empty table gives an empty
+    table. The driver holds the counts of `size` lengths at most; items are shuffled only if the counts by partition are too
+    many to broadcast. `slack`, `fan_in`, `carry` and `chunk` are still accepted but bound nothing: no bin is closed early.
     """
     kind = dict(items.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, seq long, offset long, grp long, done boolean"
-
-    def locally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grp, base, held, n = TaskContext.get().partitionId(), 0, [], 0
-
-        def flush() -> pd.DataFrame:
-            nonlocal base, held, n
-            rows = pd.concat(held, ignore_index=True)
-            rows["seq"], rows["offset"] = np.arange(len(rows), dtype=np.int64), np.int64(0)
-            out = packed(rows, size, slack, carry, 0, grp, base)
-            base, held, n = base + len(rows), [], 0
-            return out
+    plain = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
 
+    def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        grp, seen = TaskContext.get().partitionId(), np.zeros(size + 1, dtype=np.int64)
+        for batch in batches:
+            n = batch["length"].to_numpy()
+            batch["grp"], batch["nth"] = np.int64(grp), seen[n] + batch.groupby("length").cumcount().to_numpy()
+            seen += np.bincount(n, minlength=size + 1)
+            yield batch
+
+    table = written(items.select("doc_id", "piece", "start", "length", "ids_crc32").mapInPandas(numbered, f"{plain}, grp long, nth long"), "pack")
+    by_part = written(table.groupBy("grp", "length").agg(F.count("*").alias("n")), "lengths")
+    runs, _ = best_fit_runs({r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}, size)
+    sent = items.sparkSession.sparkContext.broadcast(runs)
+    before = by_part.select("grp", "length", (F.sum("n").over(Window.partitionBy("length").orderBy("grp")) - F.col("n")).alias("earlier"))
+
+    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        runs = sent.value
+        starts = (runs[:, 0] << 48) + runs[:, 1]
         for batch in batches:
-            held.append(batch)
-            n += len(batch)
-            if n >= chunk:
-                yield flush()
-        if n:
-            yield flush()
-
-    table = written(items.mapInPandas(locally, schema), "pack")
-    rounds, level = [], 0
-    while True:
-        most = table.where("NOT done").agg(F.max("grp")).first()[0]
-        if not most:  # none left, or one group, which has met all that it can
-            rounds.append(table)
-            break
-        rounds.append(table.where("done"))
-        level += 1
-
-        up = table.where("NOT done").withColumn("grp", F.expr(f"grp DIV {fan_in}"))
-        table = written(up.groupBy("grp").applyInPandas(merger(size, slack, carry, level), schema), "pack")
-    out = rounds[0]
-    for more in rounds[1:]:
-        out = out.unionByName(more)
-    return out.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("seq").alias("sequence_id"), "offset")
+            length, nth = batch["length"].to_numpy(), batch["nth"].to_numpy()
+            run = runs[np.searchsorted(starts, (length << 48) + nth, side="right") - 1]
+            inside = nth - run[:, 1]
+            yield batch.drop(columns="nth").assign(sequence_id=run[:, 2] + inside // run[:, 3], offset=run[:, 4] + inside % run[:, 3] * length)
+
+    whole = table.join(maybe_broadcast(before, by_part.count()), ["grp", "length"])
+    return whole.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("nth") + F.col("earlier")).alias("nth")).mapInPandas(
+        placed, f"{plain}, sequence_id long, offset long")

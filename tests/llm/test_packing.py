@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from gleanery.llm.packing import best_fit, encoder, pack, pieces
+from gleanery.llm.packing import best_fit, best_fit_runs, encoder, pack, pieces
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -76,3 +76,31 @@ def test_edge_rows_and_carry(spark):
     assert pack(pieces(df.limit(0), PATH, 1024, 2)).count() == 0
     many = spark.range(0, 3000, 1, 16).selectExpr("id AS doc_id", "0 AS piece", "0L AS start", "600L AS length", "1L AS ids_crc32")
     assert held(pack(many, carry=5).collect(), 1024) == 3000
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([1, 2, 3, 5, 7, 11, 20, 31, 33, 40, 63, 64]), max_size=150))
+def test_runs_are_best_fit(lengths):
+    runs, n = best_fit_runs({x: lengths.count(x) for x in lengths}, 64)
+    assert n == best_fit(np.array(lengths, dtype=np.int64), 64)[2]
+    ends = {}
+    for i, (x, first, b, each, offset) in enumerate(runs.tolist()):
+        last = runs[i + 1, 1] if i + 1 < len(runs) and runs[i + 1, 0] == x else lengths.count(x)
+        for j in range(last - first):
+            ends.setdefault(b + j // each, []).append((offset + j % each * x, x))
+    assert sorted(x for v in ends.values() for _, x in v) == sorted(lengths) and len(ends) == n
+    for v in ends.values():
+        at = 0
+        for o, x in sorted(v):
+            assert o == at
+            at += x
+        assert at <= 64
+
+
+def test_no_bin_is_closed_before_it_met_the_others(spark):
+    # halves in some partitions, their other halves in others: more of them than a task used to pass on
+    some = spark.range(0, 60_000, 1, 2).selectExpr("id AS doc_id", "0 AS piece", "0L AS start", "600L AS length", "1L AS ids_crc32")
+    rest = spark.range(0, 60_000, 1, 2).selectExpr("id AS doc_id", "1 AS piece", "600L AS start", "424L AS length", "1L AS ids_crc32")
+    out = pack(some.unionByName(rest))
+    assert out.count() == 120_000 and out.select("sequence_id").distinct().count() == 60_000
+    assert out.groupBy("sequence_id").agg({"length": "sum"}).where("`sum(length)` <> 1024").count() == 0
