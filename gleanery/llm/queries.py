@@ -52,7 +52,7 @@ def op7_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = secrets.scan(documents(spark, sf_dir))
+    out = secrets.scan(documents(spark, sf_dir), pattern=secrets.WHOLE)
     return out.select("doc_id", "start", F.length("c").cast("long").alias("length"), F.md5("c").alias("digest"), "score", "kept")
 
 

@@ -1,6 +1,7 @@
 """Secret scans, in DataFrame operations only.
 
-A wide pattern finds candidates: runs of key-like characters that hold a digit or follow an equals sign. A random
+A pattern finds candidates: runs of key-like characters that hold a digit or follow an equals sign, and, where it is
+WHOLE, values of any characters after a keyword, known prefixes, runs of mixed case and long runs of letters. A random
 forest, trained on labelled findings, removes the false ones by the candidate's length, its transitions between
 classes of characters, how much of it are dictionary words, its path and the neighbouring words.
 """
@@ -17,6 +18,11 @@ from gleanery.llm.common import maybe_broadcast, written
 
 #: The candidate pattern, words that are words in any corpus, and what neighbours tell.
 CANDIDATE = r"""(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*[0-9])[A-Za-z0-9_+/-]{8,}={0,2}|(?<==["']?)[A-Za-z0-9_+/-]{8,}"""
+#: WHOLE finds all that CANDIDATE does, at the same place or inside a longer value, and what needs no digit: the value after a keyword
+#: (behind the cheap test that a colon or an equals sign is near), known prefixes, mixed case, and 16 characters or more.
+WHOLE = (r"""(?<=[:=]>?\s{0,2}["']?)(?<=(?i:pass|passwd|password|passphrase|pwd|secret|token|key|auth|credentials?|bearer)["']?\s{0,2}[:=]{1,2}>?\s{0,2}["']?)[^\s"']*[^\s"'.,;:)\]}>]"""
+         r"""|(?<![A-Za-z0-9_+/-])(?:(?:AKIA|ASIA|gh[opsru]_|xox|sk_|pk_|AIza|eyJ)[A-Za-z0-9_+/-]{4,}={0,2}"""
+         r"""|(?=[A-Za-z_+/-]*(?:[0-9]|[a-z][A-Z]|[A-Z]{2}[a-z])|[A-Za-z_+/-]{16})[A-Za-z0-9_+/-]{8,}={0,2})|(?<==["']?)[A-Za-z0-9_+/-]{8,}""")
 WORDS = ("account address annual build card change chapter client code config data date default demo document draft dummy edition example figure file final first "
          "here image index item letter list local main manual model month name notes number order page paper part password path phone photo place placeholder "
          "price print product project public report review room sample secret section series service short site start state station street string table test text "
@@ -48,14 +54,15 @@ FEATURES = {
 }
 
 
-def findings(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = "source") -> DataFrame:
+def findings(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = "source", pattern: str = CANDIDATE) -> DataFrame:
     """The candidates of every text: doc_id, path, start (code points before it), c, before (64 code points), after (32)."""
     found = (df.select(F.col(doc_id).alias("doc_id"), (F.col(path).cast("string") if path else F.lit(None).cast("string")).alias("path"), F.monotonically_increasing_id().alias("_row"), F.col(text).alias("text"))
-             .where(F.col("text").rlike("[0-9=]"))
-             .withColumn("cs", F.regexp_extract_all("text", F.lit(CANDIDATE), 0)).where("size(cs) > 0")
-             .withColumn("parts", F.split("text", CANDIDATE)))
-    rows = found.select("doc_id", "path", "_row", F.posexplode(F.arrays_zip(F.col("cs").alias("c"), F.col("parts").alias("p"), F.expr("slice(parts, 2, size(parts))").alias("q"))).alias("k", "z"))
-    rows = rows.select("doc_id", "path", "_row", "k", F.col("z.c").alias("c"), F.expr("right(z.p, 64)").alias("before"), F.expr("left(z.q, 32)").alias("after"), F.length("z.p").cast("long").alias("n")).where("c IS NOT NULL")
+             .where(F.col("text").rlike("[0-9=]") if pattern == CANDIDATE else F.col("text").isNotNull())
+             .withColumn("cs", F.regexp_extract_all("text", F.lit(pattern), 0)).where("size(cs) > 0")
+             .withColumn("parts", F.split("text", pattern)))
+    rows = found.select("doc_id", "path", "_row", F.posexplode(F.arrays_zip(F.col("cs").alias("c"), F.col("parts").alias("p"), F.expr("slice(parts, 2, size(parts))").alias("q"), F.expr("concat(array(''), cs)").alias("o"))).alias("k", "z"))
+    # a keyword may be a candidate of its own, so what stands before reaches back into the last one
+    rows = rows.select("doc_id", "path", "_row", "k", F.col("z.c").alias("c"), F.expr("right(concat(z.o, z.p), 64)").alias("before"), F.expr("left(z.q, 32)").alias("after"), F.length("z.p").cast("long").alias("n")).where("c IS NOT NULL")
     return rows.withColumn("start", F.expr("sum(n + length(c)) OVER (PARTITION BY _row ORDER BY k) - length(c)")).select("doc_id", "path", "start", "c", "before", "after")
 
 
@@ -110,22 +117,54 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
         FROM (SELECT id, md5(concat('h', id)) AS h, md5(concat('g', id)) AS g FROM _secret_ids)""")
 
 
+def labelled_letters(spark: SparkSession, n: int = 4000) -> DataFrame:
+    """As `labelled_findings`, for what only WHOLE finds: keys of letters, passphrases and passwords with marks against prose, words after
+    a keyword, names in mixed case, paths and joined words."""
+    spark.range(0, n, 1, 4).createOrReplaceTempView("_letter_ids")
+    pick = lambda k: f"element_at(split('{' '.join(WORDS)}', ' '), CAST(1 + conv(substr(h, {k}, 6), 16, 10) % {len(WORDS)} AS INT))"
+    cut = lambda k, lo, span: f"CAST({lo} + conv(substr(h, {k}, 4), 16, 10) % {span} AS INT)"
+    near = f"concat({pick(3)}, ' ', {pick(9)}, ' ')"
+    upper, mixed = "upper(translate(g, '0123456789', 'QZGRTHWXYK'))", "concat(translate(g, '0123456789abcdef', 'qWeRtYuIoPaSdFgH'), translate(h, '0123456789abcdef', 'kLzXcVbNmJhGfDsA'))"
+    keyword = f"element_at(array('password: ', 'password=', 'token = \"', 'secret: ', 'api_key: ', 'passwd = '), {cut(17, 1, 6)})"
+    mark = f"element_at(array('!', '#', '@', '$', '%', '*'), {cut(21, 1, 6)})"
+    camel = f"concat({pick(3)}, initcap({pick(9)}), initcap({pick(15)}))"
+    cases = [  # candidate, before, after, label
+        (f"concat('AKIA', substr({upper}, 1, 16))", near, "' '", 1),
+        (f"substr({mixed}, {cut(1, 1, 20)}, {cut(5, 14, 24)})", f"concat({near}, {keyword})", "' '", 1),
+        (f"lower(substr({mixed}, {cut(1, 1, 20)}, {cut(5, 14, 24)}))", f"concat({near}, {keyword})", "' '", 1),
+        (f"concat({pick(3)}, {pick(9)}, {pick(15)})", f"concat({near}, 'password: ')", "' '", 1),
+        (f"concat({pick(3)}, {mark}, {cut(1, 1, 99)})", f"concat({near}, 'password=')", "' '", 1),
+        (f"substr({mixed}, {cut(1, 1, 20)}, {cut(5, 16, 24)})", near, "' '", 1),
+        (pick(3), f"concat({near}, {keyword})", f"concat(' ', {pick(9)})", 0),
+        (camel, near, "' '", 0),
+        (camel, f"concat({near}, 'class ')", "'('", 0),
+        (f"concat({pick(3)}, '/', {pick(9)}, '/', {pick(15)})", near, "'.'", 0),
+        (f"concat({pick(3)}, '-', {pick(9)}, '-', {pick(15)})", near, "' '", 0),
+        (f"concat({pick(3)}, {pick(9)}, {pick(15)})", near, "', '", 0),
+    ]
+    case = lambda i: f"CASE id % {len(cases)} " + " ".join(f"WHEN {k} THEN {c[i]}" for k, c in enumerate(cases)) + " END"
+    return spark.sql(f"""
+        SELECT {case(0)} AS c, {case(1)} AS before, {case(2)} AS after, 'src' AS path, CAST({case(3)} AS DOUBLE) AS label
+        FROM (SELECT id, md5(concat('l', id)) AS h, md5(concat('k', id)) AS g FROM _letter_ids)""")
+
+
 def train(labelled: DataFrame, words: DataFrame, trees: int = 40, depth: int = 8) -> RandomForestClassificationModel:
     """A forest on labelled findings (c, before, after, path, label)."""
     data = VectorAssembler(inputCols=[*FEATURES], outputCol="features").transform(with_features(labelled, words))
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=11, featureSubsetStrategy="sqrt").fit(data.select("features", "label"))
 
 
-def scan(df: DataFrame, labelled: DataFrame | None = None, threshold: float = 0.5, common: int = 20, doc_id: str = "doc_id", text: str = "text", path: str | None = "source") -> DataFrame:
+def scan(df: DataFrame, labelled: DataFrame | None = None, threshold: float = 0.5, common: int = 20, doc_id: str = "doc_id", text: str = "text", path: str | None = "source", pattern: str = CANDIDATE) -> DataFrame:
     """The candidates of all texts: doc_id, start, c, score (double, of being a secret) and kept (score >= `threshold`).
 
-    Every candidate is returned. The dictionary is WORDS and the runs of four letters or more of candidates that are whole
+    Every candidate of `pattern` is returned; with WHOLE, the default training set has findings without digits too. The dictionary is WORDS and the runs of four letters or more of candidates that are whole
     words of `common` texts at least. Null and empty texts have no candidates; texts are taken whole; equal rows have equal
     findings; a null path is none; other columns are not used; an empty table gives an empty table.
     """
     spark = df.sparkSession
-    labelled = labelled_findings(spark) if labelled is None else labelled
-    rows = written(findings(df, doc_id, text, path), "findings")
+    if labelled is None:
+        labelled = labelled_findings(spark) if pattern == CANDIDATE else labelled_findings(spark).unionByName(labelled_letters(spark))
+    rows = written(findings(df, doc_id, text, path, pattern), "findings")
     runs = rows.select("c").unionByName(labelled.select("c")).select(F.explode(F.expr("regexp_extract_all(lower(c), '[a-z]{4,}', 0)")).alias("word"))
     words = written(corpus_words(df, runs, common, text).unionByName(spark.createDataFrame([(w,) for w in WORDS], "word string")).distinct(), "dictionary")
     model = train(labelled, words)
