@@ -8,6 +8,8 @@ classes of characters, how much of it are dictionary words, its path and the nei
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -66,14 +68,16 @@ def findings(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path: st
     return rows.withColumn("start", F.expr("sum(n + length(c)) OVER (PARTITION BY _row ORDER BY k) - length(c)")).select("doc_id", "path", "start", "c", "before", "after")
 
 
-def corpus_words(df: DataFrame, wanted: DataFrame, least: int, text: str = "text") -> DataFrame:
-    """Of the words `wanted` (word), those that occur in `least` texts or more of `df`."""
-    words = df.select(F.explode(F.array_distinct(F.split(F.lower(text), "[^a-z]+"))).alias("word"))
+def corpus_words(df: DataFrame, wanted: DataFrame, share: float, text: str = "text", pattern: str = CANDIDATE) -> DataFrame:
+    """Of the words `wanted` (word), those outside the candidates of a `share` of the different texts of `df` or more, and of two at least."""
+    texts = df.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    least = max(2, math.ceil(share * texts.select("h").distinct().count()))
+    words = texts.select("h", F.explode(F.array_distinct(F.split(F.lower(F.regexp_replace("text", pattern, " ")), "[^a-z]+"))).alias("word"))
     wanted = written(wanted.distinct(), "wanted")
     n = wanted.count()
     if n <= 500_000:
         words = words.join(F.broadcast(wanted), "word", "left_semi")
-    counted = words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("word")
+    counted = words.distinct().groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("word")
     return counted if n <= 500_000 else counted.join(wanted, "word", "left_semi")
 
 
@@ -154,11 +158,11 @@ def train(labelled: DataFrame, words: DataFrame, trees: int = 40, depth: int = 8
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=11, featureSubsetStrategy="sqrt").fit(data.select("features", "label"))
 
 
-def scan(df: DataFrame, labelled: DataFrame | None = None, threshold: float = 0.5, common: int = 20, doc_id: str = "doc_id", text: str = "text", path: str | None = "source", pattern: str = CANDIDATE) -> DataFrame:
+def scan(df: DataFrame, labelled: DataFrame | None = None, threshold: float = 0.5, share: float = 0.002, doc_id: str = "doc_id", text: str = "text", path: str | None = "source", pattern: str = CANDIDATE) -> DataFrame:
     """The candidates of all texts: doc_id, start, c, score (double, of being a secret) and kept (score >= `threshold`).
 
     Every candidate of `pattern` is returned; with WHOLE, the default training set has findings without digits too. The dictionary is WORDS and the runs of four letters or more of candidates that are whole
-    words of `common` texts at least. Null and empty texts have no candidates; texts are taken whole; equal rows have equal
+    words outside the candidates of a `share` of the different texts, so copies of a secret do not make words of it. Null and empty texts have no candidates; texts are taken whole; equal rows have equal
     findings; a null path is none; other columns are not used; an empty table gives an empty table.
     """
     spark = df.sparkSession
@@ -166,7 +170,7 @@ def scan(df: DataFrame, labelled: DataFrame | None = None, threshold: float = 0.
         labelled = labelled_findings(spark) if pattern == CANDIDATE else labelled_findings(spark).unionByName(labelled_letters(spark))
     rows = written(findings(df, doc_id, text, path, pattern), "findings")
     runs = rows.select("c").unionByName(labelled.select("c")).select(F.explode(F.expr("regexp_extract_all(lower(c), '[a-z]{4,}', 0)")).alias("word"))
-    words = written(corpus_words(df, runs, common, text).unionByName(spark.createDataFrame([(w,) for w in WORDS], "word string")).distinct(), "dictionary")
+    words = written(corpus_words(df, runs, share, text, pattern).unionByName(spark.createDataFrame([(w,) for w in WORDS], "word string")).distinct(), "dictionary")
     model = train(labelled, words)
     out = model.transform(VectorAssembler(inputCols=[*FEATURES], outputCol="features").transform(with_features(rows, words)))
     return out.withColumn("score", vector_to_array("probability")[1]).select("doc_id", "start", "c", "score", (F.col("score") >= threshold).alias("kept"))

@@ -63,3 +63,12 @@ def test_whole_pattern_is_a_superset(spark):
     got = scan(docs, pattern=WHOLE).collect()
     kept = {(r["doc_id"], r["start"]) for r in got if r["kept"]}
     assert len(secret & kept) >= 0.98 * len(secret) and len(kept - secret) <= 0.05 * len(got), sorted(kept - secret)
+
+
+def test_copies_of_a_secret_do_not_make_words_of_it(spark):
+    score = []
+    for n in (1, 40):
+        texts = [f'note {i}, then token = "wxqz-kdfjgh-plmnbv7" again' for i in range(n)]
+        df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts * 2)], "doc_id long, text string, source string")
+        score.append({r["score"] for r in scan(df).collect()})
+    assert score[0] == score[1] and len(score[0]) == 1
