@@ -1,9 +1,9 @@
 """Near-duplicate documents by ProbMinHash, banding and verification.
 
-The five-word shingles of a text, weighted by how often they occur, are elements of a Poisson process: each
-arrives again and again, after exponential waits whose mean is the inverse of its weight, at a register drawn
-at random, and a register keeps its first visitor. Arrivals end as soon as none can be first any more. Two texts
-agree on a register with their probability Jaccard similarity. Registers are banded; documents that share a band
+The different five-word shingles of a text, all of weight 1 however often they occur, are elements of a Poisson
+process: each arrives again and again, after exponential waits whose mean is the inverse of its weight, at a register
+drawn at random, and a register keeps its first visitor. Arrivals end as soon as none can be first any more. Two texts
+agree on a register with their probability Jaccard similarity, with weights of 1 that of their sets. Registers are banded; documents that share a band
 are candidates, and candidates are verified by the exact Jaccard similarity of their sets of shingles.
 
 Within a band's bucket all members are held against one hub, the member that shares most buckets; only those that
@@ -96,7 +96,8 @@ def near_classes(df: DataFrame, similarity: float = 0.8, words: int = 5, bands:
             for key, t, row in zip(batch["doc_id"], batch["text"], batch["row"], strict=True):
                 w = (t or "").encode("utf-8", "surrogatepass").split()
                 if w:
-                    out.append((key, row, hashlib.md5(b" ".join(w)).digest(), bands_of(prob_min_hash(*shingles(w, words), bands * rows), bands)))
+                    s, _ = shingles(w, words)  # links are of sets, so candidates are as well
+                    out.append((key, row, hashlib.md5(b" ".join(w)).digest(), bands_of(prob_min_hash(s, np.ones(len(s)), bands * rows), bands)))
                 else:
                     out.append((key, row, None, None))
             yield pd.DataFrame(out, columns=["doc_id", "row", "h", "bands"])

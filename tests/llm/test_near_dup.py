@@ -63,3 +63,13 @@ def test_edge_rows(spark):
     got = [(r["doc_id"], r["class_id"], r["kept"]) for r in near_classes(df).collect()]
     assert sorted(got, key=str) == sorted([(1, 1, True), (2, 2, True), (3, 3, True), (3, 3, False), (None, 3, False), (5, 5, True), (6, 5, False), (7, 7, True), (8, 8, True)], key=str)
     assert near_classes(df.limit(0)).count() == 0
+
+
+def test_repeated_passages_do_not_hide_links(spark):
+    r, texts = random.Random(5), []
+    for _ in range(20):
+        base = [f"w{r.randrange(10**6)}" for _ in range(204)]
+        texts += [" ".join(base), " ".join(base[:160] + base[120:160] * 20 + base[160:])]
+    got = {x["doc_id"]: x["class_id"] for x in near_classes(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()}
+    want = brute([t.encode() for t in texts])
+    assert [got[i] for i in range(len(texts))] == want == [i // 2 * 2 for i in range(len(texts))]
