@@ -138,7 +138,8 @@ def score(df: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "tex
     """Per row of `df`: doc_id, held_out (not `train`), n_tokens, n_known, train_tokens (long), base_score and score (double).
 
     `train` is a boolean column of `df`; null counts as false. A null text is empty and has the end alone. The model
-    starts from a bounded `sample` of training rows and then takes `rounds` of Baum-Welch over all of them. base_score
+    takes `sample_rounds` + `rounds` rounds of Baum-Welch, each over all training rows; `sample` is still accepted but no
+    step reads a sample, so neither the rows' number nor their place decides what is learnt. base_score
     is that of the smoothed unigram model. Without training rows every token is unseen. Texts are taken whole; equal rows
     get equal scores; other columns of `df` are not used; an empty table gives an empty table.
 
@@ -192,17 +193,11 @@ def score(df: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "tex
 
     encoded = written(rows.mapInPandas(encode, f"rid long, doc_id {dict(df.dtypes)[doc_id]}, train boolean, n long, known long, base double, s binary, rare array<binary>, times array<long>"), "symbols")
 
-    # the model: a bounded sample first, then counts over all training rows
+    # the model: every round counts over all training rows, from random initial values around the counts of all symbols
     rng = np.random.default_rng(7)
-    drawn = [symbols_of(bytes(r["s"])) for r in encoded.where("train AND n > 1").select("s", F.xxhash64("rid").alias("h")).orderBy("h").limit(sample).collect()]
-    usual = np.bincount(np.concatenate(drawn), minlength=m).astype(float) if drawn else np.zeros(m)
+    usual = np.concatenate([[c for _, c in top], np.zeros(frequent - len(top)), in_class, [n_docs]]).astype(float)
     model = Hmm.of_counts(np.ones(states), np.full((states, states), 0.5) + 20 * np.eye(states), (usual[:, None] + 0.1) * rng.uniform(0.5, 1.5, (m, states)))
-    for _ in range(sample_rounds if drawn else 0):
-        acc = model.zeros()
-        for part in portions(drawn):
-            model.expect(part, acc)
-        model = Hmm.of_counts(*acc)
-    for _ in range(rounds if n_docs else 0):
+    for _ in range(sample_rounds + rounds if n_docs else 0):
         now = spark.sparkContext.broadcast(model)
 
         def expected(batches: Iterator[pd.DataFrame], now=now) -> Iterator[pd.DataFrame]:
@@ -217,6 +212,7 @@ def score(df: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "tex
         acc = np.zeros((m + states + 1, states))
         for r in parts.groupBy("row").agg(*[F.sum(f"x{i}").alias(f"x{i}") for i in range(states)]).collect():
             acc[r[0]] = r[1:]
+        now.unpersist()
         model = Hmm.of_counts(acc[-1], acc[m:m + states], acc[:m])
     last = spark.sparkContext.broadcast(model)
 

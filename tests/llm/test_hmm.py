@@ -82,3 +82,10 @@ def test_edge_rows(spark):
     assert len(got) == 6 and all(r["score"] <= 0 and math.isfinite(r["score"]) for r in got)
     assert H.score(df.limit(0), F.lit(True), frequent=2, classes=4, states=2).count() == 0
     assert H.score(df, F.lit(False), frequent=2, classes=4, states=2).count() == 6
+
+
+def test_every_round_sees_all_training_rows(spark):
+    df = spark.range(0, 60, 1, 3).selectExpr("id AS doc_id", "IF(id % 2 = 0, 'a b a b', concat('c d c d e', id)) AS text")
+    got = [{r["doc_id"]: r["score"] for r in H.score(x, F.lit(True), frequent=8, classes=4, states=2, sample=s).collect()} for x, s in ((df, 2), (df, 1000), (df.repartition(5), 2))]
+    for other in got[1:]:
+        assert all(math.isclose(got[0][k], other[k], rel_tol=1e-6) for k in got[0])
