@@ -81,6 +81,5 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE_SQL,
     "op2_quality_rules": quality.ORACLE_SQL,
-    "op6_lm_scoring": op6_lm_scoring,
     "op9_mixing": mixing.ORACLE_SQL,
 }

@@ -8,3 +8,7 @@ from gleanery.llm.queries import ORACLE_SQL, QUERIES
 def test_query_as_its_sql(spark, name):
     sf = "/root/testdata/sf0.01"
     assert check(QUERIES[name](spark, sf), ORACLE_SQL[name], sf) > 0
+
+
+def test_oracles_are_sql():
+    assert all(isinstance(sql, str) for sql in ORACLE_SQL.values())
