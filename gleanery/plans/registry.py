@@ -595,7 +595,9 @@ def clean_text(spark, sf_dir):
 
 @query()
 def scan_html_list(spark, sf_dir):
-    return readers.finished(readers.html_listing(table(spark, sf_dir, "pages"), "pages", "li, article", "a[href], h1"), 120)
+    every = 2**31 - 1
+    rows = readers.html_listing(table(spark, sf_dir, "pages"), "pages", "li, article", "a[href], h1", every)
+    return readers.finished(rows.withColumn("source", F.coalesce(F.expr("try_parse_url(page_url, 'HOST')"), F.lit("pages"))), every)
 
 
 @query()

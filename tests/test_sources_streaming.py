@@ -90,3 +90,14 @@ def test_plans_keep_to_the_shape_they_should(spark):
     plan = lambda name: QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "TakeOrderedAndProject" in plan("report_topn") and "WindowGroupLimit" in plan("pool_quota")
     assert "BatchEvalPython" not in plan("evaluate") and "CartesianProduct" not in plan("evaluate")
+
+
+def test_listings_of_all_pages(spark):
+    from gleanery.plans.registry import QUERIES
+    from gleanery.sources.readers import listing_rows
+
+    sf = "/root/testdata/sf0.1"
+    want = {(p["url"].split("/")[2], r[2]) for p in spark.read.parquet(f"{sf}/pages.parquet").collect() if p["html"]
+            for r in listing_rows(p["html"], p["url"], "li, article", "a[href], h1", 2**31 - 1) if r[1] and r[2]}
+    got = [(r["source"], r["url"]) for r in QUERIES["scan_html_list"](spark, sf).collect()]
+    assert len(got) == len(set(got)) > 120 and set(got) == want
