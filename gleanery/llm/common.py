@@ -41,6 +41,14 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+def free_name(df: DataFrame, wish: str) -> str:
+    """A column name near `wish` that `df` does not have, whatever the case of its letters."""
+    taken, name = {c.lower() for c in df.columns}, f"_{wish}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def maybe_broadcast(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     """`df`, marked for broadcast if its counted `rows` are few enough."""
     return F.broadcast(df) if rows <= most else df

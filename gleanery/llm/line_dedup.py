@@ -2,36 +2,56 @@
 
 A line is a repeat if the same line, or one within `tau` edits, occurs earlier. A line is cut into tau + 1
 segments; a line within tau edits has at least one of them as a substring near its place, so every line probes,
-for its own length and each of the tau lengths below, the few substrings where a segment may stand. Where many
-different lines meet at one segment, what stands left and right of it is cut and probed in the same way, which
-loses no pair, as the edits between the rests are no more. Candidates are verified by banded bit-parallel edit distance.
+for its own length and each of the tau lengths below, the few substrings where a segment may stand. Pairs that meet
+are told apart by parities of their pairs of neighbouring letters, of which an edit changes four at most, and verified by
+banded bit-parallel edit distance between what their common ends leave. Where very many lines meet at one segment, what
+stands left and right of it is cut and probed in the same way, again and again, which loses no pair, as the edits between
+the rests are no more.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import maybe_broadcast, written
+from gleanery.llm.common import free_name, maybe_broadcast, written
+
+#: Words of 64 bits that hold a line's parities.
+PARITIES = ("p0", "p1", "p2", "p3")
+WORDED = r"[^\x20\x09-\x0D]"
+
 
+def probes(tau: int) -> list[tuple[int, int, int]]:
+    """(letters that the owner has less, segment, shift) of every substring that a line probes."""
+    return [(d, i, s) for d in range(tau + 1) for i in range(tau + 1) for s in range(max(-i, d - (tau - i)), min(i, d + tau - i) + 1)]
 
-def signatures(line: str, n: str, tau: int, min_chars: int, bare: bool = False) -> str:
-    """SQL for the array of (key, probe, at, width) of the string column `line` of `n` characters: its own segments, and what it
-    probes; `bare`: the keys alone, which what it probes at its own length includes. Elements that don't fit the line have a null key."""
+
+def cut(lines: DataFrame, tau: int, least: int, combos: str, *kept: str) -> DataFrame:
+    """The substrings of `lines` (u: the text in UTF-32, n: code points): kept, own, d, at, width (code points) and key, a hash of the
+    owner's length, the segment's number and the substring; `combos` is SQL for an array of (own, d, i, s). One expression serves all."""
     k = tau + 1
-    rows = []
-    for delta in range(tau + 1):
-        size = f"({n} - {delta})"
-        for i in range(k):
-            at = f"({i} * ({size} DIV {k}) + greatest(0, {i} - {k} + {size} % {k}))"
-            width = f"({size} DIV {k} + CAST({i} >= {k} - {size} % {k} AS INT))"
-            for shift in range(max(-i, delta - (tau - i)), min(i, delta + tau - i) + 1):
-                key = f"xxhash64({size}, {i}, substring({line}, {at} + {shift + 1}, {width}))"
-                inside = f"{at} + {shift} >= 0 AND {at} + {shift} + {width} <= {n} AND {size} >= {min_chars}"
-                rows += [(key, probe, f"{at} + {shift}", width, inside) for probe in ("false", "true") if probe == "true" or (delta, shift) == (0, 0)]
-    if bare:
-        return "array(" + ", ".join(f"IF({inside}, {key}, NULL)" for key, probe, _, _, inside in rows if probe == "true") + ")"
-    return "array(" + ", ".join(f"named_struct('key', IF({inside}, {key}, NULL), 'probe', {probe}, 'at', CAST({at} AS INT), 'width', CAST({width} AS INT))" for key, probe, at, width, inside in rows) + ")"
+    rows = lines.select(*kept, "u", "n", F.explode(F.expr(combos)).alias("c")).select(*kept, "u", "n", "c.own", "c.d", "c.i", "c.s", F.expr("n - c.d").alias("size"))
+    rows = rows.select(*kept, "u", "n", "own", "d", "i", "size", F.expr(f"CAST(i * (size DIV {k}) + greatest(0, i - {k} + size % {k}) + s AS INT)").alias("at"),
+                       F.expr(f"CAST(size DIV {k} + CAST(i >= {k} - size % {k} AS INT) AS INT)").alias("width"))
+    rows = rows.where(f"size >= {least} AND at >= 0 AND at + width <= n")
+    return rows.select(*kept, "own", "d", "at", "width", F.expr("xxhash64(size, i, substring(u, 4 * at + 1, 4 * width))").alias("key"))
+
+
+def sql_array(rows: list[tuple[bool, int, int, int]]) -> str:
+    return "array(" + ", ".join(f"named_struct('own', {str(own).lower()}, 'd', {d}, 'i', {i}, 's', {s})" for own, d, i, s in rows) + ")"
+
+
+def roles(tau: int) -> str:
+    """What a line puts in as an owner of segments, and what it probes, apart."""
+    return sql_array([(True, 0, i, 0) for i in range(tau + 1)] + [(False, *p) for p in probes(tau)])
+
+
+def parities(lines: DataFrame) -> DataFrame:
+    """PARITIES of `lines` (lid, u, n): bit h is set if the pairs of neighbouring letters with the hash h are odd in number."""
+    pairs = lines.select("lid", "u", F.explode(F.expr("sequence(0, greatest(n - 2, 0))")).alias("i")).select("lid", F.expr("xxhash64(substring(u, 4 * i + 1, 8))").alias("g"))
+    return pairs.groupBy("lid").agg(*[F.bit_xor(F.expr(f"IF((g & 192) = {64 * w}, shiftleft(1L, CAST(g & 63 AS INT)), 0L)")).alias(p) for w, p in enumerate(PARITIES)])
 
 
 def within(a: str, b: str, tau: int) -> str:
@@ -56,58 +76,75 @@ def within(a: str, b: str, tau: int) -> str:
             s -> s.d)"""
 
 
-#: Letters by whose counts candidates are told apart: an edit changes these counts by two at most.
-COUNTED = "etaoinsrhldu"
+def common(a: str, b: str, room: str, at: str) -> str:
+    """SQL for the length of what two texts in UTF-32 share, no more than `room`: doubling steps from the largest down; `at` is the
+    place of the next `w` letters behind `p` shared ones in {t}."""
+    same = f"substring({a}, {at.format(t=a)}, 4 * w) = substring({b}, {at.format(t=b)}, 4 * w)"
+    return f"aggregate(transform(sequence(0, 30), k -> shiftleft(1, 30 - k)), 0, (p, w) -> IF(w <= {room} - p AND {same}, p + w, p))"
+
+
+def letters(u: str) -> str:
+    return f"IF(length({u}) = 0, CAST(array() AS array<binary>), transform(sequence(0, length({u}) DIV 4 - 1), k -> substring({u}, 4 * k + 1, 4)))"
 
 
-def signed(lines: DataFrame, tau: int, min_chars: int, bare: bool, *kept: str) -> DataFrame:
-    """The signatures of `lines` (line and `kept`), one row each; lengths are taken once, and no text travels on."""
-    sized = lines.select(*kept, "line", F.length("line").alias("n"))
-    arrays = sized.select(*kept, F.expr(signatures("line", "n", tau, min_chars, bare)).alias("s"))
-    rows = arrays.select(*kept, F.explode("s").alias("key" if bare else "s"))
-    return rows.where("key IS NOT NULL") if bare else rows.select(*kept, "s.*").where("key IS NOT NULL")
+def distance(x: str, m: str, y: str, n: str, tau: int) -> str:
+    """SQL for the edit distance of two texts in UTF-32 of `m` and `n` code points, m <= n, as `within` gives it, common ends taken off
+    first. Each step is bound by a lambda, so that a filter that is moved down does not take it again at every letter."""
+    rest = ", ".join(f"'{c}', {letters(f'substring({u}, 4 * front + 1, 4 * ({size} - front - back))')}" for c, u, size in (("x", x, m), ("y", y, n)))
+    inner = f"transform(array(named_struct({rest})), o -> IF(size(o.x) = 0, size(o.y), {within('o.y', 'o.x', tau)}))[0]"
+    behind = common(x, y, f"({m} - front)", "CAST(length({t}) - 4 * (p + w) + 1 AS INT)")
+    return f"transform(array({common(x, y, m, '4 * p + 1')}), front -> transform(array({behind}), back -> {inner})[0])[0]"
 
 
-def near_links(lines: DataFrame, tau: int, min_chars: int, crowd: int = 128) -> DataFrame:
+def near_links(lines: DataFrame, tau: int, min_chars: int, crowd: int = 4096, levels: int = 3) -> DataFrame:
     """Pairs (a, b) of first places of different lines within `tau` edits; lines: (place, line), repeats allowed.
 
-    `crowd` is the number of signatures at one key beyond which its lines are cut once more. Candidates are held against
-    each other by counts of letters before their texts are fetched.
+    `crowd` is the number of rows at one key beyond which its lines are cut once more, up to `levels` times; both bear on
+    the plan alone, the pairs are the same. Lines are told apart by a hash of 64 bits; only two lines that are near each
+    other and have the same hash, which no known text has, would be missed. Broadcast are tables of numbers only.
     """
-    long = lines.where(F.length("line") >= min_chars).withColumn("lid", F.xxhash64("line"))
-    found = written(signed(long, tau, min_chars, True, "lid"), "segments")
-    met = written(found.groupBy("key").agg(F.min("lid").alias("lo"), F.max("lid").alias("hi")).where("lo <> hi").select("key"), "keys")
+    long = lines.where(F.length("line") >= min_chars).select("place", "line", F.xxhash64("line").alias("lid"), F.encode("line", "UTF-32").alias("u"), F.length("line").alias("n"))
+    # lines that meet an owner of a segment there
+    every = cut(long, tau, min_chars, sql_array([(d == 0 and s == 0, d, i, s) for d, i, s in probes(tau)]), "lid").select("key", "lid", "own")
+    met = every.groupBy("key").agg(F.min("lid").alias("lo"), F.max("lid").alias("hi"), F.max("own").alias("owned")).where("lo <> hi AND owned").select("key")
+    met = written(met, "keys")
     n_met = met.count()
-    lids = written(found.join(maybe_broadcast(met, n_met), "key", "left_semi").groupBy("lid").agg(F.lit(1).alias("one")).select("lid"), "lids")
-    counts = F.struct(*[(F.length("line") - F.length(F.replace("line", F.lit(c), F.lit("")))).alias(c) for c in COUNTED])
-    few = written(long.join(maybe_broadcast(lids, lids.count()), "lid", "left_semi")
-                  .groupBy(F.unhex(F.md5("line")).alias("h")).agg(F.min("place").alias("place"), F.min("line").alias("line")).withColumn("counts", counts), "lines")
-    n_few = few.count()
-    rows = written(signed(few, tau, min_chars, False, "h").join(maybe_broadcast(met, n_met), "key", "left_semi"), "probes")
+    lids = written(every.join(maybe_broadcast(met, n_met), "key", "left_semi").select("lid").distinct(), "lids")
+    few = long.join(maybe_broadcast(lids, lids.count()), "lid", "left_semi").groupBy("lid").agg(F.min("place").alias("place"), F.first("u").alias("u"), F.first("n").alias("n"))
+    few = written(few, "lines")
+    marked = few.select("lid", "u", "n").join(parities(few), "lid")
+    rows = cut(marked, tau, min_chars, roles(tau), "lid", *PARITIES).join(maybe_broadcast(met, n_met), "key", "left_semi")
 
     def candidates(rows: DataFrame, keys: DataFrame) -> DataFrame:
-        mine = rows.join(keys.select("key"), "key", "left_semi").select("key", "h", "probe").join(maybe_broadcast(few.select("h", "counts"), n_few), "h")
-        x = mine.where("NOT probe").select("key", F.col("h").alias("x"), F.col("counts").alias("cx"))
-        y = mine.where("probe").select("key", F.col("h").alias("y"), F.col("counts").alias("cy"))
-        return x.join(y, "key").where("x <> y AND " + " + ".join(f"abs(cx.{c} - cy.{c})" for c in COUNTED) + f" <= {2 * tau}").select("x", "y").distinct()
-
-    def shared(rows: DataFrame) -> DataFrame:
-        return written(rows.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n"), "crowds")
-
-    keys = shared(rows)
-    pairs = candidates(rows, keys.where(F.col("n") <= crowd))
-    dense = keys.where(F.col("n") > crowd)
-    if not dense.isEmpty():
-        rest = (rows.join(dense.select("key"), "key", "left_semi").join(maybe_broadcast(few.select("h", "line"), n_few, most=20_000), "h")
-                .select(F.col("key").alias("up"), "h", F.col("probe").alias("was"), F.expr("concat(left(line, at), '\u0001', substring(line, at + width + 1))").alias("line")))
-        again = signed(rest, tau, 0, False, "up", "h", "was").where("probe = was").select(F.xxhash64("up", "key").alias("key"), "h", "probe")
-        again = written(again, "rests")
-        pairs = pairs.unionByName(candidates(again, shared(again)))
-    # the shorter of a pair is the segments' owner, so y is as long as x or longer
-    pairs = written(pairs.distinct(), "pairs")
-    x, y = (maybe_broadcast(few.select(F.col("h").alias(c), F.col("place").alias(f"{c}_place"), F.col("line").alias(f"{c}_line")), n_few, most=20_000) for c in "xy")
-    both = pairs.join(x, "x").join(y, "y").select("x_place", "y_place", F.split("x_line", "").alias("x_line"), F.split("y_line", "").alias("y_line"))
-    both = both.where(f"{within('y_line', 'x_line', tau)} <= {tau}")
+        mine = rows.join(keys.select("key"), "key", "left_semi").select("key", "lid", "own", "d", *PARITIES)
+        x, y = (mine.where(side).select("key", "d", *[F.col(c).alias(f"{n}{c}") for c in ("lid", *PARITIES)]) for n, side in (("x", "own"), ("y", "NOT own")))
+        differ = reduce(Column.__add__, [F.bit_count(F.col(f"x{p}").bitwiseXOR(F.col(f"y{p}"))) for p in PARITIES])
+        met = x.drop("d").join(y, "key").where((differ <= 4 * tau) & F.expr("IF(d = 0, xlid < ylid, xlid <> ylid)"))
+        return met.select(F.col("xlid").alias("x"), F.col("ylid").alias("y"))
+
+    pairs, level = [], 0
+    while True:
+        rows = written(rows, "probes")
+        keys = rows.groupBy("key").agg(F.min("lid").alias("lo"), F.max("lid").alias("hi"), F.max("own").alias("owned"), F.min("own").alias("only"), F.count("*").alias("n"))
+        keys = written(keys.where("lo <> hi AND owned AND NOT only").select("key", "n"), "crowds")
+        last = level == levels
+        pairs.append(candidates(rows, keys if last else keys.where(F.col("n") <= crowd)))
+        dense = keys.where(F.col("n") > crowd)
+        if last or dense.isEmpty():
+            break
+        # what stands left and right of the segment; the owner's side keeps its part, and a line that probes knows how much longer it is
+        held = rows.join(dense.select("key"), "key", "left_semi").withColumnRenamed("key", "up")
+        held = held if level else held.join(few.select("lid", "u"), "lid")
+        held = held.withColumn("u", F.expr("concat(substring(u, 1, 4 * at), encode('\u0001', 'UTF-32'), substring(u, 4 * (at + width) + 1))")).withColumn("n", F.expr("length(u) DIV 4").cast("int"))
+        kept = ("up", "lid", "u", *PARITIES)
+        parts = [cut(held.where("own"), tau, 0, sql_array([(True, 0, i, 0) for i in range(tau + 1)]), *kept)]
+        parts += [cut(held.where(f"NOT own AND d = {d}").drop("own", "d"), tau, 0, sql_array([(False, *p) for p in probes(tau) if p[0] == d]), *kept) for d in range(tau + 1)]
+        rows = reduce(DataFrame.unionByName, parts).withColumn("key", F.xxhash64("up", "key")).drop("up")
+        level += 1
+    found = written(reduce(DataFrame.unionByName, pairs).distinct(), "pairs")
+    x, y = (few.select(F.col("lid").alias(c), F.col("place").alias(f"{c}_place"), F.col("u").alias(f"{c}u"), F.col("n").alias(f"{c}n")) for c in "xy")
+    both = found.join(x, "x").join(y, "y")
+    both = both.where(F.expr(f"{distance('xu', 'xn', 'yu', 'yn', tau)} <= {tau}"))  # the owner x is the shorter one
     return both.select(F.least("x_place", "y_place").alias("a"), F.greatest("x_place", "y_place").alias("b")).distinct()
 
 
@@ -122,7 +159,7 @@ def mark_lines(df: DataFrame, tau: int = 2, min_chars: int = 40, doc_id: str = "
     """
     docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("_row"))
     lines = (docs.select("doc_id", "_row", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-             .where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("place", F.struct("doc_id", "_row", "i")))
+             .where(F.col("line").rlike(WORDED)).withColumn("place", F.struct("doc_id", "_row", "i")))
     links = near_links(lines.select("place", "line"), tau, min_chars)
     late = links.select(F.col("b").alias("first")).distinct().withColumn("near", F.lit(True))
     # lines that occur twice, with their first place, and those with a near line before
@@ -141,12 +178,15 @@ def mark_lines(df: DataFrame, tau: int = 2, min_chars: int = 40, doc_id: str = "
 
 def without_repeats(df: DataFrame, tau: int = 2, min_chars: int = 40, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """`df` with its texts less the lines that `mark_lines` removes; rows of which no line with a word is left go, and rows
-    that had none to begin with stay. Columns are those of `df`; one more shuffle joins the removed lines of those rows that have any."""
-    marks = written(mark_lines(df, tau, min_chars, doc_id, text).where("size(removed_lines) > 0").select("_row", "removed_lines"), "removed")
-    out = df.withColumn("_row", F.monotonically_increasing_id()).join(maybe_broadcast(marks, marks.count()), "_row", "left")
-    cut = F.expr(f"array_join(filter(split(`{text}`, '\n'), (l, i) -> NOT array_contains(removed_lines, i)), '\n')")
-    return (out.withColumn(text, F.when(F.col("removed_lines").isNull(), F.col(text)).otherwise(cut))
-            .where(F.col("removed_lines").isNull() | F.col(text).rlike(r"[^\x20\x09-\x0D]")).select(*df.columns))
+    that had none to begin with stay, as do null texts. Columns are those of `df`, whatever their names; nulls in other columns and
+    repeated rows are kept as they are, an empty table gives an empty table. One more shuffle joins the removed lines of those rows that have any."""
+    row, gone = free_name(df, "row"), free_name(df, "gone")
+    marks = mark_lines(df, tau, min_chars, doc_id, text).where("size(removed_lines) > 0")
+    marks = written(marks.select(F.col("_row").alias(row), F.col("removed_lines").alias(gone)), "removed")
+    out = df.withColumn(row, F.monotonically_increasing_id()).join(marks, row, "left")
+    left = F.expr(f"array_join(filter(split(`{text}`, '\n'), (l, i) -> NOT array_contains({gone}, i)), '\n')")
+    return (out.withColumn(text, F.when(F.col(gone).isNull(), F.col(text)).otherwise(left))
+            .where(F.col(gone).isNull() | F.col(text).rlike(WORDED)).select(*df.columns))
 
 
 #: The same in DuckDB's SQL, for the parameters of the registered query.
