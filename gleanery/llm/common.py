@@ -16,13 +16,13 @@ BROADCAST_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); where it is unset, as in tests, one is made."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share (spark.checkpoint.dir). Where it is unset, a session on one machine, as in tests, gets
+    a temporary one; on a cluster that is an error, as executors could not read each other's tables."""
+    place = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_gleanery_dir", None)
     if not place:
-        place = getattr(spark, "_gleanery_dir", None)
-        if not place:
-            place = tempfile.mkdtemp(prefix="gleanery-")
-            spark._gleanery_dir = place
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        place = spark._gleanery_dir = tempfile.mkdtemp(prefix="gleanery-")
     return place.rstrip("/")
 
 
@@ -31,7 +31,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gleanery-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._gleanery_path = path
+    return out
+
+
+def dropped(table: DataFrame) -> None:
+    """Deletes what `written` wrote for `table`, which nothing may read any more."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table._gleanery_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
@@ -73,6 +82,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = large.join(low, "u").selectExpr("CASE WHEN v = m THEN u ELSE v END AS u", "m AS v").where("u <> v").distinct()
         new = written(small, "edges")
         state = [x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for x in (pairs, new)]
+        dropped(pairs)
         pairs = new
         if state[0] == state[1]:
             break

@@ -8,25 +8,29 @@ are candidates, and candidates are verified by the exact Jaccard similarity of t
 
 Within a band's bucket all members are held against one hub, the member that shares most buckets; only those that
 do not end up in the hub's class are held against the other members, and of these pairs only those whose distances
-from the hub differ by no more than a link may span (Jaccard distance is a metric) and whose shingles that occur in
-other such texts are as many as a link needs. So classes are exact for all
-candidate pairs, while a large group of copies costs one comparison per member.
+from the hub differ by no more than a link may span (Jaccard distance is a metric), whose shingles that occur in
+other such texts are as many as a link needs, and whose parities of hashed shingles differ in no more bits than the sets of a
+link may differ in shingles. So classes are exact for all candidate pairs, while a large group of copies costs one
+exact comparison per member.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import components, maybe_broadcast, small_batches, written
+from gleanery.llm.common import components, free_name, maybe_broadcast, small_batches, written
 
 _U = np.uint64
+#: Words of 64 bits that hold, per bit, whether an odd number of a set's shingles has that hash.
+PARITIES = tuple(f"p{i}" for i in range(16))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -152,15 +156,26 @@ def near_classes(df: DataFrame, similarity: float = 0.8, words: int = 5, bands:
             x = [np.frombuffer(b, np.int64) for b in batch["s"]]
             yield pd.DataFrame({"x": np.concatenate(x), "row": np.repeat(batch["row"].to_numpy(), [len(v) for v in x])})
 
+    def odd(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [np.frombuffer(b, np.uint64) for b in batch["s"]]
+            bits = np.array([np.bincount((x % _U(64 * len(PARITIES))).astype(np.int64), minlength=64 * len(PARITIES)) & 1 for x in sets], dtype=np.uint8).reshape(len(sets), -1)
+            packed = np.packbits(bits, axis=1).view(np.int64)
+            yield pd.DataFrame({"row": batch["row"], "size": [len(x) for x in sets], **{p: packed[:, i] for i, p in enumerate(PARITIES)}})
+
     # shingles that no other of these texts has can't be shared, which bounds what two texts may have in common
     own = shingled.join(maybe_broadcast(rest, rest.count()), "row", "left_semi")
     alone = own.mapInPandas(spread, "x long, row long").groupBy("x").agg(F.count("*").alias("n"), F.min("row").alias("row")).where("n = 1").groupBy("row").agg(F.count("*").alias("alone"))
-    bounds = own.select("row", F.expr("length(s) DIV 8").alias("size")).join(alone, "row", "left").select("row", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"))
+    bounds = own.mapInPandas(odd, "row long, size long, " + ", ".join(f"{p} long" for p in PARITIES)).join(alone, "row", "left")
+    bounds = bounds.select("row", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"), *PARITIES)
     undecided = undecided.join(written(bounds, "bounds"), "row")
-    out_of = undecided.where("c <> hub_c").selectExpr("key", "row AS a", "c AS a_c", "j AS a_j", "size AS a_size", "common AS a_common")
-    others = undecided.where("row <> hub").selectExpr("key", "row AS b", "c AS b_c", "hub_c = c AS inside", "j AS b_j", "size AS b_size", "common AS b_common")
+    sketch_of = lambda side: [f"{p} AS {side}_{p}" for p in PARITIES]
+    out_of = undecided.where("c <> hub_c").selectExpr("key", "row AS a", "c AS a_c", "j AS a_j", "size AS a_size", "common AS a_common", *sketch_of("a"))
+    others = undecided.where("row <> hub").selectExpr("key", "row AS b", "c AS b_c", "hub_c = c AS inside", "j AS b_j", "size AS b_size", "common AS b_common", *sketch_of("b"))
+    differ = reduce(Column.__add__, [F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in PARITIES])
+    alike = differ <= (F.col("a_size") + F.col("b_size")) * (1 - similarity) / (1 + similarity) + 1e-6
     enough = F.least("a_common", "b_common") * (1 + similarity) >= (F.col("a_size") + F.col("b_size")) * similarity - 1e-6
-    more = (out_of.join(others, "key").where((F.col("a_c") != F.col("b_c")) & (F.col("inside") | (F.col("a") < F.col("b"))) & (F.abs(F.col("a_j") - F.col("b_j")) <= 1 - similarity + 1e-9) & enough)
+    more = (out_of.join(others, "key").where((F.col("a_c") != F.col("b_c")) & (F.col("inside") | (F.col("a") < F.col("b"))) & (F.abs(F.col("a_j") - F.col("b_j")) <= 1 - similarity + 1e-9) & enough & alike)
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     more = verified(more, "more")
     label = components(near.where(link).select("a", "b").unionByName(more.where(link).select("a", "b")))
@@ -172,6 +187,11 @@ def near_classes(df: DataFrame, similarity: float = 0.8, words: int = 5, bands:
 
 
 def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **parameters) -> DataFrame:
-    """The rows of `df` that `near_classes` keeps, with the columns of `df`."""
-    gone = written(near_classes(df, doc_id=doc_id, text=text, **parameters).where("NOT kept").select("_row"), "gone")
-    return df.withColumn("_row", F.monotonically_increasing_id()).join(maybe_broadcast(gone, gone.count()), "_row", "left_anti").select(*df.columns)
+    """The rows of `df` that `near_classes` keeps, with the columns of `df`, whatever their names.
+
+    Null texts and texts without a word all stay, nulls in other columns are of no account, of repeated rows the first stays, and an
+    empty table gives an empty table.
+    """
+    row = free_name(df, "row")
+    gone = written(near_classes(df, doc_id=doc_id, text=text, **parameters).where("NOT kept").select(F.col("_row").alias(row)), "gone")
+    return df.withColumn(row, F.monotonically_increasing_id()).join(maybe_broadcast(gone, gone.count()), row, "left_anti").select(*df.columns)
