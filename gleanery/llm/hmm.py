@@ -134,17 +134,19 @@ def symbols_of(blob: bytes) -> np.ndarray:
 
 
 def score(df: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text", states: int = 6, frequent: int = 32_768,
-          classes: int = 1024, sample: int = 1000, sample_rounds: int = 12, rounds: int = 2) -> DataFrame:
+          classes: int = 1024, parts: int = 4, rounds: int = 16) -> DataFrame:
     """Per row of `df`: doc_id, held_out (not `train`), n_tokens, n_known, train_tokens (long), base_score and score (double).
 
-    `train` is a boolean column of `df`; null counts as false. A null text is empty and has the end alone. The model
-    takes `sample_rounds` + `rounds` rounds of Baum-Welch, each over all training rows; `sample` is still accepted but no
-    step reads a sample, so neither the rows' number nor their place decides what is learnt. base_score
+    `train` is a boolean column of `df`; null counts as false. A null text is empty and has the end alone. The training rows
+    are dealt into `parts` by a hash of their symbols. Each of `rounds` rounds of Baum-Welch counts one part anew under the
+    present model, and the latest counts of all parts together make the next model (incremental expectation maximisation, whose
+    likelihood never falls); so each training row is counted `rounds` / `parts` times, and no sample or place decides. base_score
     is that of the smoothed unigram model. Without training rows every token is unseen. Texts are taken whole; equal rows
     get equal scores; other columns of `df` are not used; an empty table gives an empty table.
 
-    Word counts are pre-aggregated before the shuffle; the table of frequent words has at most `frequent` rows; rare words
-    meet their counts in a shuffled join, where no word is frequent.
+    Word counts are pre-aggregated before the shuffle. Frequent words are those that occur as often as a threshold, the least that
+    leaves `frequent` of them at most, found in a histogram of counts (16 classes to each power of two); rare words meet their
+    counts in a shuffled join, where no word is frequent.
     """
     spark = df.sparkSession
     small_batches(spark)
@@ -165,11 +167,18 @@ def score(df: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "tex
     n_docs = rows.where("train").count()
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n, v = total + n_docs, distinct + (n_docs > 0)
-    top = [(bytes(r["word"]), r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(frequent).collect()]
+    power = "shiftleft(1L, length(bin(c)) - 1)"
+    found, least = 0, None  # words of c >= least are symbols
+    for r in sorted(counts.groupBy(F.expr(f"length(bin(c)) * 16 + (c - {power}) * 16 DIV {power}").alias("k")).agg(F.min("c").alias("c"), F.count("*").alias("n")).collect(), reverse=True):
+        found += r["n"]
+        if found > frequent:
+            break
+        least = r["c"]
+    top = [] if least is None else sorted((-r["c"], bytes(r["word"])) for r in counts.where(F.col("c") >= least).collect())
+    top = [(w, -c) for c, w in top]
     number = {w: i for i, (w, _) in enumerate(top)}
     base = np.log10((np.array([*(c for _, c in top), n_docs], dtype=float) + UNSEEN) / (n + UNSEEN * (v + 1)))
-    floor = top[-1] if len(top) == frequent else None
-    rare = counts.where("false") if floor is None else counts.where((F.col("c") < floor[1]) | ((F.col("c") == floor[1]) & (F.col("word") > F.lit(bytearray(floor[0])))))
+    rare = counts if least is None else counts.where(F.col("c") < least)
     kind = F.crc32(F.expr(f"substring(word, greatest(length(word) - {ENDING - 1}, 1), {ENDING})")) % classes
     in_class, of_class = np.zeros(classes), np.zeros(classes)
     for r in rare.groupBy(kind.cast("int").alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
@@ -187,17 +196,18 @@ def score(df: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "tex
                 tail = Counter(w for w, i in zip(words, got, strict=True) if i is None)
                 known = [i for i in got if i is not None]
                 s = np.array([*(frequent + _class(w, classes) if i is None else i for w, i in zip(words, got, strict=True)), end], dtype="<u2")
-                out.append((rid, key, bool(is_train), len(s), len(known) + (n_docs > 0), float(base[known].sum() + base[-1]), s.tobytes(), list(tail), list(tail.values())))
+                out.append((rid, key, bool(is_train), zlib.crc32(s.tobytes()) % parts, len(s), len(known) + (n_docs > 0), float(base[known].sum() + base[-1]), s.tobytes(), list(tail), list(tail.values())))
                 rid += 1
-            yield pd.DataFrame(out, columns=["rid", "doc_id", "train", "n", "known", "base", "s", "rare", "times"])
+            yield pd.DataFrame(out, columns=["rid", "doc_id", "train", "part", "n", "known", "base", "s", "rare", "times"])
 
-    encoded = written(rows.mapInPandas(encode, f"rid long, doc_id {dict(df.dtypes)[doc_id]}, train boolean, n long, known long, base double, s binary, rare array<binary>, times array<long>"), "symbols")
+    encoded = written(rows.mapInPandas(encode, f"rid long, doc_id {dict(df.dtypes)[doc_id]}, train boolean, part int, n long, known long, base double, s binary, rare array<binary>, times array<long>"), "symbols")
 
-    # the model: every round counts over all training rows, from random initial values around the counts of all symbols
+    # the model, from random initial values around the counts of all symbols
     rng = np.random.default_rng(7)
     usual = np.concatenate([[c for _, c in top], np.zeros(frequent - len(top)), in_class, [n_docs]]).astype(float)
     model = Hmm.of_counts(np.ones(states), np.full((states, states), 0.5) + 20 * np.eye(states), (usual[:, None] + 0.1) * rng.uniform(0.5, 1.5, (m, states)))
-    for _ in range(sample_rounds + rounds if n_docs else 0):
+    latest = np.zeros((parts, m + states + 1, states))
+    for i in range(rounds if n_docs else 0):
         now = spark.sparkContext.broadcast(model)
 
         def expected(batches: Iterator[pd.DataFrame], now=now) -> Iterator[pd.DataFrame]:
@@ -206,13 +216,14 @@ def score(df: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "tex
                 now.value.expect(part, acc)
             flat = np.concatenate([acc[2], acc[1], acc[0][None]])
             at = np.flatnonzero(flat.sum(1) > 1e-12)
-            yield pd.DataFrame({"row": at, **{f"x{i}": flat[at, i] for i in range(states)}})
+            yield pd.DataFrame({"row": at, **{f"x{j}": flat[at, j] for j in range(states)}})
 
-        parts = encoded.where("train").select("s").mapInPandas(expected, "row long, " + ", ".join(f"x{i} double" for i in range(states)))
-        acc = np.zeros((m + states + 1, states))
-        for r in parts.groupBy("row").agg(*[F.sum(f"x{i}").alias(f"x{i}") for i in range(states)]).collect():
-            acc[r[0]] = r[1:]
+        counted = encoded.where(F.col("train") & (F.col("part") == i % parts)).select("s").mapInPandas(expected, "row long, " + ", ".join(f"x{j} double" for j in range(states)))
+        latest[i % parts] = 0
+        for r in counted.groupBy("row").agg(*[F.sum(f"x{j}").alias(f"x{j}") for j in range(states)]).collect():
+            latest[i % parts, r[0]] = r[1:]
         now.unpersist()
+        acc = latest.sum(0)
         model = Hmm.of_counts(acc[-1], acc[m:m + states], acc[:m])
     last = spark.sparkContext.broadcast(model)
 

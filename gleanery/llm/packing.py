@@ -34,10 +34,11 @@ class PieceEncoder(dict):
     The splitting pattern of byte-level vocabularies joins one space to the word behind it, so a text whose white
     space is single spaces and line ends, none beside another, has the tokens of its parts, each with its space. A part
     has in turn the tokens of what stands before, at and behind a line end, and of a word and the mark that closes it.
-    Any other text, and one that may hold a special string, is encoded whole.
+    Any other text, and one that may hold a special string, is encoded whole. At most about 2 * `most` parts are remembered, in two
+    generations: as soon as the young one is full it becomes the old one, and parts of the old one that come again move to the young.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 300_000):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -47,6 +48,7 @@ class PieceEncoder(dict):
         self.odd = re.compile(r"[^\S\n ]|[\x1c-\x1f]").search
         self.marks = dict(zip(MARKS, self.whole(list(MARKS)), strict=True))
         self.update(self.marks)
+        self.old: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() if LITTLE else np.asarray(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -80,7 +82,10 @@ class PieceEncoder(dict):
                 closed.append(p)
             else:
                 new.add(p)
-        fresh = list(new - self.keys())
+        new -= self.keys()
+        known = new & self.old.keys()
+        self.update((p, self.old[p]) for p in known)
+        fresh = list(new - known)
         self.update(zip(fresh, self.whole(fresh), strict=True))
         for p in closed:
             self[p] = self[p[:-1]] + self[p[-1]]
@@ -88,6 +93,7 @@ class PieceEncoder(dict):
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
             self.update(self.marks)
         out, alone, waiting, get = [b""] * len(texts), [], [], self.get
@@ -113,16 +119,18 @@ class PieceEncoder(dict):
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, most: int = 300_000) -> PieceEncoder:
     """One per Python worker and vocabulary."""
-    return PieceEncoder(path)
+    return PieceEncoder(path, most)
 
 
-def pieces(df: DataFrame, vocabulary: str, size: int, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pieces(df: DataFrame, vocabulary: str, size: int, end_id: int, doc_id: str = "doc_id", text: str = "text", remembered: int = 300_000) -> DataFrame:
     """The token pieces of every document: doc_id, piece, start, length, ids_crc32.
 
     A document is its text's ids (null: none) and then `end_id`. One longer than `size` is cut so that all
-    pieces but the first have `size` tokens. One pass without a shuffle.
+    pieces but the first have `size` tokens. Repeated rows have pieces of their own, nulls in other columns are of no account, and an
+    empty table gives an empty table. `remembered` bounds what a worker keeps of parts already encoded (about 400 bytes each, two
+    generations) and bears on time alone. One pass without a shuffle.
     """
     small_batches(df.sparkSession)
     kind = dict(df.dtypes)[doc_id]
@@ -131,7 +139,7 @@ def pieces(df: DataFrame, vocabulary: str, size: int, end_id: int, doc_id: str =
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for key, ids in zip(batch["doc_id"], encoder(vocabulary).batch(list(batch["text"])), strict=True):
+            for key, ids in zip(batch["doc_id"], encoder(vocabulary, remembered).batch(list(batch["text"])), strict=True):
                 ids += end
                 n = len(ids) // 4
                 edges = [0, *range(n % size or size, n + 1, size)]
@@ -202,13 +210,13 @@ def best_fit_runs(counts: dict[int, int], size: int) -> tuple[np.ndarray, int]:
     return np.array(sorted(runs), dtype=np.int64).reshape(-1, 5), bins
 
 
-def pack(items: DataFrame, size: int = 1024, slack: int = 8, fan_in: int = 8, carry: int = 20_000, chunk: int = 100_000) -> DataFrame:
+def pack(items: DataFrame, size: int = 1024) -> DataFrame:
     """Places every row of `items` (as of `pieces`) in a sequence: adds sequence_id and offset (long).
 
     No sequence exceeds `size`; offsets are gapless from 0; sequences are as many as best fit, longest first, makes of the
     whole table, however it is dealt over partitions. Repeated rows are items of their own. An empty table gives an empty
     table. The driver holds the counts of `size` lengths at most; items are shuffled only if the counts by partition are too
-    many to broadcast. `slack`, `fan_in`, `carry` and `chunk` are still accepted but bound nothing: no bin is closed early.
+    many to broadcast.
     """
     kind = dict(items.dtypes)["doc_id"]
     plain = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"

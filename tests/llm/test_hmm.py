@@ -58,7 +58,7 @@ def test_likelihood_rises():
 def test_base_by_brute_force_and_better_than_base(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0
-    got = {r["doc_id"]: r for r in H.score(docs, train, frequent=200, classes=16, states=3, sample=100, sample_rounds=5).collect()}
+    got = {r["doc_id"]: r for r in H.score(docs, train, frequent=200, classes=16, states=3).collect()}
     rows = docs.collect()
     assert len(got) == len(rows)
     c = Counter()
@@ -86,6 +86,36 @@ def test_edge_rows(spark):
 
 def test_every_round_sees_all_training_rows(spark):
     df = spark.range(0, 60, 1, 3).selectExpr("id AS doc_id", "IF(id % 2 = 0, 'a b a b', concat('c d c d e', id)) AS text")
-    got = [{r["doc_id"]: r["score"] for r in H.score(x, F.lit(True), frequent=8, classes=4, states=2, sample=s).collect()} for x, s in ((df, 2), (df, 1000), (df.repartition(5), 2))]
+    got = [{r["doc_id"]: r["score"] for r in H.score(x, F.lit(True), frequent=8, classes=4, states=2).collect()} for x in (df, df.repartition(5), df.orderBy(F.desc("doc_id")))]
     for other in got[1:]:
         assert all(math.isclose(got[0][k], other[k], rel_tol=1e-6) for k in got[0])
+
+
+def test_score_end_to_end_by_brute_force(spark, monkeypatch):
+    """The whole score of each of 60 texts: the path sum of the model that the job fitted, times each rare word's share of its class."""
+    kept, real = [], H.Hmm.of_counts.__func__
+
+    def remember(cls, *counts, **other):
+        kept.append(real(cls, *counts, **other))
+        return kept[-1]
+
+    monkeypatch.setattr(H.Hmm, "of_counts", classmethod(remember))
+    texts = [("a b a", "b a", "b rare%d" % i, "a new%d b" % (i % 7))[i % 4] for i in range(60)]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    frequent, classes = 3, 8
+    got = {r["doc_id"]: r for r in H.score(df, F.col("doc_id") < 50, frequent=frequent, classes=classes, states=2, rounds=4).collect()}
+    c = Counter(w for t in texts[:50] for w in H.words_of(t))
+    top = sorted((w for w in c if c[w] >= 10), key=lambda w: (-c[w], w))
+    assert {*top} == {b"a", b"b"}
+    mass, kinds = Counter(), Counter()
+    for w in c.keys() - set(top):
+        mass[H._class(w, classes)] += c[w]
+        kinds[H._class(w, classes)] += 1
+    for i, t in enumerate(texts):
+        words, symbols, tail = H.words_of(t), [], 0.0
+        for w in words:
+            k = H._class(w, classes)
+            symbols.append(top.index(w) if w in top else frequent + k)
+            tail += 0 if w in top else math.log10((c[w] + 0.1) / (mass[k] + 0.1 * (kinds[k] + 1)))
+        want = math.log10(brute(kept[-1], [*symbols, frequent + classes])) + tail
+        assert math.isclose(got[i]["score"], want, rel_tol=1e-9), (t, got[i]["score"], want)

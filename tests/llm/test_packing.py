@@ -32,7 +32,8 @@ def held(out, size):
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(list("ab'st  .\n\t\xa0 é日\x1c<|>endoftext") + ["<|endoftext|>", " the"]), max_size=40).map("".join))
 def test_ids_as_the_library(text):
-    assert np.frombuffer(encoder(PATH).batch([text])[0], "<u4").tolist() == ids(text)
+    for most in (300_000, 12):  # with so few, parts go from generation to generation
+        assert np.frombuffer(encoder(PATH, most).batch([text])[0], "<u4").tolist() == ids(text)
 
 
 @settings(max_examples=100, deadline=None)
@@ -67,7 +68,7 @@ def test_whole_table(spark):
         assert at == len(whole)
 
 
-def test_edge_rows_and_carry(spark):
+def test_edge_rows_and_many_half_full(spark):
     rows = [(1, None, 5), (2, "", 5), (3, "a b " * 30_000, 5), (4, "same", 5), (4, "same", 5), (None, "x", 5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, length int")
     out = pack(pieces(df, PATH, 1024, 2)).collect()
@@ -75,7 +76,7 @@ def test_edge_rows_and_carry(spark):
     assert sorted(r["doc_id"] or 0 for r in out if r["piece"] == 0) == [0, 1, 2, 3, 4, 4]
     assert pack(pieces(df.limit(0), PATH, 1024, 2)).count() == 0
     many = spark.range(0, 3000, 1, 16).selectExpr("id AS doc_id", "0 AS piece", "0L AS start", "600L AS length", "1L AS ids_crc32")
-    assert held(pack(many, carry=5).collect(), 1024) == 3000
+    assert held(pack(many).collect(), 1024) == 3000
 
 
 @settings(max_examples=200, deadline=None)
