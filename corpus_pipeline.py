@@ -42,7 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the tokens of all documents into sequences of at most 1024."""
-    return pack(pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), size=1024, end_id=2), size=1024)
+    return pack(pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), size=1024, end_id=2, remembered=60_000), size=1024)
 
 
 STAGES = [
