@@ -134,7 +134,7 @@ def symbols_of(blob: bytes) -> np.ndarray:
 
 
 def score(df: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text", states: int = 6, frequent: int = 32_768,
-          classes: int = 1024, parts: int = 4, rounds: int = 16) -> DataFrame:
+          classes: int = 1024, parts: int = 2, rounds: int = 6) -> DataFrame:
     """Per row of `df`: doc_id, held_out (not `train`), n_tokens, n_known, train_tokens (long), base_score and score (double).
 
     `train` is a boolean column of `df`; null counts as false. A null text is empty and has the end alone. The training rows
@@ -205,7 +205,7 @@ def score(df: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "tex
     # the model, from random initial values around the counts of all symbols
     rng = np.random.default_rng(7)
     usual = np.concatenate([[c for _, c in top], np.zeros(frequent - len(top)), in_class, [n_docs]]).astype(float)
-    model = Hmm.of_counts(np.ones(states), np.full((states, states), 0.5) + 20 * np.eye(states), (usual[:, None] + 0.1) * rng.uniform(0.5, 1.5, (m, states)))
+    model = Hmm.of_counts(np.ones(states), np.full((states, states), 0.5) + 20 * np.eye(states), (usual[:, None] + 0.1) * rng.uniform(0.1, 1.9, (m, states)))
     latest = np.zeros((parts, m + states + 1, states))
     for i in range(rounds if n_docs else 0):
         now = spark.sparkContext.broadcast(model)
