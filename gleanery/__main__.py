@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gleanery.operators import browse, match, ranking
 from gleanery.plans.opportunities import AS_OF, opportunities
-from gleanery.plans.registry import QUERIES
+from gleanery.plans.queries import QUERIES
 from gleanery.session import build_session
 from gleanery.sources import writers
 

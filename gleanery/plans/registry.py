@@ -200,13 +200,13 @@ SORTS = {"score": "score DESC, deadline ASC NULLS LAST", "-score": "score ASC, d
          "-amount": "amount_usd ASC NULLS LAST", "seen": "first_seen DESC", "title": "lower(title)", "days": "days_left ASC NULLS LAST, deadline ASC NULLS LAST"}
 
 
-@query(S + " " + " UNION ALL ".join(f"(SELECT '{k}' AS sort, id, row_number() OVER (ORDER BY {v}, id) AS place FROM scored WHERE source = '1-URGENT' ORDER BY {v}, id LIMIT 20)" for k, v in SORTS.items()))
+@query(S + " " + " UNION ALL ".join(f"(SELECT '{k}' AS sort, id, row_number() OVER (ORDER BY {v}, id) AS place FROM scored ORDER BY {v}, id LIMIT 20)" for k, v in SORTS.items()))
 def sort_variants(spark, sf_dir):
     from functools import reduce
 
     from pyspark.sql import Window
 
-    rows = scored(spark, sf_dir).where("source = '1-URGENT'")
+    rows = scored(spark, sf_dir)
     tops = [rows.orderBy(*browse.order_of(k)).limit(20).withColumn("place", F.row_number().over(Window.orderBy(*browse.order_of(k))).cast("long")).select(F.lit(k).alias("sort"), "id", "place")
             for k in SORTS]  # the window sees 20 rows
     return reduce(DataFrame.unionByName, tops)
@@ -231,9 +231,9 @@ def digest_topk(spark, sf_dir):
     return ranking.digest_rows(scored(spark, sf_dir), 45, 25).select("id", "score", "days_left")
 
 
-@query(S + " SELECT source, substr(sha256(string_agg(CAST(id AS VARCHAR) || ':' || coalesce(change_type, 'new'), '|' ORDER BY CAST(id AS VARCHAR) || ':' || coalesce(change_type, 'new'))), 1, 32) AS digest_key, count(*) AS n FROM scored WHERE tier = 'must_apply' GROUP BY source")
+@query(S + ", best AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, deadline ASC NULLS LAST, id) AS r FROM scored WHERE tier = 'must_apply') SELECT source, substr(sha256(string_agg(CAST(id AS VARCHAR) || ':' || coalesce(change_type, 'new'), '|' ORDER BY CAST(id AS VARCHAR) || ':' || coalesce(change_type, 'new'))), 1, 32) AS digest_key, count(*) AS n FROM best WHERE r <= 40 GROUP BY source")
 def digest_key(spark, sf_dir):
-    return ranking.digest_key(scored(spark, sf_dir).where("tier = 'must_apply'"), "source")
+    return ranking.digest_key(ranking.first_n(scored(spark, sf_dir).where("tier = 'must_apply'"), "source", 40, ranking.best_first()), "source")
 
 
 @query("""WITH c AS (SELECT user_id, event_id, value, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 5 AS chunk FROM events),
@@ -345,10 +345,10 @@ def merge_sources(spark, sf_dir):
     return opportunities(spark, sf_dir).select("id", archive.merged_sources(F.col("source"), F.col("seen_in")).alias("sources"))
 
 
-@query("SELECT id, url FROM opps WHERE id % 2 = 0 AND url NOT IN (SELECT url FROM opps WHERE status = 'active')")
+@query("SELECT id, url FROM opps WHERE url NOT IN (SELECT url FROM opps WHERE status = 'active')")
 def known_page_anti(spark, sf_dir):
     o = opportunities(spark, sf_dir)
-    return o.where("id % 2 = 0").join(o.where("status = 'active'").select("url").distinct(), "url", "left_anti").select("id", "url")
+    return o.join(o.where("status = 'active'").select("url").distinct(), "url", "left_anti").select("id", "url")
 
 
 @query("WITH d AS (SELECT title, CAST(deadline AS DATE) AS day, count(*) AS n, min(id) AS oldest, count(DISTINCT source) AS sources FROM opps GROUP BY 1, 2) SELECT * FROM d WHERE n > 1")
@@ -472,29 +472,30 @@ def ielts_parse(spark, sf_dir):
     return _prose(spark, sf_dir).select("id", band.alias("ielts"), points.alias("toefl"))
 
 
-sql_of = lambda p: p.replace("'", "''")
-sql_classes = lambda ps: "concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(text, '(?i){sql_of(p)}') THEN '{k}' END" for k, p in ps.items()) + ")"
+says = lambda ps: "(" + " OR ".join(f"contains(words, '{facts.padded(p)}')" for p in ps) + ")"
+sql_classes = lambda ps: "concat_ws(',', " + ", ".join(f"CASE WHEN {says(p)} THEN '{k}' END" for k, p in ps.items()) + ")"
+W2 = W + ", worded AS (SELECT id, ' ' || regexp_replace(lower(text), '[^a-z0-9]+', '  ', 'g') || ' ' AS words, ' ' || regexp_replace(lower(title), '[^a-z0-9]+', '  ', 'g') || ' ' AS head FROM prose)"
 
 
-@query(W + f" SELECT id, {sql_classes(facts.DEGREES)} AS degrees FROM prose")
+@query(W2 + f" SELECT id, {sql_classes(facts.DEGREES)} AS degrees FROM worded")
 def degree_levels(spark, sf_dir):
     return _prose(spark, sf_dir).select("id", facts.classes(F.col("text"), facts.DEGREES).alias("degrees"))
 
 
-@query(W + f" SELECT id, {sql_classes(facts.COVERAGE)} AS coverage FROM prose")
+@query(W2 + f" SELECT id, {sql_classes(facts.COVERAGE)} AS coverage FROM worded")
 def coverage(spark, sf_dir):
     return _prose(spark, sf_dir).select("id", facts.classes(F.col("text"), facts.COVERAGE).alias("coverage"))
 
 
-@query(W + f", c AS (SELECT id, text, string_split({sql_classes(facts.COVERAGE)}, ',') AS cs FROM prose) SELECT id, CASE WHEN regexp_matches(text, '(?i){sql_of(facts.FULL)}') OR len(cs) >= 3 THEN 'Full' WHEN regexp_matches(text, '(?i){sql_of(facts.PARTIAL)}') THEN 'Partial' WHEN cs = ['tuition'] THEN 'Tuition-only' WHEN cs <> [''] THEN 'Partial' ELSE 'Unknown' END AS funding FROM c")
+@query(W2 + f", c AS (SELECT id, words, string_split({sql_classes(facts.COVERAGE)}, ',') AS cs FROM worded) SELECT id, CASE WHEN {says(facts.FULL)} OR len(cs) >= 3 THEN 'Full' WHEN {says(facts.PARTIAL)} THEN 'Partial' WHEN cs = ['tuition'] THEN 'Tuition-only' WHEN cs <> [''] THEN 'Partial' ELSE 'Unknown' END AS funding FROM c")
 def funding_type(spark, sf_dir):
     return _prose(spark, sf_dir).select("id", facts.funding_type(F.col("text")).alias("funding"))
 
 
-count_of = lambda ps: " + ".join(f"least(len(regexp_extract_all(text, '(?i){sql_of(p)}')), 6) + 4 * least(len(regexp_extract_all(title, '(?i){sql_of(p)}')), 1)" for p in ps)
+count_of = lambda ps: " + ".join(f"least(len(regexp_extract_all(words, '{facts.padded(p)}')), 6) + CASE WHEN contains(head, '{facts.padded(p)}') THEN 4 ELSE 0 END" for p in ps)
 
 
-@query(W + ", s AS (SELECT id, [" + ", ".join(f"{{'s': -({count_of(ps)}), 'i': {i}, 'n': '{k}'}}" for i, (k, ps) in enumerate(facts.FIELDS.items())) + "] AS xs FROM prose), f AS (SELECT id, list_sort(list_filter(xs, lambda x: x.s <= -4)) AS xs, list_sort(list_filter(xs, lambda x: x.s <= -6)) AS hs FROM s) SELECT id, array_to_string(list_transform(CASE WHEN len(hs) > 0 THEN hs[1:4] ELSE xs[1:1] END, lambda x: x.n), ', ') AS fields FROM f")
+@query(W2 + ", s AS (SELECT id, [" + ", ".join(f"{{'s': -({count_of(ps)}), 'i': {i}, 'n': '{k}'}}" for i, (k, ps) in enumerate(facts.FIELDS.items())) + "] AS xs FROM worded), f AS (SELECT id, list_sort(list_filter(xs, lambda x: x.s <= -4)) AS xs, list_sort(list_filter(xs, lambda x: x.s <= -6)) AS hs FROM s) SELECT id, array_to_string(list_transform(CASE WHEN len(hs) > 0 THEN hs[1:4] ELSE xs[1:1] END, lambda x: x.n), ', ') AS fields FROM f")
 def field_classify(spark, sf_dir):
     return _prose(spark, sf_dir).select("id", facts.fields(F.col("title"), F.col("text")).alias("fields"))
 
@@ -524,14 +525,6 @@ def fx_convert(spark, sf_dir):
     return opportunities(spark, sf_dir).select("id", facts.in_usd(F.col("amount_usd"), F.expr("CASE id % 4 WHEN 0 THEN '€' WHEN 1 THEN 'gbp' WHEN 2 THEN '¥' ELSE 'XYZ' END")).alias("usd"))
 
 
-@query("""WITH g AS (SELECT * FROM (VALUES (1, 'africa'), (2, 'asia'), (3, 'europe'), (4, 'a')) t(place, name)) SELECT r_name, n_name, name AS grp FROM (SELECT r_name, n_name, name, row_number() OVER (PARTITION BY n_nationkey ORDER BY place) AS r FROM nation JOIN region ON n_regionkey = r_regionkey JOIN g ON lower(r_name) = name OR contains(lower(r_name), name)) WHERE r = 1""", opps=False)
-def group_expand(spark, sf_dir):
-    groups = F.broadcast(spark.createDataFrame([(1, "africa"), (2, "asia"), (3, "europe"), (4, "a")], "place int, name string"))  # a fixed list
-    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.expr("n_regionkey = r_regionkey"))
-    hit = n.join(groups, (F.lower("r_name") == F.col("name")) | F.contains(F.lower("r_name"), F.col("name")))
-    return hit.groupBy("n_nationkey", "r_name", "n_name").agg(F.min_by("name", "place").alias("grp")).select("r_name", "n_name", "grp")
-
-
 # ---- policies and time
 LOG = "SELECT event_id, CAST(user_id % 40 AS VARCHAR) AS digest_key, ts AS created_at, CASE WHEN event_type = 'purchase' THEN 'sent' ELSE 'dry-run' END AS status FROM events"
 
@@ -539,7 +532,7 @@ LOG = "SELECT event_id, CAST(user_id % 40 AS VARCHAR) AS digest_key, ts AS creat
 @query(f"WITH l AS ({LOG}) SELECT event_id, digest_key FROM l c WHERE EXISTS (SELECT 1 FROM l s WHERE s.status = 'sent' AND s.digest_key = c.digest_key AND s.created_at < c.created_at AND s.created_at >= c.created_at - INTERVAL 20 HOUR)", opps=False)
 def digest_dedupe_window(spark, sf_dir):
     log = table(spark, sf_dir, "events").selectExpr("event_id", "CAST(user_id % 40 AS STRING) AS digest_key", "ts AS created_at", "IF(event_type = 'purchase', 'sent', 'dry-run') AS status")
-    return telemetry.already_sent(log, log).select("event_id", "digest_key")
+    return telemetry.sent_before(log).select("event_id", "digest_key")
 
 
 @query("SELECT event_id, hour(ts) >= 22 OR hour(ts) < 7 AS quiet FROM events", opps=False)
@@ -561,29 +554,35 @@ def throttle_gaps(spark, sf_dir):
 
 
 # ---- extraction that needs state, readers, reports and streams: held against examples and brute force in the tests
-PAGE = "concat('Award no. ', id, '\\nDeadline: ', CASE id % 3 WHEN 0 THEN '15 March 1999' WHEN 1 THEN 'March 1999' ELSE '03/04/1999' END, '\\nStudy in: ', coalesce(country, '?'), '\\nValue: up to €', 100 + id % 900, ' per month\\nLevel:\\n', coalesce(degree_level, '?'), '\\nNumber of awards: ', id % 50)"
+PAGE = ("'Award no. ' || CAST(id AS VARCHAR) || chr(10) || 'Deadline: ' || CASE id % 4 WHEN 0 THEN CAST(1 + id % 28 AS VARCHAR) || ' March 1999' WHEN 1 THEN 'May 1999' WHEN 2 THEN '1999-0' || CAST(1 + id % 9 AS VARCHAR) || '-' || CAST(10 + id % 18 AS VARCHAR) ELSE '0' || CAST(1 + id % 9 AS VARCHAR) || '/04/1999' END"
+        " || chr(10) || 'Study in: ' || coalesce(country, '?') || chr(10) || 'Value: ' || CASE id % 3 WHEN 0 THEN '€' || CAST(100 + id % 900 AS VARCHAR) || ' per month' WHEN 1 THEN 'GBP ' || CAST(1 + id % 40 AS VARCHAR) || ',500 per year' ELSE '$' || CAST(100 + id % 300 AS VARCHAR) || ' / week' END"
+        " || chr(10) || 'Level:' || chr(10) || coalesce(degree_level, '?') || chr(10) || 'Number of awards: ' || CAST(id % 50 AS VARCHAR)")
+PAGES = f"WITH page AS (SELECT id, {PAGE} AS text FROM opps), part AS (SELECT id, text, regexp_extract(text, 'Deadline: ([^\\n]*)', 1) AS d, regexp_extract(text, 'Value: ([^\\n]*)', 1) AS v FROM page)"
+DEADLINE = "CAST(CASE WHEN regexp_matches(d, '^[0-9]{4}-') THEN strptime(d, '%Y-%m-%d') WHEN regexp_matches(d, '/') THEN strptime(d, '%d/%m/%Y') WHEN regexp_matches(d, '^[0-9]') THEN strptime(d, '%d %B %Y') ELSE last_day(strptime('1 ' || d, '%d %B %Y')) END AS DATE)"
+USD = "round(TRY_CAST(replace(regexp_extract(v, '[0-9][0-9,]*'), ',', '') AS DOUBLE) * CASE WHEN contains(v, '€') THEN CAST(1.09 AS DOUBLE) WHEN contains(v, 'GBP') THEN CAST(1.27 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END * CASE WHEN contains(v, 'month') THEN 10 WHEN contains(v, 'week') THEN 40 ELSE 1 END, 2)"
+label_sql = lambda name, between=": ": f"regexp_extract(text, '{name}{between}([^\\n]*)', 1)"
 
 
 def _pages(spark, sf_dir):
-    return opportunities(spark, sf_dir).select("id", F.expr(PAGE).alias("text"))
+    return opportunities(spark, sf_dir).select("id", F.expr(PAGE.replace("VARCHAR", "STRING")).alias("text"))
 
 
-@query("""SELECT id, CASE id % 3 WHEN 0 THEN DATE '1999-03-15' WHEN 1 THEN DATE '1999-03-31' ELSE DATE '1999-04-03' END AS deadline, id % 3 <> 0 AS estimated FROM opps""")
+@query(f"{PAGES} SELECT id, {DEADLINE} AS deadline, regexp_matches(d, '^[A-Z]|/') AS estimated FROM part")
 def deadline_parse(spark, sf_dir):
     return _pages(spark, sf_dir).select("id", cascade.parse_deadline(F.col("text"), AS_OF).alias("d")).select("id", "d.deadline", "d.estimated")
 
 
-@query("SELECT id, round((100 + id % 900) * 1.09 * 10, 2)::DOUBLE AS usd, 'month' AS unit FROM opps")
+@query(f"{PAGES} SELECT id, {USD} AS usd, regexp_extract(v, '(month|year|week)') AS unit FROM part")
 def money_amounts(spark, sf_dir):
     return _pages(spark, sf_dir).select("id", F.array_max(cascade.parse_amounts(F.col("text"))).alias("m")).select("id", "m.usd", "m.unit")
 
 
-@query("SELECT id, coalesce(country, '?') AS country, coalesce(degree_level, '?') AS degree, CAST(id % 50 AS VARCHAR) AS n_awards FROM opps")
+@query(f"{PAGES} SELECT id, {label_sql('Study in')} AS country, " + label_sql("Level", ":\\n") + f" AS degree, {label_sql('Number of awards')} AS n_awards FROM part")
 def labels(spark, sf_dir):
     return _pages(spark, sf_dir).select("id", cascade.parse_labels(F.col("text")).alias("l")).select("id", *[F.col("l")[k].alias(k) for k in ("country", "degree", "n_awards")])
 
 
-@query("SELECT id, coalesce(country, '?') AS country, CASE id % 3 WHEN 0 THEN DATE '1999-03-15' WHEN 1 THEN DATE '1999-03-31' ELSE DATE '1999-04-03' END AS deadline, round((100 + id % 900) * 1.09 * 10, 2)::DOUBLE AS amount_usd, CAST(id % 50 AS INT) AS n_awards FROM opps")
+@query(f"{PAGES} SELECT id, {label_sql('Study in')} AS country, {DEADLINE} AS deadline, {USD} AS amount_usd, CAST({label_sql('Number of awards')} AS INT) AS n_awards FROM part")
 def extract_all(spark, sf_dir):
     return _pages(spark, sf_dir).select("id", cascade.extract_all(F.col("text"), AS_OF).alias("x")).select("id", "x.country", "x.deadline", "x.amount_usd", "x.n_awards")
 
@@ -600,17 +599,17 @@ def scan_html_list(spark, sf_dir):
     return readers.finished(rows.withColumn("source", F.coalesce(F.expr("try_parse_url(page_url, 'HOST')"), F.lit("pages"))), every)
 
 
-@query()
+@query("SELECT title, 'https://e.org/x/' || CAST(id AS VARCHAR) AS url, coalesce(country, '?') AS cell_country FROM opps")
 def scan_html_table(spark, sf_dir):
     row = F.concat(F.lit("<table><tr><td><a href='/x/"), F.col("id"), F.lit("'>"), F.col("title"), F.lit("</a></td><td>"), F.coalesce("country", F.lit("?")), F.lit("</td></tr></table>"))
     pages = opportunities(spark, sf_dir).select(F.lit("https://e.org/list").alias("url"), row.alias("html"))
     return readers.html_table(pages, "table", columns={"title": 0, "country": 1}).select("title", "url", "cell_country")
 
 
-@query("SELECT conv_id, turn, length(text) AS n FROM conversations WHERE length(text) <= 200 AND NOT contains(text, chr(10))", opps=False)
+@query(opps=False)
 def chunk_messages(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").where("length(text) <= 200 AND NOT contains(text, '\n')")
-    return c.select("conv_id", "turn", F.explode(writers.chunked(F.col("text"), 3500, 4)).alias("chunk")).select("conv_id", "turn", F.length("chunk").cast("long").alias("n"))
+    c = table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", F.posexplode(writers.chunked(F.col("text"), 3500, 4)).alias("part", "chunk"))
 
 
 @query()

@@ -1,8 +1,9 @@
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 
-from gleanery.functions.cascade import amounts_of, clean, deadline_of, find_dates, labels_of
+from gleanery.functions.cascade import amounts_of, clean_text, deadline_of, find_dates, labels_of
 
 DAY = date(2026, 6, 1)
 
@@ -36,10 +37,47 @@ def test_units_are_not_stolen():
     assert amounts_of(None) == [] and amounts_of("$5") == []
 
 
-def test_labels_and_clean_text():
+def test_labels_and_clean_text(spark):
     page = "<html><script>x</script><h3>Deadline:</h3><p>1 May 2027</p><div>Study in: Norway</div><div>Level:</div><div>Master</div><div>PhD</div><p>Share this</p><p>a &amp; b</p><p>a &amp; b</p></html>"
-    text = clean(page)
+    text, none = [r[0] for r in spark.createDataFrame([(1, page), (2, None)], "i int, page string").orderBy("i").select(clean_text(F.col("page"))).collect()]
     assert "Share" not in text and text.count("a & b") == 1
     got = labels_of(text)
     assert got["deadline"] == "1 May 2027" and got["country"] == "Norway" and got["degree"].startswith("Master PhD")
-    assert labels_of(None) == {} and clean(None) == ""
+    assert labels_of(None) == {} and none == ""
+
+
+def test_clean_text_by_brute_force(spark):
+    """Pages of few different lines, so that most repeat: a line goes if it is among the last three kept."""
+    import random
+
+    r = random.Random(1)
+    for _ in range(5):
+        lines = [r.choice(["aa", "bb", "cc", "dd", "ee", "x", "Share this", "shared view"]) for _ in range(40)]
+        said = [x for x in lines if len(x) > 1 and x != "Share this"]
+        want: list[str] = []
+        for x in said:
+            if x not in want[-3:]:
+                want.append(x)
+        page = "<body>" + "".join(f"<p>{x}</p>" for x in lines) + "</body>"
+        assert spark.createDataFrame([(page,)], "page string").select(clean_text(F.col("page"))).first()[0] == "\n".join(want)
+
+
+def test_chunks_by_brute_force(spark):
+    import random
+
+    from gleanery.sources.writers import chunked
+
+    r = random.Random(2)
+    for size, most in ((10, 4), (25, 99), (3500, 4)):
+        texts = ["\n".join("x" * r.randrange(14) for _ in range(r.randrange(1, 12))) for _ in range(40)] + [""]
+        for t in texts:
+            want: list[str] = []
+            for line in t.split("\n"):
+                if want and len(want[-1]) + 1 + len(line) <= size:
+                    want[-1] += "\n" + line
+                else:
+                    want.append(line[:size])
+            t_want = want[:most]
+            texts[texts.index(t)] = (t, t_want)
+        for row in spark.createDataFrame(texts, "t string, want array<string>").select(chunked(F.col("t"), size, most).alias("got"), "want").collect():
+            assert row["got"] == row["want"]

@@ -86,14 +86,14 @@ def test_rollforward_keeps_to_the_28th(spark):
 
 
 def test_plans_keep_to_the_shape_they_should(spark):
-    from gleanery.plans.registry import QUERIES
+    from gleanery.plans.queries import QUERIES
     plan = lambda name: QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "TakeOrderedAndProject" in plan("report_topn") and "WindowGroupLimit" in plan("pool_quota")
     assert "BatchEvalPython" not in plan("evaluate") and "CartesianProduct" not in plan("evaluate")
 
 
 def test_listings_of_all_pages(spark):
-    from gleanery.plans.registry import QUERIES
+    from gleanery.plans.queries import QUERIES
     from gleanery.sources.readers import listing_rows
 
     sf = "/root/testdata/sf0.1"
