@@ -2,59 +2,88 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def versions(spark: SparkSession, root: str) -> list[int]:
-    """The versions of an archive that are complete, ascending."""
+#: Fields of a record whose change is one of funding; any other but the deadline is one of content.
+FUNDING = ("amount_text", "funding_type", "amount_usd")
+STATE = {"first_seen": "timestamp", "last_seen": "timestamp", "times_seen": "long", "change_type": "string"}
+
+
+def _versions(spark: SparkSession, root: str) -> list[tuple[int, str, int]]:
+    """The complete versions of an archive, ascending, each with the run and the batch that made it; a half-written one is none."""
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(path):
         return []
-    names = [s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit())
+    done = [s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    return sorted((int(m[1]), m[2], int(m[3])) for n in done if (m := re.fullmatch(r"v(\d+)-(\w*)-(\d+)", n)))
+
+
+def versions(spark: SparkSession, root: str) -> list[int]:
+    return [n for n, _, _ in _versions(spark, root)]
 
 
 def current(spark: SparkSession, root: str) -> DataFrame | None:
-    """The latest complete version; a half-written one is never seen."""
-    found = versions(spark, root)
-    return spark.read.parquet(f"{root}/v{found[-1]}") if found else None
+    """The latest complete version."""
+    found = _versions(spark, root)
+    return spark.read.parquet("{}/v{}-{}-{}".format(root, *found[-1])) if found else None
 
 
-def apply_batch(batch: DataFrame, batch_id: int, root: str, key: str = "url_key") -> None:
-    """Merges a micro-batch (key, title, deadline, seen_at) into the archive as version batch_id + 1; a replayed batch changes nothing.
+def merged(old: DataFrame, batch: DataFrame, key: str) -> DataFrame:
+    """An archive (key, fields, STATE) with a batch (key, fields, seen_at) merged in, by one full outer join.
 
-    The earliest row of a key counts within a batch. One full outer join; the version before stays as it is.
+    Within a batch the earliest row of a key counts. A field that the batch's row lacks or says nothing of keeps the archive's
+    value and never counts as changed. A row seen again is unchanged (no change_type), or deadline_moved, deadline_added,
+    funding_changed or content_changed, the first that applies; rows without a key are left out.
     """
+    fields = [c for c in batch.columns if c not in (key, "seen_at")]
+    new = batch.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct("seen_at", *fields)).alias("n"))
+    for c in fields:
+        if c not in old.columns:
+            old = old.withColumn(c, F.lit(None).cast(batch.schema[c].dataType))
+    met = old.join(new, key, "full_outer")
+    known, fresh = F.col("times_seen").isNotNull(), F.col("n").isNotNull()
+    moved = {c: F.col(f"n.{c}").isNotNull() & ~F.col(f"n.{c}").eqNullSafe(F.col(c)) for c in fields}
+    any_of = lambda cs: reduce(Column.__or__, [moved[c] for c in cs], F.lit(False))
+    change = F.when(any_of([c for c in fields if c in FUNDING]), "funding_changed").when(any_of([c for c in fields if c not in FUNDING]), "content_changed")
+    if "deadline" in fields:
+        change = F.when(moved["deadline"] & F.col("deadline").isNull(), "deadline_added").when(moved["deadline"], "deadline_moved").otherwise(change)
+    kept = [c for c in old.columns if c not in (key, *fields, *STATE)]
+    return met.select(
+        key, *[F.coalesce(F.col(f"n.{c}"), F.col(c)).alias(c) for c in fields], *kept, F.coalesce("first_seen", "n.seen_at").alias("first_seen"),
+        F.coalesce("n.seen_at", "last_seen").alias("last_seen"), (F.coalesce("times_seen", F.lit(0)) + fresh.cast("int")).cast("long").alias("times_seen"),
+        F.when(fresh & ~known, "new").when(fresh, change).alias("change_type"))
+
+
+def apply_batch(batch: DataFrame, batch_id: int, root: str, key: str = "url_key", run: str = "") -> None:
+    """Merges a micro-batch into the archive as its next version, named after the `run` (a checkpoint) and the batch; one that this run has
+    merged before changes nothing. The version before stays as it is; each version is the whole archive."""
     spark = batch.sparkSession
-    found = versions(spark, root)
-    if batch_id + 1 in found:
+    found = _versions(spark, root)
+    if (run, batch_id) in {(r, b) for _, r, b in found}:
         return
-    fields = ("title", "deadline")
-    new = batch.groupBy(key).agg(*[F.min_by(c, "seen_at").alias(f"n_{c}") for c in fields], F.min("seen_at").alias("n_seen"))
     old = current(spark, root)
     if old is None:
-        old = spark.createDataFrame([], f"{key} string, title string, deadline timestamp, first_seen timestamp, last_seen timestamp, times_seen long, change_type string")
-    met = old.join(new, key, "full_outer")
-    known, fresh = F.col("times_seen").isNotNull(), F.col("n_seen").isNotNull()
-    moved = F.col("n_deadline").isNotNull() & ~F.col("n_deadline").eqNullSafe(F.col("deadline"))
-    other = F.col("n_title").isNotNull() & ~F.col("n_title").eqNullSafe(F.col("title"))
-    out = met.select(
-        key, F.coalesce("n_title", "title").alias("title"), F.coalesce("n_deadline", "deadline").alias("deadline"), F.coalesce("first_seen", "n_seen").alias("first_seen"),
-        F.coalesce("n_seen", "last_seen").alias("last_seen"), (F.coalesce("times_seen", F.lit(0)) + fresh.cast("int")).cast("long").alias("times_seen"),
-        F.when(fresh & ~known, "new").when(fresh & moved, "deadline_moved").when(fresh & other, "content_changed").alias("change_type"))
-    out.write.mode("overwrite").parquet(f"{root}/v{batch_id + 1}")
+        fields = [f"`{c}` {t}" for c, t in batch.dtypes if c != "seen_at"]
+        old = spark.createDataFrame([], ", ".join([*fields, *(f"{k} {t}" for k, t in STATE.items())]))
+    merged(old, batch, key).write.mode("overwrite").parquet(f"{root}/v{found[-1][0] + 1 if found else 1}-{run}-{batch_id}")
 
 
 def run_incremental(stream: DataFrame, root: str, checkpoint: str, key: str = "url_key"):
-    """Works off what is there and stops; run again, it goes on where it stopped."""
+    """Works off what is there and stops; run again with its checkpoint, it goes on where it stopped. With a new checkpoint it reads all
+    of the stream again, into the same archive."""
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
     return (stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint)
-            .foreachBatch(lambda batch, i: apply_batch(batch, i, root, key)).start())
+            .foreachBatch(lambda batch, i: apply_batch(batch, i, root, key, run)).start())
 
 
 def deduplicated(stream: DataFrame, at: str = "ts", key: str = "digest_key", window: str = "20 hours") -> DataFrame:

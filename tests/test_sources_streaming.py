@@ -61,11 +61,27 @@ def test_stream_upsert_is_idempotent(spark, tmp_path):
     first = sorted(map(tuple, incremental.current(spark, root).select("url_key", "title", "times_seen", "change_type").collect()))
     assert first == [("a", "A", 1, "new"), ("b", "B", 1, "new")]
     incremental.run_incremental(stream(), root, ckpt).awaitTermination()
-    incremental.apply_batch(spark.createDataFrame([("a", "x", None, at(9))], schema), 0, root)
+    run = incremental._versions(spark, root)[0][1]
+    incremental.apply_batch(spark.createDataFrame([("a", "x", None, at(9))], schema), 0, root, run=run)  # a replay
     assert sorted(map(tuple, incremental.current(spark, root).select("url_key", "title", "times_seen", "change_type").collect())) == first
     spark.createDataFrame([("a", "A", at(5), at(6)), ("c", "C", None, at(6))], schema).write.mode("append").parquet(src)
     incremental.run_incremental(stream(), root, ckpt).awaitTermination()
     assert sorted(map(tuple, incremental.current(spark, root).select("url_key", "times_seen", "change_type").collect())) == [("a", 2, "deadline_moved"), ("b", 1, None), ("c", 1, "new")]
+    # a new checkpoint on the same archive reads everything again and drops no batch
+    spark.createDataFrame([("d", "D", None, at(7))], schema).write.mode("append").parquet(src)
+    incremental.run_incremental(stream(), root, str(tmp_path / "other")).awaitTermination()
+    assert sorted(map(tuple, incremental.current(spark, root).select("url_key", "times_seen").collect())) == [("a", 3), ("b", 2), ("c", 2), ("d", 1)]
+
+
+def test_merge_of_all_fields(spark):
+    at = lambda h: datetime(2026, 1, 1, h)
+    old = spark.createDataFrame([("a", "A", "old", 5.0, at(1), at(1), 1, "new"), ("b", "B", None, None, at(1), at(1), 4, None)],
+                                "url_key string, title string, place string, amount_usd double, first_seen timestamp, last_seen timestamp, times_seen long, change_type string")
+    batch = spark.createDataFrame([("a", None, 6.0, at(2), at(3)), ("b", "B2", None, None, at(3)), (None, "x", 1.0, None, at(3)), ("c", "C", None, None, at(3)), ("a", "late", 9.0, None, at(4))],
+                                  "url_key string, title string, amount_usd double, deadline timestamp, seen_at timestamp")
+    got = {r["url_key"]: r for r in incremental.merged(old, batch, "url_key").collect()}
+    assert {k: (r["title"], r["place"], r["amount_usd"], r["times_seen"], r["change_type"]) for k, r in got.items()} == {
+        "a": ("A", "old", 6.0, 2, "deadline_added"), "b": ("B2", None, None, 5, "content_changed"), "c": ("C", None, None, 1, "new")}
 
 
 def test_stream_breaker_and_dedupe(spark, tmp_path):
