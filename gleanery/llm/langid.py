@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import small_batches
+from gleanery.llm.common import free_name, small_batches
 
 _OTHER = re.compile(r"[\W\d_]+")
 UNDETERMINED = "und"
@@ -85,7 +85,7 @@ def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
     """A model from `labelled` rows, of which null languages and texts without letters are passed over.
 
     Document frequencies are counted over all of them. The weights are fitted on a sample that is bounded by
-    the parameter `per_label`: the rows of each language with the least hashes of their identifiers.
+    the parameter `per_label`: the rows of each language with the least hashes of identifier and text.
     """
     small_batches(labelled.sparkSession)
     rows = labelled.select(F.col(doc_id).cast("string").alias("k"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
@@ -115,7 +115,7 @@ def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
             yield pd.DataFrame(found, columns=["h", "lang", "at", "n"])
 
     share = F.create_map(*[x for y in labels for x in (F.lit(y), F.lit(min(1.0, 1.2 * per_label / sizes[y])))])
-    drawn = rows.withColumn("h", F.md5(F.coalesce("k", F.lit("")))).where(F.conv(F.substring("h", 1, 8), 16, 10).cast("double") / 2**32 < share[F.col("lang")])
+    drawn = rows.withColumn("h", F.md5(F.concat(F.coalesce("k", F.lit("")), F.lit("|"), F.md5("text")))).where(F.conv(F.substring("h", 1, 8), 16, 10).cast("double") / 2**32 < share[F.col("lang")])
     by_label: dict[str, list] = {y: [] for y in labels}
     for r in drawn.select("h", "lang", "text").mapInPandas(features, "h string, lang string, at binary, n binary").collect():
         by_label[r["lang"]].append((r["h"], np.frombuffer(r["at"], "<i4"), np.frombuffer(r["n"], "<i4")))
@@ -157,4 +157,5 @@ def identify(df: DataFrame, model: dict, text: str = "text") -> DataFrame:
             yield pd.DataFrame(out, columns=["lang_pred", "score"])
 
     kept = [c for c in df.columns if c.lower() not in {"lang_pred", "score"}]
-    return df.withColumn("_lang", predict(F.col(text))).select(*kept, F.col("_lang.lang_pred").alias("lang_pred"), F.col("_lang.score").alias("score"))
+    name = free_name(df, "lang")
+    return df.withColumn(name, predict(F.col(text))).select(*kept, F.col(f"{name}.lang_pred").alias("lang_pred"), F.col(f"{name}.score").alias("score"))

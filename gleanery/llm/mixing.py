@@ -36,17 +36,16 @@ def mix(df: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, seed:
     spark = df.sparkSession
     out = [c for c in df.columns if c.lower() not in {"size", "source_size", "target", "copies", "taken"}]
     rows = df.select(
-        *[F.col(c) for c in out],
+        *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(out)],  # own names, so that none clashes with what follows
         F.col(source).alias("_src"), F.col(doc_id).alias("_id"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"),
         F.expr(f"CAST(conv(substr(md5(coalesce(CAST(`{doc_id}` AS STRING), '')), 1, 8), 16, 10) AS BIGINT) DIV {2**32 // SLICES}").alias("_slice"),
     ).withColumn("_class", F.expr("length(bin(size)) * 8 + (size * 8) DIV shiftleft(1L, length(bin(size)))"))
     groups = written(rows.groupBy("_src", "_class", "_slice").agg(F.count("*").alias("n"), F.sum("size").alias("words")), "mix")
-    groups.createOrReplaceTempView("_mix_groups")
     places = spark.sql(f"""
         WITH by_source AS (
             SELECT _src, sum(words) AS s, row_number() OVER (ORDER BY _src ASC NULLS LAST) AS rank
-            FROM _mix_groups GROUP BY _src),
+            FROM {{groups}} GROUP BY _src),
         weighted AS (
             SELECT *, element_at(array({', '.join(map(str, weights))}), CAST((rank - 1) % {len(weights)} + 1 AS INT)) AS w FROM by_source),
         level AS (
@@ -58,8 +57,8 @@ def mix(df: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, seed:
                 CAST(conv(substr(md5(concat('{seed}', coalesce(_src, '\\0'))), 1, 8), 16, 10) AS BIGINT) / 4294967296.0D AS u
             FROM level),
         classes AS (
-            SELECT *, least({SLICES}, sum(n) OVER (PARTITION BY _src, _class) * {STRATA} DIV (SELECT sum(n) FROM _mix_groups) + 1) AS k
-            FROM _mix_groups),
+            SELECT *, least({SLICES}, sum(n) OVER (PARTITION BY _src, _class) * {STRATA} DIV (SELECT sum(n) FROM {{groups}}) + 1) AS k
+            FROM {{groups}}),
         strata AS (SELECT *, _slice * k DIV {SLICES} AS _stratum FROM classes),
         offsets AS (
             SELECT _src, _class, _stratum, sum(sum(n)) OVER (PARTITION BY _src ORDER BY _class, _stratum) - sum(n) AS before
@@ -68,20 +67,21 @@ def mix(df: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, seed:
             CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0D END AS rate
         FROM strata a
         JOIN offsets b ON a._src <=> b._src AND a._class = b._class AND a._stratum = b._stratum
-        JOIN targets c ON a._src <=> c._src""")
+        JOIN targets c ON a._src <=> c._src""", groups=groups)
     places = maybe_broadcast(places, groups.count())
     placed = rows.join(places, F.expr("_src <=> g_src AND _class = g_class AND _slice = g_slice"))
     return (placed
             .withColumn("_i", F.expr("before + row_number() OVER (PARTITION BY _src, _class, _stratum ORDER BY size, _id) - 1"))
             .withColumn("copies", F.expr(f"CAST(greatest(0, least({cap}, floor(u + (_i + 1) * rate) - floor(u + _i * rate))) AS INT)"))
             .withColumn("taken", F.expr("copies * size"))
-            .select(*out, "size", "source_size", "target", "copies", "taken"))
+            .select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(out)], "size", "source_size", "target", "copies", "taken"))
 
 
-def emitted(mixed: DataFrame) -> DataFrame:
-    """The rows of `mix` once for each copy, without its columns."""
-    return (mixed.withColumn("_copy", F.explode(F.expr("array_repeat(1, copies)")))
-            .drop("_copy", "size", "source_size", "target", "copies", "taken"))
+def emitted(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **parameters) -> DataFrame:
+    """The rows of `df` as many times as `mix` takes them, with the columns of `df`, whatever their names; nulls and repeated rows as there."""
+    names = {c: f"_d{i}" for i, c in enumerate(df.columns)}
+    mixed = mix(df.toDF(*names.values()), doc_id=names[doc_id], text=names[text], source=names[source], **parameters)
+    return mixed.withColumn("_copy", F.explode(F.expr("array_repeat(1, copies)"))).select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 #: The same in DuckDB's SQL, for the parameters of the registered query.

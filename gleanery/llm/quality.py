@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import small_batches
+from gleanery.llm.common import free_name, small_batches
 
 #: Fixed values.
 SYMBOLS = "#*$%&|<>"
@@ -103,8 +103,9 @@ def clean_lines(df: DataFrame, max_lost: float = 0.5, text: str = "text", with_t
             yield pd.DataFrame([assess(t, max_lost)[:len(names)] for t in batch], columns=names)
 
     kept = [c for c in df.columns if c.lower() not in fields]
-    out = df.withColumn("_verdict", verdict(F.col(text)))
-    return out.select(*kept, *[F.col(f"_verdict.{c}").alias(c) for c in names])
+    name = free_name(df, "verdict")
+    out = df.withColumn(name, verdict(F.col(text)))
+    return out.select(*kept, *[F.col(f"{name}.{c}").alias(c) for c in names])
 
 
 def _sql(text: str) -> str:
