@@ -1,7 +1,9 @@
 """The corpus pipeline: stages that each take (spark, docs, sf_dir) and return a DataFrame.
 
-Each stage's result is written as Parquet and read again as the next one's docs. All but the last return the
-columns of documents.
+Each stage's result is written as Parquet and read again as the next one's docs. All but the last return the columns of
+their docs, whatever further columns there are and however these are named. In every stage nulls in other columns than text and
+source are kept as they are, an empty table gives an empty table, and repeated rows are documents of their own, but for near
+deduplication, which keeps one. A null text has no language and goes in the first stage; met later it is kept, and packed as the end alone.
 """
 
 from __future__ import annotations
@@ -22,7 +24,10 @@ LEAST_SCORE = 0.5
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language can't be told: no letters, or a calibrated probability below LEAST_SCORE."""
     model = langid.fit(docs.where(~langid.is_held_out()))
-    return langid.identify(docs, model).where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    own = docs.toDF(*[f"_d{i}" for i in range(len(docs.columns))])  # columns named as the prediction's would be replaced
+    told = langid.identify(own, model, text=own.columns[docs.columns.index("text")])
+    told = told.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
+    return told.select(*[F.col(n).alias(c) for n, c in zip(own.columns, docs.columns, strict=True)])
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +42,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes each document as many times as the mix says, which may be none."""
-    return mixing.emitted(mixing.mix(docs)).select(*docs.columns)
+    return mixing.emitted(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
