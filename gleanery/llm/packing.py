@@ -1,8 +1,9 @@
-"""Best-fit packing of token sequences over the whole table.
+"""Hierarchical residual packing of token sequences.
 
-Pieces of one length are alike, so best fit, longest first, hangs on no more than how many pieces each length has.
-Partitions count theirs, the counts are added up, and the driver packs whole runs of equal pieces at once. Each piece
-then finds its sequence by its length and its number among all pieces of that length.
+Chunks of pieces are best-fitted by themselves and their nearly full bins are emitted. What is left in underfull bins goes up a
+tree: each round brings several groups together, best-fits what they left and emits in turn; the last group emits all. Pieces of
+one length are alike, so a group is no more than how many pieces each length has, however many rows stand behind it, and none of
+its bins has to be closed early. Each piece then follows its number among the pieces of its length up to the round that emits it.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import re
 import sys
 import zlib
 from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import maybe_broadcast, small_batches, written
+from gleanery.llm.common import small_batches, written
 
 #: Marks that are tokens apart from the letter before them.
 MARKS = (".", ",", ";", ":", "!", "?")
@@ -172,11 +174,11 @@ def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, in
     return bins, offsets, n
 
 
-def best_fit_runs(counts: dict[int, int], size: int) -> tuple[np.ndarray, int]:
+def fitted(counts: dict[int, int], size: int) -> tuple[np.ndarray, int, list[list[tuple[int, int]]]]:
     """Best fit, longest first, of `counts` (length: items): as many bins as `best_fit` gives the same items.
 
     Rows are (length, number of the run's first item among those of its length, first bin, items a bin, offset in the
-    bin), ascending; the second value is the number of bins. Bins with equal free space take the items of a length in
+    bin), ascending; then come the number of bins and those not full, as (first bin, bins) by free space. Bins with equal free space take the items of a length in
     turn, each as many as it holds, since the bin that took one is the tightest for the next.
     """
     open_at: list[list[tuple[int, int]]] = [[] for _ in range(size + 1)]  # (first bin, bins) by free space
@@ -207,43 +209,117 @@ def best_fit_runs(counts: dict[int, int], size: int) -> tuple[np.ndarray, int]:
             new = -(-(n - at) // (size // length if length else n))
             bins += new
             fill(size, bins - new, new)
-    return np.array(sorted(runs), dtype=np.int64).reshape(-1, 5), bins
+    return np.array(sorted(runs), dtype=np.int64).reshape(-1, 5), bins, open_at
+
+
+def best_fit_runs(counts: dict[int, int], size: int) -> tuple[np.ndarray, int]:
+    """The runs and the number of bins of `fitted`."""
+    return fitted(counts, size)[:2]
+
 
+def emitted_runs(counts: dict[int, int], size: int, slack: int) -> list[tuple]:
+    """The runs of `fitted`, cut where nearly full bins (at most `slack` tokens free) and others meet.
 
-def pack(items: DataFrame, size: int = 1024) -> DataFrame:
+    Rows are (length, first, last, bin, each, offset, done, rest): items first to last - 1 of their length, bins from `bin` on. If the
+    bins are nearly full, the run is done; if not, its items go up, numbered anew from `rest` among those of their length.
+    """
+    runs, _, open_at = fitted(counts, size)
+    under = sorted((b, b + m) for free in range(slack + 1, size + 1) for b, m in open_at[free])
+    starts, rest, out, rows = [u[0] for u in under], {}, [], runs.tolist()
+    for i, (length, at, b, each, offset) in enumerate(rows):
+        end = rows[i + 1][1] if i + 1 < len(rows) and rows[i + 1][0] == length else counts[length]
+        x, stop, j = b, b - (at - end) // each, max(bisect_right(starts, b) - 1, 0)
+        while x < stop:
+            while j < len(under) and under[j][1] <= x:
+                j += 1
+            done = j == len(under) or under[j][0] > x
+            to = stop if j == len(under) else min(stop, under[j][0 if done else 1])
+            first, last, r = at + (x - b) * each, min(at + (to - b) * each, end), rest.get(length, 0)
+            out.append((length, first, last, x, each, offset, done, r))
+            if not done:
+                rest[length] = r + last - first
+            x = to
+    return out
+
+
+def pack(items: DataFrame, size: int = 1024, slack: int = 2, fan_in: int = 16, chunk: int = 65_536) -> DataFrame:
     """Places every row of `items` (as of `pieces`) in a sequence: adds sequence_id and offset (long).
 
-    No sequence exceeds `size`; offsets are gapless from 0; sequences are as many as best fit, longest first, makes of the
-    whole table, however it is dealt over partitions. Repeated rows are items of their own. An empty table gives an empty
-    table. The driver holds the counts of `size` lengths at most; items are shuffled only if the counts by partition are too
-    many to broadcast.
+    No sequence exceeds `size`; offsets are gapless from 0. `slack` is the free space of a bin that counts as nearly full,
+    `fan_in` the groups that meet in a round (about, as a hash assigns them), `chunk` the pieces of a group of the first round. An underfull bin
+    goes up by the pieces in it, as a whole it would fit in next to no other (bins of 600 meet bins of 2 * 424). Repeated rows are
+    items of their own. An empty table gives an empty table. A task holds a chunk's pieces, or the counts of `size` lengths a group. Rounds
+    grow with the logarithm of the number of chunks and touch counts alone; pieces are shuffled once.
     """
     kind = dict(items.dtypes)["doc_id"]
     plain = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grp, seen = TaskContext.get().partitionId(), np.zeros(size + 1, dtype=np.int64)
+        grp, seen = TaskContext.get().partitionId() << 16, np.zeros(size + 1, dtype=np.int64)
         for batch in batches:
+            if seen.sum() >= chunk:
+                grp, seen = grp + 1, np.zeros(size + 1, dtype=np.int64)
             n = batch["length"].to_numpy()
-            batch["grp"], batch["nth"] = np.int64(grp), seen[n] + batch.groupby("length").cumcount().to_numpy()
+            yield batch.assign(chunk=np.int64(grp), nth=seen[n] + batch.groupby("length").cumcount().to_numpy())
             seen += np.bincount(n, minlength=size + 1)
-            yield batch
-
-    table = written(items.select("doc_id", "piece", "start", "length", "ids_crc32").mapInPandas(numbered, f"{plain}, grp long, nth long"), "pack")
-    by_part = written(table.groupBy("grp", "length").agg(F.count("*").alias("n")), "lengths")
-    runs, _ = best_fit_runs({r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}, size)
-    sent = items.sparkSession.sparkContext.broadcast(runs)
-    before = by_part.select("grp", "length", (F.sum("n").over(Window.partitionBy("length").orderBy("grp")) - F.col("n")).alias("earlier"))
 
-    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        runs = sent.value
-        starts = (runs[:, 0] << 48) + runs[:, 1]
-        for batch in batches:
-            length, nth = batch["length"].to_numpy(), batch["nth"].to_numpy()
-            run = runs[np.searchsorted(starts, (length << 48) + nth, side="right") - 1]
-            inside = nth - run[:, 1]
-            yield batch.drop(columns="nth").assign(sequence_id=run[:, 2] + inside // run[:, 3], offset=run[:, 4] + inside % run[:, 3] * length)
-
-    whole = table.join(maybe_broadcast(before, by_part.count()), ["grp", "length"])
-    return whole.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("nth") + F.col("earlier")).alias("nth")).mapInPandas(
-        placed, f"{plain}, sequence_id long, offset long")
+    table = written(items.select(*columns).mapInPandas(numbered, f"{plain}, chunk long, nth long"), "pack")
+    # what a chunk has left of a length: the items lo to lo + n - 1 of its group
+    spans = written(table.groupBy("chunk", "length").agg(F.count("*").alias("n")).select(
+        "chunk", F.col("chunk").alias("grp"), "length", F.lit(0).cast("long").alias("lo"), "n"), "spans")
+    groups, top = spans.agg(F.countDistinct("grp"), F.max("grp")).first()
+    level, width, paths = 0, (top or 0) + 1, []
+    while True:
+        paths.append(climbed(spans, level, width, -(-groups // fan_in) if groups > 1 else 0, size, slack))
+        if groups <= 1:
+            break
+        level, groups = level + 1, -(-groups // fan_in)
+        width = groups
+        spans = paths[-1].where("NOT done").groupBy("chunk", F.col("parent").alias("grp"), "length").agg(
+            F.expr("min(greatest(first, lo) + up)").alias("lo"), F.expr("sum(least(last, lo + n) - greatest(first, lo))").alias("n"))
+    path = paths[0]
+    for more in paths[1:]:
+        path = path.unionByName(more)
+
+    def placed(rows: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
+        length, nth, left = rows["length"].to_numpy(), rows["nth"].to_numpy().copy(), np.arange(len(rows))
+        sequence, offset = np.zeros(len(rows), dtype=np.int64), np.zeros(len(rows), dtype=np.int64)
+        for _, r in runs.sort_values(["level", "length", "first"]).groupby("level"):
+            first, bin, each, start, done, up, scale, shift = (r[c].to_numpy() for c in ("first", "bin", "each", "offset", "done", "up", "scale", "shift"))
+            k = np.searchsorted((r["length"].to_numpy() << 48) + first, (length[left] << 48) + nth[left], side="right") - 1
+            inside = nth[left] - first[k]
+            sequence[left] = (bin[k] + inside // each[k]) * scale[k] + shift[k]
+            offset[left] = start[k] + inside % each[k] * length[left]
+            nth[left] += up[k]
+            left = left[~done[k]]
+        return rows[columns].assign(sequence_id=sequence, offset=offset)
+
+    path = path.select("chunk", "level", "length", "first", "bin", "each", "offset", "done", "up", "scale", "shift")
+    return table.groupBy("chunk").cogroup(path.groupBy("chunk")).applyInPandas(placed, f"{plain}, sequence_id long, offset long")
+
+
+def climbed(spans: DataFrame, level: int, width: int, parents: int, size: int, slack: int) -> DataFrame:
+    """Best-fits every group of `spans` (chunk, grp, length, lo, n) and tells each chunk the runs that its items are in (written).
+
+    `parents` is the number of groups of the next round; 0: this is the last one and all bins are done. Adds the run (as of
+    `emitted_runs`), for items that go up the group `parent` and `up`, what is added to their number, and for a sequence's
+    number bin * `scale` + `shift`, where group numbers are below `width`. A group's task holds the counts of its lengths alone.
+    """
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        runs = emitted_runs(dict(zip(rows["length"].tolist(), rows["n"].tolist(), strict=True)), size, slack if parents else size)
+        out = pd.DataFrame(runs, columns=["length", "first", "last", "bin", "each", "offset", "done", "rest"])
+        return out.assign(grp=rows["grp"].iloc[0])
+
+    counts = spans.groupBy("grp", "length").agg(F.sum("n").alias("n"))
+    runs = written(counts.groupBy("grp").applyInPandas(
+        fit, "grp long, length long, first long, last long, bin long, each long, offset long, done boolean, rest long"), "runs")
+    # groups that meet number their items of a length one after the other
+    left = runs.where("NOT done").groupBy("grp", "length").agg(F.expr("sum(last - first)").alias("m"))
+    left = left.withColumn("parent", F.pmod(F.xxhash64("grp", F.lit(level)), F.lit(max(parents, 1))).cast("long"))
+    before = F.sum("m").over(Window.partitionBy("parent", "length").orderBy("grp")) - F.col("m")
+    runs = runs.join(left.select("grp", "length", "parent", before.alias("before")), ["grp", "length"], "left")
+    return written(spans.join(runs, ["grp", "length"]).where("first < lo + n AND last > lo").select(
+        "chunk", F.lit(level).alias("level"), "length", "lo", "n", "first", "last", "bin", "each", "offset", "done", "parent",
+        F.expr("IF(done, 0L, rest - first + before)").alias("up"), F.lit(32 * width).cast("long").alias("scale"),
+        (F.col("grp") * 32 + level).alias("shift")), "climbed")

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from gleanery.llm.packing import best_fit, best_fit_runs, encoder, pack, pieces
+from gleanery.llm.packing import best_fit, best_fit_runs, emitted_runs, encoder, pack, pieces
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -105,3 +105,40 @@ def test_no_bin_is_closed_before_it_met_the_others(spark):
     out = pack(some.unionByName(rest))
     assert out.count() == 120_000 and out.select("sequence_id").distinct().count() == 60_000
     assert out.groupBy("sequence_id").agg({"length": "sum"}).where("`sum(length)` <> 1024").count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([1, 2, 3, 5, 7, 11, 20, 31, 33, 40, 63, 64]), max_size=150), st.integers(0, 8))
+def test_emitted_runs_hold_every_item_once(lengths, slack):
+    counts = {x: lengths.count(x) for x in lengths}
+    fill, up, seen = {}, {}, {}
+    for x, first, last, b, each, offset, done, rest in emitted_runs(counts, 64, slack):
+        assert first == seen.get(x, 0) and last > first
+        seen[x] = last
+        if done:
+            for i in range(last - first):
+                fill.setdefault(b + i // each, []).append((offset + i % each * x, x))
+        else:
+            assert rest == up.get(x, 0)
+            up[x] = rest + last - first
+    assert seen == counts
+    for inside in fill.values():
+        at = 0
+        for o, x in sorted(inside):
+            assert o == at
+            at += x
+        assert 64 - slack <= at <= 64
+
+
+def test_many_rounds_lose_nothing_and_stay_near_best_fit(spark):
+    rng = np.random.default_rng(5)
+    lengths = np.clip(rng.lognormal(5, 1, 6000).astype(int), 1, 1024)
+    rows = spark.createDataFrame([(i % 900, i, 0, int(n), i) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        out = pack(rows.repartition(6), fan_in=2, chunk=300).collect()  # 24 chunks, five rounds
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(r["ids_crc32"] for r in out) == list(range(6000))
+    n, best = held(out, 1024), best_fit(lengths, 1024)[2]
+    assert n <= 1.01 * best + 1, (n, best)
