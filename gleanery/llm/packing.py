@@ -34,13 +34,13 @@ class PieceEncoder(dict):
     """Token ids (bytes of little-endian unsigned 32-bit numbers) of space-separated parts, remembered.
 
     The splitting pattern of byte-level vocabularies joins one space to the word behind it, so a text whose white
-    space is single spaces and line ends, none beside another, has the tokens of its parts, each with its space. A part
-    has in turn the tokens of what stands before, at and behind a line end, and of a word and the mark that closes it.
+    space is single spaces and line ends, none beside another, has the tokens of its parts, each with the space or line end
+    before it. A part has in turn the tokens of that line end, of its word and of the mark that closes it.
     Any other text, and one that may hold a special string, is encoded whole. At most about 2 * `most` parts are remembered, in two
     generations: as soon as the young one is full it becomes the old one, and parts of the old one that come again move to the young.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 500_000):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -49,71 +49,63 @@ class PieceEncoder(dict):
         self.heads = sorted({t.content[:2] for t in self.library.get_added_tokens_decoder().values()})
         self.odd = re.compile(r"[^\S\n ]|[\x1c-\x1f]").search
         self.marks = dict(zip(MARKS, self.whole(list(MARKS)), strict=True))
-        self.update(self.marks)
+        self.line_end = self.whole(["\n"])[0]
         self.old: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() if LITTLE else np.asarray(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def lines(self, parts: list[str], together: int = 2_000) -> list[bytes]:
+        """As `whole`, for parts without white space but a space ahead: `together` of them are encoded at once, as lines."""
+        out = []
+        for at in range(0, len(parts), together):
+            some = parts[at:at + together]
+            ids = self.whole(["\n".join(some)])[0]
+            ends = 4 * np.flatnonzero(np.frombuffer(ids, "<u4") == int.from_bytes(self.line_end, "little"))
+            out += [ids[a:b] for a, b in zip([0, *(ends + 4).tolist()], [*ends.tolist(), len(ids)], strict=True)]
+        return out
+
     def plain(self, text: str) -> bool:
         return not ("  " in text or "\n " in text or " \n" in text or "\n\n" in text or text[-1:].isspace() or text[:1].isspace()
                     or self.odd(text) or any(h in text for h in self.heads))
 
-    @staticmethod
-    def atoms(part: str) -> list[str]:
-        out = []
-        for i, x in enumerate(part.split("\n")):
-            if i:
-                out.append("\n")
-            if x[-1:] in MARKS and x[-2:-1].isalpha():
-                out += [x[:-1], x[-1]]
-            else:
-                out.append(x)
-        return out
-
-    def learn(self, parts: set[str]) -> dict[str, bytes]:
-        """Remembers the ids of `parts`, but for those across a line end, which hardly come again and are returned."""
-        new, closed, across = set(), [], []
-        for p in parts:
-            if "\n" in p:
-                atoms = self.atoms(p)
-                new.update(atoms)
-                across.append((p, atoms))
-            elif p[-1] in MARKS and p[-2:-1].isalpha():
-                new.add(p[:-1])
-                closed.append(p)
-            else:
-                new.add(p)
-        new -= self.keys()
-        known = new & self.old.keys()
-        self.update((p, self.old[p]) for p in known)
-        fresh = list(new - known)
-        self.update(zip(fresh, self.whole(fresh), strict=True))
-        for p in closed:
-            self[p] = self[p[:-1]] + self[p[-1]]
-        return {p: b"".join([self[a] for a in atoms]) for p, atoms in across}
+    def learn(self, parts: set[str]) -> None:
+        """Remembers the ids of `parts`, named as in `batch`."""
+        closed = {p: p[:-1] for p in parts if p[-1] in MARKS and p[-2:-1].isalpha()}
+        # asked one by one: a difference of sets would walk through all that is remembered
+        new = [p for p in parts.difference(closed).union(closed.values()) if p not in self]
+        self.update((p, self.old[p]) for p in new if p in self.old)
+        fresh = [p for p in new if p not in self.old]
+        for p, x in zip(fresh, self.lines([p[1:] if p[0] in "\t\n" else " " + p for p in fresh]), strict=True):
+            self[p] = self.line_end + x if p[0] == "\n" else x
+        for p, word in closed.items():
+            self[p] = self[word] + self.marks[p[-1]]
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text. A part is named by its letters if a space is before it, with the line end if that is
+        before it, and with a tab, which no plain text has, if the text begins with it."""
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
-            self.update(self.marks)
-        out, alone, waiting, get = [b""] * len(texts), [], [], self.get
+        out, alone, waiting, get, missed = [b""] * len(texts), [], [], self.get, set()
         for i, text in enumerate(texts):
             if not text:
                 continue
             if not self.plain(text):
                 alone.append(i)
                 continue
-            parts = text.split(" ")
-            parts[1:] = [" " + p for p in parts[1:]]
+            parts = ("\t" + text).replace("\n", " \n").split(" ")
             ids = list(map(get, parts))
-            gaps = [j for j, x in enumerate(ids) if x is None] if None in ids else []
-            waiting.append((i, ids, gaps, [parts[j] for j in gaps]))
-        across = self.learn(set().union(*[w[3] for w in waiting]))
-        for i, ids, gaps, parts in waiting:
-            for j, p in zip(gaps, parts, strict=True):
-                ids[j] = across[p] if p in across else self[p]
+            if None in ids:
+                gaps = [(j, parts[j]) for j, x in enumerate(ids) if x is None]
+                missed.update(p for _, p in gaps)
+                waiting.append((i, ids, gaps))
+            else:
+                out[i] = b"".join(ids)
+        self.learn(missed)
+        for i, ids, gaps in waiting:
+            for j, p in gaps:
+                ids[j] = self[p]
             out[i] = b"".join(ids)
         for i in alone:
             out[i] = self.whole([texts[i]])[0]
@@ -121,12 +113,12 @@ class PieceEncoder(dict):
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, most: int = 300_000) -> PieceEncoder:
+def encoder(path: str, most: int = 500_000) -> PieceEncoder:
     """One per Python worker and vocabulary."""
     return PieceEncoder(path, most)
 
 
-def pieces(df: DataFrame, vocabulary: str, size: int, end_id: int, doc_id: str = "doc_id", text: str = "text", remembered: int = 300_000) -> DataFrame:
+def pieces(df: DataFrame, vocabulary: str, size: int, end_id: int, doc_id: str = "doc_id", text: str = "text", remembered: int = 500_000) -> DataFrame:
     """The token pieces of every document: doc_id, piece, start, length, ids_crc32.
 
     A document is its text's ids (null: none) and then `end_id`. One longer than `size` is cut so that all
