@@ -67,7 +67,7 @@ class PieceEncoder(dict):
 
     def plain(self, text: str) -> bool:
         return not ("  " in text or "\n " in text or " \n" in text or "\n\n" in text or text[-1:].isspace() or text[:1].isspace()
-                    or self.odd(text) or any(h in text for h in self.heads))
+                    or not text.replace("\n", "").isprintable() and self.odd(text) or any(h in text for h in self.heads))
 
     def learn(self, parts: set[str]) -> None:
         """Remembers the ids of `parts`, named as in `batch`."""
