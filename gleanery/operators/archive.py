@@ -82,3 +82,9 @@ def marked(df: DataFrame, edits: DataFrame) -> DataFrame:
     out = df.join(e, "id", "left").withColumn("hidden", F.coalesce("_h", "hidden"))
     out = out.withColumn("starred", F.when(F.col("_h").eqNullSafe(True), False).otherwise(F.coalesce("_s", "starred")))
     return out.withColumn("notes", F.nullif(F.substring(F.trim("_n"), 1, 2000), F.lit(""))).drop("_s", "_h", "_n")
+
+
+def candidate_outcome(skip: Column, text: Column, title: Column, least_text: int = 40, least_title: int = 6) -> Column:
+    """unchanged for a candidate whose page is known, rejected for too short a text or title (null: none), else kept."""
+    short = lambda c, n: F.length(F.coalesce(c, F.lit(""))) < n
+    return F.when(F.coalesce(skip, F.lit(False)), "unchanged").when(short(text, least_text) | short(title, least_title), "rejected").otherwise("kept")

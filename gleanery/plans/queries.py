@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleanery.plans import records, registry
+from gleanery.plans import notices, records, registry
 
 QUERIES, ORACLE_SQL = registry.QUERIES, registry.ORACLE_SQL
-__all__ = ["QUERIES", "ORACLE_SQL", "records"]
+__all__ = ["QUERIES", "ORACLE_SQL", "notices", "records"]

@@ -53,3 +53,14 @@ def chunked(text: Column, size: int = 3500, most: int = 4) -> Column:
 def append_table(df: DataFrame, path: str) -> None:
     """Appends telemetry or log rows."""
     df.write.mode("append").parquet(path)
+
+
+def send_file(digest: DataFrame, folder: str, text: str = "markdown") -> None:
+    """Appends the entries of a bounded digest (place and `text`) as one text file in `folder`, in order of place."""
+    digest.coalesce(1).sortWithinPartitions("place").select(F.concat(F.col(text), F.lit("\n")).alias("value")).write.mode("append").text(folder)
+
+
+def send_console(digest: DataFrame, text: str = "plain", most: int = 25) -> None:
+    """Prints the first `most` entries of a digest."""
+    for row in digest.orderBy("place").limit(most).select(text).collect():
+        print(row[0], end="\n\n")
