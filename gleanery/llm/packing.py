@@ -51,35 +51,45 @@ class PieceEncoder(dict):
         self.marks = dict(zip(MARKS, self.whole(list(MARKS)), strict=True))
         self.line_end = self.whole(["\n"])[0]
         self.old: dict[str, bytes] = {}
+        # how the vocabulary writes bytes: printable ones as themselves, the others as letters from U+0100 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.alphabet = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
+        self.model, self.space = self.library.model, self.alphabet[32]
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() if LITTLE else np.asarray(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def lines(self, parts: list[str], together: int = 2_000) -> list[bytes]:
-        """As `whole`, for parts without white space but a space ahead: `together` of them are encoded at once, as lines."""
-        out = []
-        for at in range(0, len(parts), together):
-            some = parts[at:at + together]
-            ids = self.whole(["\n".join(some)])[0]
-            ends = 4 * np.flatnonzero(np.frombuffer(ids, "<u4") == int.from_bytes(self.line_end, "little"))
-            out += [ids[a:b] for a, b in zip([0, *(ends + 4).tolist()], [*ends.tolist(), len(ids)], strict=True)]
-        return out
-
     def plain(self, text: str) -> bool:
         return not ("  " in text or "\n " in text or " \n" in text or "\n\n" in text or text[-1:].isspace() or text[:1].isspace()
                     or not text.replace("\n", "").isprintable() and self.odd(text) or any(h in text for h in self.heads))
 
-    def learn(self, parts: set[str]) -> None:
-        """Remembers the ids of `parts`, named as in `batch`."""
-        closed = {p: p[:-1] for p in parts if p[-1] in MARKS and p[-2:-1].isalpha()}
-        # asked one by one: a difference of sets would walk through all that is remembered
-        new = [p for p in parts.difference(closed).union(closed.values()) if p not in self]
-        self.update((p, self.old[p]) for p in new if p in self.old)
-        fresh = [p for p in new if p not in self.old]
-        for p, x in zip(fresh, self.lines([p[1:] if p[0] in "\t\n" else " " + p for p in fresh]), strict=True):
-            self[p] = self.line_end + x if p[0] == "\n" else x
-        for p, word in closed.items():
-            self[p] = self[word] + self.marks[p[-1]]
+    def word(self, text: str) -> bytes:
+        """The ids of one part as it stands in a text. Letters, with a space ahead or not, are one piece of the splitting pattern, so
+        the model alone tells their tokens; beyond U+024F, where versions of Unicode may differ in what is a letter, the whole library does."""
+        letters = text[1:] if text[0] == " " else text
+        if letters.isascii() and letters.isalpha():
+            named = text.replace(" ", self.space)
+        elif letters.isalpha() and max(letters) < "\u0250":
+            named = text.encode().decode("latin-1").translate(self.alphabet)
+        else:
+            return self.whole([text])[0]
+        ids = array("I", [t.id for t in self.model.tokenize(named)])
+        if not LITTLE:
+            ids.byteswap()
+        return ids.tobytes()
+
+    def __missing__(self, part: str) -> bytes:
+        """Remembers the ids of `part`, named as in `batch`."""
+        ids = self.old.get(part)
+        if ids is None:
+            if part[-1] in MARKS and part[-2:-1].isalpha():
+                ids = self[part[:-1]] + self.marks[part[-1]]
+            elif part[0] == "\n":
+                ids = self.line_end + self.word(part[1:])
+            else:
+                ids = self.word(part[1:] if part[0] == "\t" else " " + part)
+        self[part] = ids
+        return ids
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text. A part is named by its letters if a space is before it, with the line end if that is
@@ -87,29 +97,9 @@ class PieceEncoder(dict):
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
-        out, alone, waiting, get, missed = [b""] * len(texts), [], [], self.get, set()
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            if not self.plain(text):
-                alone.append(i)
-                continue
-            parts = ("\t" + text).replace("\n", " \n").split(" ")
-            ids = list(map(get, parts))
-            if None in ids:
-                gaps = [(j, parts[j]) for j, x in enumerate(ids) if x is None]
-                missed.update(p for _, p in gaps)
-                waiting.append((i, ids, gaps))
-            else:
-                out[i] = b"".join(ids)
-        self.learn(missed)
-        for i, ids, gaps in waiting:
-            for j, p in gaps:
-                ids[j] = self[p]
-            out[i] = b"".join(ids)
-        for i in alone:
-            out[i] = self.whole([texts[i]])[0]
-        return out
+        ids = self.__getitem__
+        return [b"" if not text else b"".join(map(ids, ("\t" + text).replace("\n", " \n").split(" "))) if self.plain(text) else self.whole([text])[0]
+                for text in texts]
 
 
 @lru_cache(maxsize=4)
