@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import hmm, langid, line_dedup, mixing, quality, secrets
+from gleanery.llm import centroids, conversations, hmm, langid, line_dedup, mixing, quality, secrets, toxicity
 from gleanery.llm.embedding_dup import near_vectors
 from gleanery.llm.near_dup import near_classes
 from gleanery.llm.packing import pack, pieces
@@ -65,6 +65,24 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.delta_lloyd(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=16, rounds=3, scale=64, dim=64, seed="1")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = langid.is_held_out("doc_id", 4, 2)
+    docs = documents(spark, sf_dir).select("doc_id", "text").withColumn("held_out", held_out)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    out = toxicity.score(docs, toxicity.fit(docs.where("NOT held_out"), labels.where(~held_out)))
+    worst = F.array_max(F.transform("offending", lambda s: F.struct(s["score"].alias("score"), (-s["start"]).alias("start"), s["length"].alias("length"))))
+    out = out.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_sentences", F.size("offending").cast("long").alias("n_offending"), worst.alias("w"))
+    return out.select("doc_id", "held_out", "score", "predicted", "n_sentences", "n_offending", (-F.col("w.start")).alias("worst_start"), F.col("w.length").alias("worst_length"), F.col("w.score").alias("worst_score"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -76,10 +94,15 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_mixing": op9_mixing,
     "op10_token_counts": op10_token_counts,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_toxicity": op13_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE_SQL,
     "op2_quality_rules": quality.ORACLE_SQL,
     "op9_mixing": mixing.ORACLE_SQL,
+    "op11_centroid_clustering": centroids.ORACLE_SQL,
+    "op12_conversation_repair": conversations.ORACLE_SQL,
 }
