@@ -53,7 +53,7 @@ def test_held_out_accuracy(spark, sf, recall, precision):
 
 def test_edge_rows(spark):
     rows = [(i, "You fool. Go away." if i % 2 else "Good day. Come in.", 1.0) for i in range(40)]
-    rows += [(40, None, 1.0), (41, "", 1.0), (42, "?!.\n", 1.0), (43, "Good day. " * 30_000 + "fool", 1.0), (None, "fool", 1.0), (1, "You fool. Go away.", 1.0)]
+    rows += [(40, None, 1.0), (41, "", 1.0), (42, "?!.\n", 1.0), (43, "Good day. " * 30_000 + "You fool", 1.0), (None, "fool", 1.0), (1, "You fool. Go away.", 1.0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, score double")
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(0, None), (None, 1), (40, 1), (1, 0)], "doc_id long, toxic int")
     model = fit(df, labels)
