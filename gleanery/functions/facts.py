@@ -40,6 +40,10 @@ DEGREES = {
     "Diploma": ("diploma", "foundation year"),
     "Postdoc": ("postdoc", "postdoctoral", "post doc"),
 }
+#: Short forms of levels, which count where nothing but a level is meant, not in prose.
+SHORT_DEGREES = {"Bachelor": ("b sc", "b a", "ba", "bba", "btech"), "Master": ("m sc", "m eng", "mtech", "post graduate"), "PhD": ("dphil",), "Diploma": ("foundation",), "Postdoc": ()}
+#: Phrases that leave the subject open.
+EVERY_FIELD = tuple(f"{w} {n}" for w in ("any", "all") for n in ("subject", "subjects", "field", "fields", "discipline", "disciplines", "course", "courses", "program", "programme", "degree"))
 #: Phrases that speak for a field of study.
 FIELDS = {
     "AI/ML": ("artificial intelligence", "machine learning", "deep learning", "neural networks", "computer vision", "language models", "ai"),
@@ -115,6 +119,11 @@ def bound(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
+def level_names(value: Column) -> Column:
+    """The levels, in order, that a value which states levels names."""
+    return bound(spaced(value), lambda words: F.array_compact(F.array(*[F.when(says(words, p + SHORT_DEGREES[k]), F.lit(k)) for k, p in DEGREES.items()])))
+
+
 def classes(text: Column, phrases: dict[str, tuple[str, ...]]) -> Column:
     """The comma-separated names of the classes of which a phrase occurs, in their order."""
     return bound(spaced(text), lambda words: F.array_join(F.array_compact(F.array(*[F.when(says(words, p), F.lit(k)) for k, p in phrases.items()])), ","))

@@ -42,7 +42,7 @@ def coerce_numbers(spark, sf_dir):
     return raw(spark, sf_dir).select("id", coerce.number_in(F.col("r_number")).alias("number"), coerce.count_in(F.col("r_number")).alias("n"))
 
 
-LEVEL = "CASE WHEN r_level NOT IN ('', 'null') THEN coalesce(nullif(concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(r_level, '(?i){p}') THEN '{k}' END" for k, p in coerce.LEVELS.items() if k != "Any") + "), ''), 'Any') END"
+LEVEL = "CASE r_level WHEN 'Undergraduate or Master''s' THEN 'Bachelor,Master' WHEN 'PhD, post-doc' THEN 'PhD,Postdoc' WHEN 'Foundation course' THEN 'Diploma' WHEN 'MSc / M.Sc' THEN 'Master' WHEN 'null' THEN NULL ELSE 'Any' END"
 FUNDING = "CASE WHEN r_funding = '' THEN NULL WHEN r_funding ILIKE '%full%' THEN 'Full' WHEN r_funding ILIKE '%tuition only%' OR r_funding ILIKE '%tuition-only%' OR r_funding ILIKE '%waiver%' THEN 'Tuition-only' WHEN r_funding ILIKE '%partial%' THEN 'Partial' ELSE 'Unknown' END"
 
 
@@ -89,16 +89,22 @@ def merged_over(spark, sf_dir):
     return o.select("id", *[coerce.filled(F.expr(OWN[k]), F.expr(OTHER[k]), kind).alias(k) for k, kind in kinds.items()])
 
 
-@query("SELECT id, coalesce(country, 'Peru') AS host, 2 AS n FROM opps")
+NAMED = "translate(coalesce(country, 'Peru'), '_0123456789', ' ABCDEFGHIJ') || CASE id % 4 WHEN 0 THEN ', New  Zealand and ' || source || ' for all nationals || Read more' WHEN 1 THEN '; Oman - and the Cook Islands.' WHEN 2 THEN ' intended for women, ' || CAST(id AS VARCHAR) || ' of them' ELSE '' END"
+
+
+@query(rf"""WITH v AS (SELECT id, {NAMED} AS t FROM opps), i AS (SELECT id, list_transform(regexp_split_to_array(split_part(t, '||', 1), '[,;]|\band\b'), lambda p: trim(regexp_replace(regexp_replace(p, '\b(for|intended)\b.*$', ''), '\s+', ' ', 'g'), ' .-')) AS xs FROM v),
+k AS (SELECT id, list_filter(xs, lambda p: length(p) BETWEEN 3 AND 64 AND NOT regexp_matches(p, '[0-9]')) AS xs FROM i) SELECT id, xs[1] AS host, array_to_string(xs, '|') AS named FROM k""")
 def label_countries(spark, sf_dir):
-    text = F.concat(F.regexp_replace(F.coalesce("country", F.lit("Peru")), "_[0-9]+", ""), F.lit(", New  Zealand and 7 for all nationals || Read more"))
-    found = coerce.label_countries(text)
-    return opportunities(spark, sf_dir).select("id", F.when(F.col("country").isNull(), found[0]).otherwise(F.concat(found[0], F.regexp_extract("country", "(_[0-9]+)?$", 0))).alias("host"), F.size(found).alias("n"))
+    found = coerce.label_countries(F.expr(NAMED.replace("VARCHAR", "STRING")))
+    return opportunities(spark, sf_dir).select("id", found[0].alias("host"), F.array_join(found, "|").alias("named"))
+
+
+OPEN = "CASE id % 4 WHEN 0 THEN 'Open to any Subject at ' || source WHEN 1 THEN coalesce(field, 'Any') WHEN 2 THEN 'All disciplines, ' || title ELSE 'Some topics at company ' || source END"
 
 
-@query("SELECT id, id % 3 <> 2 AS every FROM opps")
+@query(rf"WITH v AS (SELECT id, ' ' || regexp_replace(lower({OPEN}), '[^a-z0-9]+', ' ', 'g') || ' ' AS t FROM opps) SELECT id, contains(t, ' any subject ') OR contains(t, ' any field ') OR contains(t, ' all disciplines ') OR t = ' any ' AS every FROM v")
 def any_field_signal(spark, sf_dir):
-    return opportunities(spark, sf_dir).select("id", coerce.any_field(F.expr("CASE id % 3 WHEN 0 THEN concat('Open to any Subject at ', source) WHEN 1 THEN 'All disciplines' ELSE concat('Some topics at company ', source) END")).alias("every"))
+    return opportunities(spark, sf_dir).select("id", coerce.any_field(F.expr(OPEN)).alias("every"))
 
 
 @query(r"SELECT id, substr(sha256(source || '|' || url), 1, 24) AS candidate, substr(sha256(source), 1, 10) AS token, substr(sha256(lower(trim(regexp_replace(title || '  X ', '\s+', ' ', 'g')))), 1, 32) AS prompt, CASE WHEN length(source) > 4 THEN '…' || right(source, 4) ELSE '…' END AS shown FROM opps")

@@ -42,14 +42,25 @@ def html_page(df: DataFrame, top: int = 400) -> str:
 
 
 def chunked(text: Column, size: int = 3500, most: int = 4) -> Column:
-    """Lines packed greedily into at most `most` chunks of `size` characters; a longer line is cut."""
+    """Lines packed greedily into chunks of `size` characters, of which the first `most` are given; a longer line is a chunk of its own, whole."""
     fold = F.aggregate(
         F.split(text, "\n"), F.array().cast("array<string>"),
-        lambda acc, line: F.when((F.size(acc) > 0) & (F.length(F.element_at(acc, -1)) + 1 + F.length(line) <= size),
-                                 F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(F.element_at(acc, -1), F.lit("\n"), line)))).otherwise(F.concat(acc, F.array(F.substring(line, 1, size)))))
+        lambda acc, line: F.when(F.size(acc) > most, acc).when((F.size(acc) > 0) & (F.length(F.element_at(acc, -1)) + 1 + F.length(line) <= size),
+                                 F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(F.element_at(acc, -1), F.lit("\n"), line)))).otherwise(F.concat(acc, F.array(line))))
     return F.slice(fold, 1, most)
 
 
+def blocks(df: DataFrame, key: str, place: str, text: str, size: int = 4096, between: str = "\n\n") -> DataFrame:
+    """Messages of blocks: per `key` the texts in order of `place`, packed greedily into messages of `size` characters with `between` them. A longer
+    block is a message of its own, whole; empty and null ones are none. A digest's blocks per key are bounded, and one task packs those of a key."""
+    rows = df.where(F.col(text) != "").groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(place).alias("p"), F.col(text).alias("t")))).alias("b"))
+    fold = F.aggregate(
+        F.transform("b", lambda e: e["t"]), F.array().cast("array<string>"),
+        lambda acc, t: F.when((F.size(acc) > 0) & (F.length(F.element_at(acc, -1)) + len(between) + F.length(t) <= size),
+                              F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(F.element_at(acc, -1), F.lit(between), t)))).otherwise(F.concat(acc, F.array(t))))
+    return rows.select(key, F.posexplode(fold).alias("part", "message"))
+
+
 def append_table(df: DataFrame, path: str) -> None:
     """Appends telemetry or log rows."""
     df.write.mode("append").parquet(path)

@@ -76,7 +76,7 @@ def test_chunks_by_brute_force(spark):
                 if want and len(want[-1]) + 1 + len(line) <= size:
                     want[-1] += "\n" + line
                 else:
-                    want.append(line[:size])
+                    want.append(line)
             t_want = want[:most]
             texts[texts.index(t)] = (t, t_want)
         for row in spark.createDataFrame(texts, "t string, want array<string>").select(chunked(F.col("t"), size, most).alias("got"), "want").collect():

@@ -40,7 +40,7 @@ def test_feed_json_and_seeds(spark, tmp_path):
 
 def test_chunks_and_reports(spark, tmp_path):
     df = spark.createDataFrame([("aa\nbb\ncc\n" + "d" * 20,)], "t string")
-    assert df.select(writers.chunked(F.col("t"), 6, 3).alias("c")).first()["c"] == ["aa\nbb", "cc", "dddddd"]
+    assert df.select(writers.chunked(F.col("t"), 6, 3).alias("c")).first()["c"] == ["aa\nbb", "cc", "d" * 20]
     top = spark.createDataFrame([(i, f"T{i}", "s", None, "Master", "f", "Full", 5.0, "x", None, None, float(i), "low", 0.5, "u", "active") for i in range(5)], "id long, title string, source string, country string, degree_level string, field string, funding_type string, amount_usd double, amount_text string, deadline timestamp, days_left int, score double, tier string, confidence double, url string, status string")
     writers.write_csv(top, str(tmp_path / "csv"))
     back = spark.read.option("header", "true").csv(str(tmp_path / "csv"))
