@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,17 +61,31 @@ OTHERS = ("United States", "North Korea", "South Korea", "Japan", "United Arab E
 KNOWN = {n.lower(): n for names in (*GROUPS.values(), OTHERS) for n in names if n not in ("UAE", "Turkey")} | {n.lower(): n for n in ALIASES.values()}
 
 
+#: What may stand before a name.
+LEAD = r"(?i)^(?:(?:study in|study at|located in|in|at|the)\b[\s:]*)+"
+NAME_OF = {re.sub(r"[^\w ]+", "", k): n for k, n in (KNOWN | ALIASES).items()}
+
+
+def usual(name: str | None) -> str | None:
+    """`canon` of one name, for the driver."""
+    bare = re.sub(LEAD, "", " ".join((name or "").split())).strip(" .,;:*")
+    if not bare:
+        return None
+    found = NAME_OF.get(" ".join(re.sub(r"[^\w ]+", "", name.lower()).split())) or NAME_OF.get(" ".join(re.sub(r"[^\w ]+", "", bare.lower()).split()))
+    if found or (bare == bare.upper() and len(bare) <= 6):
+        return found or bare
+    return " ".join(w.lower() if i and w.lower() in SMALL else w[:1].upper() + w[1:].lower() for i, w in enumerate(bare.split()))
+
+
 def canon(name: Column) -> Column:
-    """The usual name of a country: an alias, as it is or without marks, else the name itself without a lead-in, each word
-    capitalised but small ones inside; capitals of six letters or fewer stay. Null for null, and for a name without a letter."""
-    names = F.create_map(*[F.lit(x) for pair in (KNOWN | ALIASES).items() for x in pair])
-    low = F.lower(F.trim(name))
-    plain = [low, F.trim(F.regexp_replace(low, "[^a-zéëüöñçàáíóú ]+", "")), F.trim(F.regexp_replace(low, "[^a-z0-9 ]+", ""))]
-    bare = F.regexp_replace(F.regexp_replace(F.trim(name), r"\s+", " "), r"(?i)^(?:the|study in|study at|in|at|located in)\s*:?\s*", "")
-    bare = F.regexp_replace(bare, r"[^\p{L}&']+$", "")
+    """The usual name of a country: looked up without marks, as it is or without a lead-in, else the name itself without one, each word capitalised but
+    small ones inside; capitals of six letters or fewer stay. Null for null, and for a name of which nothing is left."""
+    names = F.create_map(*[F.lit(x) for pair in NAME_OF.items() for x in pair])
+    key = lambda t: F.trim(F.regexp_replace(F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}_ ]+", ""), r"\s+", " "))
+    bare = F.btrim(F.regexp_replace(F.regexp_replace(F.trim(name), r"\s+", " "), LEAD, ""), F.lit(" .,;:*"))
     words = F.transform(F.split(bare, " "), lambda w, i: F.when((i > 0) & F.lower(w).isin(*SMALL), F.lower(w)).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 200)))))
-    return F.coalesce(*[F.try_element_at(names, p) for p in plain],
-                      F.when((F.upper(bare) == bare) & (F.length(bare) <= 6) & (bare != ""), bare), F.nullif(F.array_join(words, " "), F.lit("")))
+    found = F.coalesce(F.try_element_at(names, key(name)), F.try_element_at(names, key(bare)))
+    return F.when(bare != "", F.coalesce(found, F.when((F.upper(bare) == bare) & (F.length(bare) <= 6), bare), F.array_join(words, " ")))
 
 
 def group_of(name: Column) -> Column:

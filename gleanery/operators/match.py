@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.functions import countries, notices
+
 #: Weights of the score's components and lower bounds of the tiers.
 WEIGHTS = {"country": 22, "field": 16, "funding": 18, "amount": 12, "degree": 10, "competition": 8, "english_ready": 6, "research": 8}
 TIERS = {"must_apply": 78, "strong": 62, "worth_a_look": 45}
@@ -69,16 +71,17 @@ def scale_of(value: Column) -> Column:
 
 
 def gates(p: Profile, as_of: str) -> list[tuple[str, bool, Column]]:
-    """(name, hard, fails) of each rule; a null means that it can't be decided and passes."""
-    home = F.lit(p.home_country)
-    eligible, excluded = members("eligible"), members("excluded")
+    """(name, hard, fails) of each rule; a null means that it can't be decided and passes. `allowed_set` and `excluded_set` are as of
+    `with_country_sets`."""
+    home = F.lit(countries.usual(p.home_country))
+    allowed, excluded = F.col("allowed_set"), F.col("excluded_set")
     degrees, wanted = F.lower("degree_level"), p.degree.lower()
     funding, days = F.lower("funding_type"), days_left(F.col("deadline"), as_of)
     scale = scale_of(F.col("gpa_scale"))
     is_excluded = F.coalesce(F.array_contains(excluded, home), F.lit(False))
     return [
         ("excluded", True, is_excluded),
-        ("not_listed", True, ~is_excluded & (F.size(eligible) > 0) & ~F.array_contains(eligible, home)),
+        ("not_listed", True, ~is_excluded & (F.size(allowed) > 0) & ~F.array_contains(allowed, home)),
         ("list_unclear", False, ~is_excluded & F.col("eligible").isNull() & (F.size(excluded) > 0)),
         ("blocked", True, F.col("country").isin(*p.blocked) if p.blocked else F.lit(False)),
         ("degree", True, ~F.arrays_overlap(F.split(degrees, ","), F.array(*[F.lit(x) for x in (wanted, "any", "all")]))),
@@ -99,11 +102,21 @@ def gates(p: Profile, as_of: str) -> list[tuple[str, bool, Column]]:
     ]
 
 
+def with_country_sets(df: DataFrame) -> DataFrame:
+    """Adds allowed_set, the usual names of the countries to which `eligible` restricts (null: no restriction; groups stand for their members, lists of
+    prose restrict nobody), and excluded_set. Each list that occurs is resolved once and met again by an equi-join; where they are few, as lists mostly are,
+    adaptive execution broadcasts them."""
+    for column, name, sets in (("eligible", "allowed_set", notices.gating_countries), ("excluded", "excluded_set", notices.excluded_countries)):
+        once = df.select(F.col(column).alias("_list")).where("_list IS NOT NULL").distinct().withColumn(name, sets(members("_list")))
+        df = df.join(once, F.col(column) == F.col("_list"), "left").drop("_list")
+    return df
+
+
 def with_gates(df: DataFrame, p: Profile, as_of: str) -> DataFrame:
     """Adds gate_pass (boolean), reasons and warnings (arrays of rule names)."""
-    rules = gates(p, as_of)
+    rules, df = gates(p, as_of), with_country_sets(df)
     named = lambda hard: F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, h, c in rules if h == hard]))
-    return df.withColumn("reasons", named(True)).withColumn("warnings", named(False)).withColumn("gate_pass", F.size("reasons") == 0)
+    return df.withColumn("reasons", named(True)).withColumn("warnings", named(False)).withColumn("gate_pass", F.size("reasons") == 0).drop("allowed_set", "excluded_set")
 
 
 def components(p: Profile) -> dict[str, Column]:
@@ -148,7 +161,7 @@ def urgency(days: Column) -> Column:
 
 def evaluate(df: DataFrame, p: Profile, as_of: str) -> DataFrame:
     """Adds gates, days_left, breakdown (map), confidence, score and tier. A null component counts as unknown; rows that fail
-    a hard gate score at most 40 and are ineligible. One projection without a shuffle.
+    a hard gate score at most 40 and are ineligible. One projection, after the joins of `with_country_sets`.
 
     The session's constraint inference is switched off: over so many derived columns its time grows exponentially.
     """

@@ -109,15 +109,6 @@ def lifecycle_counts(spark, sf_dir):
     return moved.agg(*[F.count_if(F.col("s") == k).alias(k) for k in ("expired", "stale", "outdated")])
 
 
-@query("""SELECT id, CASE id % 5 WHEN 1 THEN CASE WHEN country IS NULL THEN 'Iraq,Kenya,Peru' ELSE 'Kenya,Peru' END WHEN 4 THEN 'Finland,Norway' END AS allowed, CASE WHEN id % 2 = 0 THEN 'United Kingdom,United States' ELSE 'Kenya' END AS excluded FROM opps""")
-def country_gate_lists(spark, sf_dir):
-    """The countries that restrict a row, none where a list is mostly prose or means everyone, and those that it excludes."""
-    items = F.expr("""CASE id % 5 WHEN 0 THEN array('United States of America', 'usa', 'u.s.a.', 'america') WHEN 1 THEN IF(country IS NULL, array('Kenya', 'peru', 'Iraq'), array('Kenya', 'peru', 'PERU'))
-        WHEN 2 THEN array('Any country') WHEN 4 THEN array('Norway', 'finland') END""")
-    out = F.expr("IF(id % 2 = 0, array('USA', 'England', 'uk'), array('KENYA', 'kenya'))")
-    return opportunities(spark, sf_dir).select("id", F.array_join(notices.gating_countries(items), ",").alias("allowed"), F.array_join(notices.excluded_countries(out), ",").alias("excluded"))
-
-
 PARTS = {"country": "country", "field": "field", "funding": "funding", "amount": "amount", "degree": "degree", "competition": "competition", "english_ready": "english", "research": "research"}
 TOP = "list_sort([" + ", ".join(f"{{'a': -({r2('p_' + c)}), 'n': '{k}'}}" for k, c in PARTS.items()) + "])[1:4]"
 DIGEST = S + f""", best AS (SELECT *, row_number() OVER (ORDER BY score DESC, coalesce(days_left, 9999), id) AS place FROM scored WHERE gate_pass AND score >= 45),

@@ -117,7 +117,6 @@ def short_keys(spark, sf_dir):
 NAMES = [n.replace("_", " ") for n in (
     "ALGERIA ARGENTINA BRAZIL CANADA EGYPT ETHIOPIA FRANCE GERMANY INDIA INDONESIA IRAN IRAQ JAPAN JORDAN KENYA MOROCCO MOZAMBIQUE PERU CHINA ROMANIA "
     "SAUDI_ARABIA VIETNAM RUSSIA UNITED_KINGDOM UNITED_STATES").split()]
-WORDS = "array_to_string(list_transform(string_split(lower(name), ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
 NATION = f"WITH n AS (SELECT n_nationkey, [{', '.join(map(repr, NAMES))}][CAST(n_nationkey % 25 + 1 AS INT)] AS name FROM nation)"
 INSIDE = {
     "Developing Countries": "ALGERIA ARGENTINA BRAZIL EGYPT ETHIOPIA INDIA INDONESIA IRAN IRAQ JORDAN KENYA MOROCCO MOZAMBIQUE PERU CHINA VIETNAM",
@@ -130,11 +129,6 @@ def nations(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", F.array(*map(F.lit, NAMES))[(F.col("n_nationkey") % 25).cast("int")].alias("name"))
 
 
-@query(f"{NATION} SELECT n_nationkey, {WORDS} AS plain, {WORDS} AS led FROM n", opps=False)
-def country_canon(spark, sf_dir):
-    return nations(spark, sf_dir).select("n_nationkey", countries.canon(F.col("name")).alias("plain"), countries.canon(F.concat(F.lit("Study in: "), F.initcap("name"), F.lit(" *"))).alias("led"))
-
-
 @query(f"{NATION} " + " UNION ALL ".join("SELECT n_nationkey, '{}' AS phrase, name IN ({}) AS inside FROM n".format(p, ", ".join(repr(m.replace("_", " ")) for m in m_.split())) for p, m_ in INSIDE.items()), opps=False)
 def group_expand(spark, sf_dir):
     """Whether each nation belongs to the group that a phrase names."""
@@ -142,14 +136,6 @@ def group_expand(spark, sf_dir):
     return n.select("n_nationkey", "phrase", F.array_contains(countries.members(countries.group_of(F.col("phrase"))), countries.canon(F.col("name"))).alias("inside"))
 
 
-@query("""SELECT id, CASE id % 4 WHEN 0 THEN 'group:nordic' WHEN 1 THEN 'list' WHEN 2 THEN 'worldwide' ELSE 'unknown' END AS scope,
-    CASE id % 4 WHEN 0 THEN 'Denmark,Finland,Iceland,Norway,Peru,Sweden' WHEN 1 THEN 'Kenya,United Kingdom,United States' END AS allowed FROM opps""")
-def country_lists(spark, sf_dir):
-    items = F.expr("CASE id % 4 WHEN 0 THEN array('Nordic states', 'peru') WHEN 1 THEN array('U.S.A.', 'Scotland', 'KENYA', 'usa') WHEN 2 THEN array('Any country') ELSE CAST(array() AS array<string>) END")
-    r = countries.resolved(items)
-    return opportunities(spark, sf_dir).select("id", r["scope"].alias("scope"), F.array_join(r["allowed"], ",").alias("allowed"))
-
-
 # ---- runs, caches, policies
 @query(S + " SELECT count(*) AS total FROM scored WHERE status = 'active' AND gate_pass IS TRUE AND hidden IS NOT TRUE AND country = 'NATION_4'")
 def total_filtered(spark, sf_dir):
