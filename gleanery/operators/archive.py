@@ -55,6 +55,76 @@ def upsert_outcomes(batch: DataFrame, archive: DataFrame, key: str = "url_key",
     return out.unionByName(bad.select("id", F.lit("rejected").alias("outcome"), F.lit(None).cast("string").alias("change_type"), F.lit(0).cast("long").alias("times_seen"), F.lit("").alias("sources")))
 
 
+#: What an archive keeps of a row besides what its batches say.
+STATE = {"seen_in": "string", "first_seen": "timestamp", "last_seen": "timestamp", "times_seen": "long", "change_type": "string", "changed": "boolean",
+         "is_new": "boolean", "notified": "boolean", "alt_urls": "array<string>"}
+#: Changes after which a row is worth another notice.
+RENOTIFIED = ("deadline_moved", "funding_changed")
+MOST_ALIASES = 8
+
+
+def oldest_twins(rows: DataFrame) -> DataFrame:
+    """Per canonical key the row (twin: its url_key) that was seen first."""
+    return rows.where("canonical IS NOT NULL").groupBy("canonical").agg(F.min_by("url_key", F.struct("first_seen", "url_key")).alias("twin"))
+
+
+def upsert(batch: DataFrame, old: DataFrame, twins: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, outcomes) of a batch (url_key, canonical, seen_in, seen_at, title, further fields) that comes to the archive `old` (url_key,
+    canonical, fields, STATE). `rows` has all of `old`, merged, and the new ones; `outcomes` has url_key, outcome and change_type per key of the batch.
+
+    Within a batch the earliest row of a key counts, and its sources are joined. Outcomes: rejected (no key or title), unchanged or changed (the key is known), duplicate
+    (another key of the same canonical key is known, or came earlier in the batch; the oldest gets the source, one more sighting and the alias, of which eight are
+    kept), new. A null field keeps what the archive has and is never a change. Rows that the batch does not touch stay as they are, marks of change included.
+    A moved deadline or changed funding makes a row worth another notice; any other change ends its being new. Every step is an equi-join or an aggregation
+    with a map-side part; a canonical key that very many rows share is ranked by a window that keeps eight rows a task before it shuffles.
+    """
+    inner = ("url_key", "canonical", "seen_in", "seen_at")
+    fields = [c for c in batch.columns if c not in inner]
+    kinds = dict(batch.dtypes) | {f"{c}": t for c, t in STATE.items() if c != "seen_in"}
+    for c in [*fields, *STATE]:
+        if c not in old.columns:
+            old = old.withColumn(c, F.lit(None).cast(kinds[c]))
+    fine = F.col("url_key").isNotNull() & (F.coalesce("title", F.lit("")) != "")
+    first = (batch.where(fine).groupBy("url_key").agg(F.min(F.struct("seen_at", F.coalesce("canonical", "url_key").alias("canonical"), *fields)).alias("n"), F.array_sort(F.collect_set("seen_in")).alias("from"))
+             .select("url_key", "n", F.array_join("from", ",").alias("from")))
+    met = first.join(old.select("url_key", F.lit(True).alias("known")), "url_key", "left")
+    fresh = met.where("known IS NULL").select("url_key", "n", "from", F.col("n.canonical").alias("canonical"))
+    told = (oldest_twins(old) if twins is None else twins).select("canonical", "twin")
+    leaders = fresh.groupBy("canonical").agg(F.min(F.struct("n.seen_at", "url_key"))["url_key"].alias("leader"))
+    placed = fresh.join(told, "canonical", "left").join(leaders, "canonical").withColumn("target", F.coalesce("twin", "leader"))
+    again = placed.where("target <> url_key")
+    sums = again.groupBy("target").agg(F.count("*").alias("more"), F.max("n.seen_at").alias("late"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.split("from", ","))))), ",").alias("others"))
+    ranked = again.withColumn("rank", F.row_number().over(Window.partitionBy("target").orderBy("n.seen_at", "url_key"))).where(f"rank <= {MOST_ALIASES}")
+    aliases = ranked.groupBy("target").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "url_key"))), lambda x: x["url_key"]).alias("aliases"))
+    bumps = sums.join(aliases, "target")
+    came = met.where("known").select("url_key", "n", "from").unionByName(placed.where("target = url_key").select("url_key", "n", "from"))
+    both = old.join(came, "url_key", "full_outer").join(bumps, F.col("url_key") == F.col("target"), "left")
+    here, known = F.col("n").isNotNull(), F.col("times_seen").isNotNull()
+    moved = {c: here & known & F.col(f"n.{c}").isNotNull() & ~F.col(f"n.{c}").eqNullSafe(F.col(c)) for c in fields}
+    any_of = lambda cs: reduce(Column.__or__, [moved[c] for c in cs], F.lit(False))
+    change = F.when(any_of([c for c in fields if c in FUNDING_FIELDS]), "funding_changed").when(any_of([c for c in fields if c not in FUNDING_FIELDS]), "content_changed")
+    if "deadline" in fields:
+        change = F.when(moved["deadline"] & F.col("deadline").isNotNull(), "deadline_moved").when(moved["deadline"], "deadline_added").otherwise(change)
+    change = F.when(here & ~known, "new").when(here, change)
+    renotified = change.isin(*RENOTIFIED)
+    state = {
+        "seen_in": merged_sources(merged_sources(F.col("seen_in"), F.col("from")), F.col("others")),
+        "first_seen": F.coalesce("first_seen", "n.seen_at"), "last_seen": F.greatest(F.coalesce("n.seen_at", "last_seen"), F.col("late")),
+        "times_seen": (F.coalesce("times_seen", F.lit(0)) + here.cast("int") + F.coalesce("more", F.lit(0))).cast("long"),
+        "change_type": F.when(here, change).otherwise(F.col("change_type")), "changed": F.when(here, change.isNotNull()).otherwise(F.col("changed")),
+        "is_new": F.when(here & ~known, True).when(here & change.isNotNull() & ~renotified, False).otherwise(F.col("is_new")),
+        "notified": F.when(here & (~known | F.coalesce(renotified, F.lit(False))), False).otherwise(F.col("notified")),
+        "alt_urls": F.slice(F.array_distinct(F.concat(F.coalesce("alt_urls", F.array().cast("array<string>")), F.coalesce("aliases", F.array().cast("array<string>")))), 1, MOST_ALIASES),
+    }
+    rest = [c for c in old.columns if c not in (*inner, *fields, *STATE)]
+    rows = both.select("url_key", F.coalesce("canonical", "n.canonical").alias("canonical"), *[F.coalesce(F.col(f"n.{c}"), F.col(c)).alias(c) for c in fields], *rest, *[c.alias(k) for k, c in state.items()],
+                       F.when(here, F.when(~known, "new").when(change.isNull(), "unchanged").otherwise("changed")).alias("outcome"))
+    outcomes = (rows.where("outcome IS NOT NULL").select("url_key", "outcome", "change_type")
+                .unionByName(again.select("url_key", F.lit("duplicate").alias("outcome"), F.lit(None).cast("string").alias("change_type")))
+                .unionByName(batch.where(~fine).select("url_key", F.lit("rejected").alias("outcome"), F.lit(None).cast("string").alias("change_type"))))
+    return rows.drop("outcome"), outcomes
+
+
 def swept(as_of: str, stale_days: int = 45, outdated_days: int = 400) -> Column:
     """The status after ageing: of active rows, past ones expire, unseen ones go stale, old ones are outdated."""
     age = lambda c: F.floor(F.timestamp_diff("SECOND", F.col(c), F.lit(as_of).cast("timestamp_ntz")) / 86400)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleanery.plans import notices, places, records, registry
+from gleanery.plans import archives, notices, places, records, registry
 
 QUERIES, ORACLE_SQL = registry.QUERIES, registry.ORACLE_SQL
-__all__ = ["QUERIES", "ORACLE_SQL", "notices", "places", "records"]
+__all__ = ["QUERIES", "ORACLE_SQL", "archives", "notices", "places", "records"]
