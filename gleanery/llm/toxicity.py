@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -55,13 +55,17 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 class Bags:
     """Documents as bags of sentences: sentences with known words as sets of their numbers, and how many there are besides."""
 
-    def __init__(self, docs: list[list[list[int]]]):
-        kept = [[s for s in d if s] for d in docs]
-        self.rest = np.array([len(d) - len(k) for d, k in zip(docs, kept, strict=True)], dtype=float)
-        self.ids = np.array([w for d in kept for s in d for w in s], dtype=np.int64)
-        self.lens = np.array([len(s) for d in kept for s in d], dtype=np.int64)
-        self.doc = np.repeat(np.arange(len(kept)), [len(d) for d in kept])
-        self.starts = np.concatenate([[0], np.cumsum(self.lens)[:-1]]).astype(np.int64) if len(self.lens) else np.zeros(0, np.int64)
+    def __init__(self, docs: Iterable[list[list[int]]]):
+        ids, lens, counts, rest = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [], []
+        for d in docs:
+            kept = [s for s in d if s]
+            ids.append(np.array([w for s in kept for w in s], dtype=np.int32))
+            lens.append(np.array([len(s) for s in kept], dtype=np.int32))
+            counts.append(len(kept))
+            rest.append(float(len(d) - len(kept)))
+        self.ids, self.lens, self.rest = np.concatenate(ids), np.concatenate(lens), np.array(rest)
+        self.doc = np.repeat(np.arange(len(counts)), counts)
+        self.starts = np.cumsum(self.lens, dtype=np.int64) - self.lens
 
     def logits(self, w: np.ndarray, bias: float) -> np.ndarray:
         return bias + (np.add.reduceat(w[self.ids], self.starts) if len(self.lens) else np.zeros(0))
@@ -128,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     least = max(2, math.ceil(least_share * y.sum()))
     names = sorted(w for w, n in frequent.items() if n >= least)
     number = {w: i for i, w in enumerate(names)}
-    bags = Bags([[[number[f] for w in s.split(" ") for f in features(w) if f in number] for s in r["bag"].split("\n")] if r["bag"] else [] for r in rows])
+    bags = Bags([[number[f] for w in s.split(" ") for f in features(w) if f in number] for s in r["bag"].split("\n")] if r["bag"] else [] for r in rows)
     weight = np.where(y, 1.0, sizes[0] / max(1, (~y).sum()) / (sizes[1] / y.sum()))
     w, bias, leak = learn(bags, y, weight, len(names), rounds, rate, l1, l2)
     return {"words": {names[i]: float(w[i]) for i in np.flatnonzero(w)}, "bias": bias, "leak": leak}
