@@ -81,7 +81,7 @@ def stated_countries(df: DataFrame, key: str = "id", text: str = "text", title:
 
     named = lambda xs: F.array_distinct(F.transform(F.filter(xs, lambda x: ~x["of_many"]), lambda x: x["name"]))
     first = lambda xs: F.try_element_at(F.transform(F.filter(xs, lambda x: ~x["of_many"] & (x["at"] <= 2)), lambda x: x["name"]), F.lit(1))
-    bare = lambda c: F.nullif(F.btrim(F.regexp_replace(F.element_at(F.split(c, r"\s{2,}"), 1), r"(?i)\s*\b(?:for|intended for|and other)\s+(?:international|developing|all|non)\b.*$", ""), F.lit(" .,:-")), F.lit(""))
+    bare = lambda c: F.when(c.rlike(r"\p{L}"), F.btrim(F.regexp_replace(F.element_at(F.split(c, r"\s{2,}"), 1), r"(?i)\s*\b(?:for|intended for|and other)\s+(?:international|developing|all|non)\b.*$", ""), F.lit(" .,:-")))
     longest = F.array_max(F.transform(F.filter(kept("head"), lambda x: ~x["of_many"]), lambda x: F.struct(x["long"].alias("long"), (-x["at"]).alias("at"), x["name"].alias("name"))))["name"]
     country = F.coalesce(first(kept("host")), F.substring(bare(F.col("host")), 1, 70), first(kept("award")), F.when(F.col("award").rlike(r"^\p{Lu}"), F.substring(bare(F.col("award")), 1, 70)), longest)
 

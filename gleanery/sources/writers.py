@@ -23,7 +23,7 @@ def json_report(df: DataFrame, stats: DataFrame, as_of: str) -> DataFrame:
 
 
 def markdown_line() -> Column:
-    return F.format_string("%d. **%s** — %s, %s, score %.1f (%s)", F.col("place"), F.col("title"), F.coalesce("country", F.lit("?")), F.coalesce(F.date_format("deadline", "yyyy-MM-dd"), F.lit("rolling")), F.col("score"), F.col("tier"))
+    return F.format_string("%d. **%s** — %s, %s, score %.1f (%s)", F.col("place"), F.col("title"), F.coalesce("country", F.lit("?")), F.coalesce(F.date_format("deadline", "yyyy-MM-dd"), F.lit("rolling")), F.floor(F.col("score") * 10 + 0.5000001) / 10, F.col("tier"))
 
 
 def markdown(df: DataFrame, top: int = 40) -> DataFrame:

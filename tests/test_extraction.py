@@ -3,47 +3,78 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from gleanery.functions.cascade import amounts_of, clean_text, deadline_of, find_dates, labels_of
+from gleanery.functions import dates, facts, labels, money, record
+from gleanery.functions.pages import clean_text
 
-DAY = date(2026, 6, 1)
+DAY = "2026-06-01"
 
 
-@pytest.mark.parametrize("text,want,guess", [
+def over(spark, f, texts):
+    """f of each text, in order."""
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    return [r["x"] for r in sorted(df.select("i", f(F.col("t")).alias("x")).collect(), key=lambda r: r["i"])]
+
+
+DEADLINES = [
     ("Deadline: 2026-11-30", date(2026, 11, 30), False), ("Apply by March 5th, 2027", date(2027, 3, 5), False), ("deadline is 15 Jan 2027 (annual)", date(2027, 1, 15), False),
-    ("Deadline 03/04/2027", date(2027, 4, 3), True), ("closing date: February 2027", date(2027, 2, 28), True), ("Deadline: 15 July", date(2026, 7, 15), True),
+    ("Deadline 03/04/2027", date(2027, 4, 3), False), ("closing date: February 2027", date(2027, 2, 28), True), ("Deadline: 15 July", date(2026, 7, 15), True),
     ("Deadline: 15 January", date(2027, 1, 15), True), ("Deadline: 2027-02-31", None, None), ("rolling basis", None, None), (None, None, None), ("", None, None),
-])
-def test_deadlines(text, want, guess):
-    got = deadline_of(text, DAY)
-    assert (got[0], got[2]) == (want, guess)
+    ("until 18-Sep-26 or so", date(2026, 9, 18), False), ("Deadline: see below\n\nIt is on 1 Oct 2026", date(2026, 10, 1), False), ("x " * 40_000 + "deadline 2 May 2027", date(2027, 5, 2), False),
+]
+
+
+def test_deadlines(spark):
+    got = over(spark, lambda t: dates.deadline(t, DAY), [t for t, _, _ in DEADLINES])
+    assert [(r["deadline"], r["estimated"]) for r in got] == [(d, g) for _, d, g in DEADLINES]
+    assert got[2]["round_label"] == "Annual" and got[8]["rolling"] and got[9]["rolling"] is False
 
 
-def test_dates_to_come_stand_before_past_ones_and_exact_before_guesses():
-    dates = find_dates("Past: 2026-01-10. Next: 2026-09-01 and 2027-09-01. Maybe May 2027.", DAY)
-    assert [d for d, _ in dates] == [date(2026, 9, 1), date(2027, 9, 1), date(2026, 1, 10), date(2027, 5, 31)]
+def test_dates_to_come_stand_before_past_ones_and_exact_before_guesses(spark):
+    (found,) = over(spark, lambda t: dates.dates(t, DAY), ["Past: 2026-01-10. Next: 2026-09-01 and 2027-09-01. Maybe May 2027. In September 2026."])
+    assert [r["day"] for r in found] == [date(2026, 9, 1), date(2027, 9, 1), date(2026, 1, 10), date(2027, 5, 31)]
 
 
-@pytest.mark.parametrize("text,usd", [
+AMOUNTS = [
     ("€934 per month", 934 * 1.09 * 10), ("US$10,000 per year", 10_000), ("£5,000 a semester", 5000 * 1.27 * 2), ("a monthly stipend of €1.200", 1200 * 1.09 * 10), ("USD 1,200.50", 1200.5),
     ("€1,000 - €1,500 per month", 1500 * 1.09 * 10), ("R$ 2.000 per month", 2000 * 0.18 * 10), ("INR 5,00,000 per annum", 500_000 * 0.012), ("€1000 per month for 24 months", 1000 * 1.09 * 24), ("£20k", 20_000 * 1.27),
-])
-def test_largest_amount(text, usd):
-    assert max(amounts_of(text))[0] == pytest.approx(usd)
+    ("994 eur per month", 994 * 1.09 * 10), ("$994/month", 9940), ("EUR 994 p.m.", 994 * 1.09 * 10), ("994 EUR a month", 994 * 1.09 * 10), ("€500 per annum", 545), ("a yearly award of $12,000", 12_000),
+    ("¥143,000–148,000 per month", 148_000 * 0.0066 * 10), ("€800/month + €200 for books", 800 * 1.09 * 10), ("US$50,000. Rent: $12,000 per year", 50_000), ("fees of $12,000 plus $2,000/year to live on", 12_000),
+    ("fees worth $18,000 plus an allowance of $2,000/month", 20_000), ("fees worth $18,000 per year plus an allowance", 18_000), ("$500 monthly plus $20000", 20_000), ("HK$ 9,000 pa", 1170), ("NZ$100 daily", 60),
+    ("SG$25 per hour", 18.5), ("two grants of €300 for six months", 327), ("monthly: 994 EUR for twelve months", 994 * 1.09 * 12), ("$50,000 plus a monthly allowance", 50_000), ("$5", None), ("", None), (None, None),
+]
+
+
+def test_largest_amounts(spark):
+    got = [max((a["usd"] for a in r), default=None) for r in over(spark, money.amounts, [t for t, _ in AMOUNTS])]
+    assert [(t, g) for (t, w), g in zip(AMOUNTS, got) if g != (w if w is None else pytest.approx(w))] == []
+
+
+def test_units_are_not_stolen(spark):
+    got = over(spark, money.amounts, ["a fee of US$75 and €900 per month", "€992 per month and more"])
+    assert [(a["number"], a["unit"]) for a in got[0]] == [(75, None), (900, "month")] and got[1][0]["text"] == "€992 per month"
 
 
-def test_units_are_not_stolen():
-    got = amounts_of("a fee of US$75 and €900 per month")
-    assert [(a[1], a[3]) for a in got] == [(75, None), (900, "month")]
-    assert amounts_of(None) == [] and amounts_of("$5") == []
+def test_symbols_have_rates():
+    assert set(facts.SYMBOLS.values()) <= set(facts.FX)
 
 
 def test_labels_and_clean_text(spark):
     page = "<html><script>x</script><h3>Deadline:</h3><p>1 May 2027</p><div>Study in: Norway</div><div>Level:</div><div>Master</div><div>PhD</div><p>Share this</p><p>a &amp; b</p><p>a &amp; b</p></html>"
     text, none = [r[0] for r in spark.createDataFrame([(1, page), (2, None)], "i int, page string").orderBy("i").select(clean_text(F.col("page"))).collect()]
     assert "Share" not in text and text.count("a & b") == 1
-    got = labels_of(text)
-    assert got["deadline"] == "1 May 2027" and got["country"] == "Norway" and got["degree"].startswith("Master PhD")
-    assert labels_of(None) == {} and none == ""
+    got, nothing, empty, joined = over(spark, labels.label_values, [text, None, "", "Deadline: 6 Oct 2026\nDeadline for applications of all kinds:\n1 May 2027\nOfficial website: x\nno value\nAmount: 5\nnone"])
+    assert got["deadline"] == "1 May 2027" and got["country"] == "Norway" and got["level"].startswith("Master PhD")
+    assert nothing == {} == empty and none == "" and joined == {"deadline": "6 Oct 2026 1 May 2027", "value": "5"}
+
+
+def test_precedence_of_a_record(spark):
+    text = "Study in: Norway\nDeadline: 1 May 2027\nBenefits: €900 per month\nA bachelor in Peru. TOEFL 90. The application fee is $20."
+    df = spark.createDataFrame([(1, "Award", text, (date(2027, 1, 1), None)), (2, "Award of Chad", text, (None, "Kenya")), (3, None, None, None)], "id long, title string, text string, pre struct<deadline: date, country: string>")
+    got = {r["id"]: r for r in record.extracted(df, DAY, pre="pre").collect()}
+    one, two, none = (got[i]["record"] for i in (1, 2, 3))
+    assert (one["deadline"], one["country"], one["amount_usd"], one["degree_level"], one["min_toefl"], one["application_fee_usd"]) == (date(2027, 1, 1), "Norway", 9810.0, "Bachelor", 90, 20.0)
+    assert (two["deadline"], two["country"]) == (date(2027, 5, 1), "Kenya") and none["deadline"] is None and none["eligible_countries"] == [] and round(got[1]["completeness"], 2) == 0.83
+    assert len(one) >= 33
 
 
 def test_clean_text_by_brute_force(spark):
