@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,7 +30,8 @@ OTHER = r"(?i)\b(?:plus|and|or|with|including|excluding|covers|less|minus|but|ad
 
 
 def _map(values: dict) -> Column:
-    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+    """A constant map; one node of the plan, however many entries it has."""
+    return F.from_json(F.lit(json.dumps(values)), f"map<string,{'string' if isinstance(next(iter(values.values())), str) else 'double'}>")
 
 
 def period(words: Column) -> Column:

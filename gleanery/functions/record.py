@@ -22,22 +22,24 @@ def extracted(df: DataFrame, as_of: str, key: str = "id", title: str = "title",
     A field that can't be read is null and costs no row. One pass over each text, but for the countries, which meet the table of names and come back by the key.
     """
     t = F.coalesce(F.col(text), F.lit(""))
+    # by the key, as the countries come back by it; the work on texts is dealt out alike, however few files they come from
+    df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
     named = places.stated_countries(df, key, text, title).select(F.col(key).alias("_key"), F.col("country").alias("_country"), F.col("allowed").alias("_allowed"), F.col("excluded").alias("_excluded"), F.col("scope").alias("_scope"))
     met = df.join(named, F.col(key) == F.col("_key"), "left")
-    met = labels.with_labels(met, text, as_of, "_v", "_l").withColumn("_d", dates.deadline(t, as_of)).withColumn("_ms", money.amounts(t)).withColumn("_m", F.array_max("_ms"))
+    met = labels.with_labels(met, text, as_of, "_v", "_l").withColumn("_d", dates.deadline(t, as_of))
+    has = df.schema[pre].dataType.names if pre else []
+    given = lambda c: F.col(f"{pre}.{c}").cast(PRE[c]) if c in has else F.lit(None).cast(PRE.get(c, "string"))
+    met = met.withColumn("_ms", F.transform(F.array(t, given("amount_text")), lambda x: money.amounts(x))).withColumns({"_m": F.array_max(F.get("_ms", F.lit(0))), "_given": F.array_max(F.get("_ms", F.lit(1)))})
     met = met.withColumn("_levels", facts.classes(t, facts.DEGREES)).withColumn("_covered", facts.classes(t, facts.COVERAGE)).withColumn("_funding", facts.funding_type(t)).withColumn("_fields", facts.fields(F.coalesce(F.col("_l.field"), F.col(title)), t))
     for name, heads in SECTIONS.items():
         met = met.withColumn(f"_s_{name}", notices.section(t, heads))
-    has = df.schema[pre].dataType.names if pre else []
-    given = lambda c: F.col(f"{pre}.{c}").cast(PRE[c]) if c in has else F.lit(None).cast(PRE.get(c, "string"))
     label = lambda c: F.col(f"_l.{c}")
     stated = given("deadline").isNotNull() | label("deadline").isNotNull()
     own = lambda c: F.when(label("amount_usd").isNotNull(), label(c)).otherwise(F.col(f"_m.{c.replace('amount_', '')}"))
     levels = F.nullif(F.col("_levels"), F.lit(""))
     band, points = facts.english(t)
     limits = facts.constraints(t)
-    met = met.withColumn("_given", money.amounts(given("amount_text")))
-    amount = F.array_max("_given")
+    amount = F.col("_given")
     fields = {
         "title": coerce.record_title(F.col(title)), "title_key": identity.normalize_title(F.col(title)),
         "deadline": F.coalesce(given("deadline"), label("deadline"), F.col("_d.deadline")), "deadline_text": F.coalesce(label("deadline_text"), F.col("_d.deadline_text")),
