@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from gleanery.llm.near_dup import near_classes, one_of_each, prob_min_hash, shingles
+from gleanery.llm.near_dup import damped, near_classes, one_of_each, prob_min_hash, shingles
 
 
 def test_registers_estimate_probability_jaccard():
@@ -73,3 +73,27 @@ def test_repeated_passages_do_not_hide_links(spark):
     got = {x["doc_id"]: x["class_id"] for x in near_classes(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()}
     want = brute([t.encode() for t in texts])
     assert [got[i] for i in range(len(texts))] == want == [i // 2 * 2 for i in range(len(texts))]
+
+
+def probability_jaccard(x, y):
+    return sum(1 / sum(max(x.get(e, 0) / x[d], y.get(e, 0) / y[d]) for e in x | y) for d in x.keys() & y.keys())
+
+
+def test_weights_follow_counts_within_a_bound():
+    r = random.Random(11)
+    assert damped(np.array([1, 2, 10**6])).tolist() == [1, 1.25, 1.5 - 0.5 / 10**6]
+    for _ in range(200):  # the same shingles, however their counts differ, stay close
+        n = r.randrange(1, 60)
+        x, y = ({e: float(damped(np.array(r.choice([1, 2, 50, 10**5])))) for e in range(n)} for _ in "xy")
+        assert probability_jaccard(x, y) > 0.79
+    one = {e: 1.0 for e in range(60)}
+    assert min(probability_jaccard(one, {e: 1.5 if e < k else 1.0 for e in range(60)}) for k in range(61)) > 0.89
+
+
+def test_recall_of_a_stated_query_set(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    sets = {d: set(shingles(t.encode().split(), 5)[0].tolist()) for d, t in rows if t and t.split()}
+    got = {x["doc_id"]: x["class_id"] for x in near_classes(docs).collect()}
+    links = [(a, b) for a in sets if a % 50 == 0 for b in sets if a != b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert sum(got[a] == got[b] for a, b in links) == len(links)
