@@ -97,3 +97,42 @@ def quality_flags() -> Column:
         F.when(F.coalesce("deadline_estimated", F.lit(False)), F.lit("deadline_estimated")), F.when(amount.isNull(), F.lit("no_amount")),
         F.when(funding.isNull() | (funding == "Unknown"), F.lit("no_funding_type")), F.when(F.col("eligible").isNull(), F.lit("eligibility_unlisted")),
         F.when(F.col("confidence") < 0.55, F.lit("low_confidence"))))
+
+
+#: The columns of a listing, in order.
+LIST_COLUMNS = ("id", "title", "url", "source", "provider", "university", "country", "scope", "degree_level", "field", "funding_type", "amount_text", "amount_usd", "currency",
+                "application_fee_usd", "intake", "round_label", "deadline", "deadline_text", "deadline_rolling", "deadline_estimated", "score", "tier", "confidence", "gate_pass", "status",
+                "starred", "hidden", "notes", "is_new", "changed", "notified", "times_seen", "first_seen", "last_seen")
+#: Times of a listing that are given as text.
+SHOWN_TIMES = {"deadline": "yyyy-MM-dd", "first_seen": "yyyy-MM-dd", "last_seen": "yyyy-MM-dd HH:mm"}
+
+
+def listing(df: DataFrame, sort: str = "score", limit: int = 50, offset: int = 0) -> DataFrame:
+    """One row: total (rows of `df`), limit, offset (as granted) and rows, an array of one page (place from 1, LIST_COLUMNS, days_left, reasons).
+
+    `df` is filtered already. The page comes by a top-k over its sort, the total by a count that reads the filters' columns alone; beyond the
+    last page rows is empty and the total stays. Columns that `df` lacks are null.
+    """
+    limit, offset = min(500, max(1, limit)), max(0, offset)
+    shown = [F.date_format(c, SHOWN_TIMES[c]).alias(c) if c in SHOWN_TIMES and c in df.columns else F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in (*LIST_COLUMNS, "days_left", "reasons")]
+    place = F.row_number().over(Window.orderBy(*order_of(sort)))  # of one page
+    rows = page(df, sort, limit, offset).withColumn("place", place).select("place", *shown)
+    return rows.agg(F.array_sort(F.collect_list(F.struct("*")), lambda a, b: a["place"] - b["place"]).alias("rows")).select(
+        df.agg(F.count("*")).scalar().alias("total"), F.lit(limit).alias("limit"), F.lit(offset).alias("offset"), "rows")
+
+
+def overview(df: DataFrame, runs: DataFrame, log: DataFrame) -> DataFrame:
+    """One row of headline numbers: total, active and eligible (both without hidden rows), starred, hidden, max_award, soonest (deadline of an active
+    row), tiers (a map of active rows by tier, '?' without one), last_run (of `runs` by id: source, status, started_at) and last_notice (of `log` by
+    id: channel, recipient, count, status, created_at, detail). One pass over each table; empty tables give zeros, an empty map and nulls.
+    """
+    live, seen = F.col("status").eqNullSafe("active"), ~F.col("hidden").eqNullSafe(True)
+    by_tier = df.groupBy(F.coalesce("tier", F.lit("?")).alias("tier")).agg(
+        F.count("*").alias("total"), F.count_if(live).alias("live"), F.count_if(live & seen).alias("active"), F.count_if(live & seen & F.col("gate_pass").eqNullSafe(True)).alias("eligible"),
+        F.count_if(F.col("starred").eqNullSafe(True)).alias("starred"), F.count_if(F.col("hidden").eqNullSafe(True)).alias("hidden"),
+        F.max("amount_usd").alias("max_award"), F.min(F.when(live, F.col("deadline"))).alias("soonest"))
+    tiers = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("live") > 0, F.struct("tier", "live")))))
+    last = lambda t, *cols: t.agg(F.max_by(F.struct(*cols), "id")).scalar()
+    return by_tier.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "active", "eligible", "starred", "hidden")], F.max("max_award").alias("max_award"), F.min("soonest").alias("soonest"), tiers.alias("tiers")).select(
+        "*", last(runs, "source", "status", "started_at").alias("last_run"),
+        last(log, "channel", "recipient", "count", "status", "created_at", F.left("detail", F.lit(300)).alias("detail")).alias("last_notice"))

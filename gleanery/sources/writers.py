@@ -61,9 +61,41 @@ def blocks(df: DataFrame, key: str, place: str, text: str, size: int = 4096, bet
     return rows.select(key, F.posexplode(fold).alias("part", "message"))
 
 
-def append_table(df: DataFrame, path: str) -> None:
-    """Appends telemetry or log rows."""
-    df.write.mode("append").parquet(path)
+#: The columns of the tables of runs and of notifications.
+RUNS = ("id long, run_id string, source string, started_at timestamp_ntz, duration_ms int, items_found int, items_new int, items_changed int, items_skipped int, items_error int, "
+        "detail_fetches int, cache_hits int, llm_calls int, llm_tokens_in int, llm_tokens_out int, llm_cost_usd double, status string, error string, consecutive_failures int")
+NOTIFICATIONS = "id long, created_at timestamp_ntz, channel string, recipient string, digest_key string, count int, status string, detail string"
+#: What a run can end in, and what the log of notifications keeps.
+RUN_STATUS, NOTICE_STATUS = ("ok", "empty", "blocked", "error"), ("sent", "dry-run")
+
+
+def shaped(df: DataFrame, schema: str) -> DataFrame:
+    """`df` with exactly the columns of `schema`: missing counts and costs are 0, other missing ones null, a value that can't be cast is null."""
+    out = []
+    for field in schema.split(", "):
+        name, kind = field.split(" ")
+        zero = F.lit(0).cast(kind) if kind in ("int", "double") else F.lit(None).cast(kind)
+        value = F.col(name).try_cast(kind) if name in df.columns else zero
+        out.append((F.coalesce(value, zero) if kind in ("int", "double") else value).alias(name))
+    return df.select(*out)
+
+
+def append_runs(df: DataFrame, path: str) -> None:
+    """Appends rows of runs; a status that is none becomes `ok`, or `error` where there is an error."""
+    status = F.when(F.col("status").isin(*RUN_STATUS), F.col("status")).when(F.col("error") != "", "error").otherwise("ok")
+    shaped(df, RUNS).withColumn("status", status).write.mode("append").parquet(path)
+
+
+def append_notifications(df: DataFrame, path: str, most: int = 900) -> None:
+    """Appends what was sent, or would have been in a dry run; other rows leave no trace. Details keep their first `most` characters, as the log's feature."""
+    shaped(df, NOTIFICATIONS).where(F.col("status").isin(*NOTICE_STATUS)).withColumn("detail", F.left("detail", F.lit(most))).write.mode("append").parquet(path)
+
+
+def digest_page(entries: DataFrame, subject: str, as_of: str, text: str = "html", footer: str = "") -> DataFrame:
+    """One row: the HTML page of a bounded digest (place and `text`, HTML already), headed by its subject, time and number of matches."""
+    rows = entries.agg(F.array_sort(F.collect_list(F.struct("place", F.col(text).alias("t")))).alias("x"))
+    head = f"<!DOCTYPE html><html><head><meta charset=\"utf-8\"><title>{html.escape(subject)}</title></head><body><h2>{html.escape(subject)}</h2><p>{html.escape(as_of)} · "
+    return rows.select(F.concat(F.lit(head), F.size("x").cast("string"), F.lit(" matches</p>"), F.array_join(F.transform("x", lambda e: e["t"]), ""), F.lit(f"<footer>{html.escape(footer)}</footer></body></html>")).alias("page"))
 
 
 def send_file(digest: DataFrame, folder: str, text: str = "markdown") -> None:
