@@ -55,6 +55,19 @@ def upsert_outcomes(batch: DataFrame, archive: DataFrame, key: str = "url_key",
     return out.unionByName(bad.select("id", F.lit("rejected").alias("outcome"), F.lit(None).cast("string").alias("change_type"), F.lit(0).cast("long").alias("times_seen"), F.lit("").alias("sources")))
 
 
+def pages_to_read(candidates: DataFrame, archive: DataFrame, url: str = "url", page_hash: str = "page_hash") -> DataFrame:
+    """The rows of `candidates` (source, url, page_hash) whose page says something new.
+
+    A page is known if the archive has a row of that hash (`content_hash`) at that address, which may be its own or one of its `alt_urls`, and the
+    candidate's source has published that row (as `source` or in `seen_in`). Rows without a hash, on either side, know nothing; addresses are
+    compared as given. One anti join by source, address and hash, for which each archive row is spread over its few addresses and publishers.
+    """
+    spread = archive.where("content_hash IS NOT NULL").select(
+        F.col("content_hash").alias("_h"), F.explode(F.array_distinct(F.array_union(F.array(url), F.coalesce("alt_urls", F.array().cast("array<string>"))))).alias("_u"), "source", "seen_in")
+    known = spread.select("_h", "_u", F.explode(F.array_distinct(F.array_append(F.split(F.coalesce("seen_in", F.lit("")), ","), F.col("source")))).alias("_s"))
+    return candidates.join(known, (F.col(page_hash) == F.col("_h")) & (candidates[url] == F.col("_u")) & (candidates["source"] == F.col("_s")), "left_anti")
+
+
 #: What an archive keeps of a row besides what its batches say.
 STATE = {"seen_in": "string", "first_seen": "timestamp", "last_seen": "timestamp", "times_seen": "long", "change_type": "string", "changed": "boolean",
          "is_new": "boolean", "notified": "boolean", "alt_urls": "array<string>"}

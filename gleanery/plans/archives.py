@@ -51,3 +51,17 @@ def upsert_rows(spark, sf_dir):
 def upsert_counts(spark, sf_dir):
     """What became of the rows of the batch, twins within the batch included."""
     return _merged(spark, sf_dir)[1].groupBy("outcome", "change_type").agg(F.count("*").alias("n"))
+
+
+ALT, HASH = "'https://alt.example.org/' || id", "sha256(title || CASE WHEN id % 4 = 0 THEN '!' ELSE '' END)"
+
+
+@query(f"""WITH a AS (SELECT [url, {ALT}] AS urls, list_append(string_split(seen_in, ','), source) AS publishers, sha256(title) AS h FROM opps WHERE status = 'active' AND id % 5 <> 0),
+c AS (SELECT id, CASE WHEN id % 7 = 0 THEN '1-URGENT' ELSE source END AS source, CASE WHEN id % 3 = 0 THEN {ALT} ELSE url END AS url, {HASH} AS h FROM opps)
+SELECT id, source, url FROM c WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.h = c.h AND list_contains(a.urls, c.url) AND list_contains(a.publishers, c.source))""")
+def pages_to_read(spark, sf_dir):
+    """Candidates whose page isn't stored already: by address or alternative address, hash and publisher."""
+    o = opportunities(spark, sf_dir)
+    stored = o.where("status = 'active'").select("url", "source", "seen_in", F.expr("IF(id % 5 <> 0, sha2(title, 256), NULL)").alias("content_hash"), F.array(F.expr(ALT)).alias("alt_urls"))
+    found = o.select("id", F.expr("IF(id % 7 = 0, '1-URGENT', source)").alias("source"), F.expr(f"IF(id % 3 = 0, {ALT}, url)").alias("url"), F.expr(HASH.replace("sha256(", "sha2(")[:-1] + ", 256)").alias("page_hash"))
+    return archive.pages_to_read(found, stored).select("id", "source", "url")

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gleanery.functions.identity import clean_title
+
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 SHARES = re.compile(r"\b(share|tweet|pin it|whatsapp|facebook)\b", re.I)
 
@@ -153,12 +155,22 @@ def html_table(pages: DataFrame, source: str, row: str = "tr", columns: dict[str
 
 
 def feed(spark: SparkSession, path: str, source: str, limit: int = 40) -> DataFrame:
-    """Candidates of RSS items and Atom entries: source, pos, title, url, text; those without title or link go."""
-    rss = spark.read.format("xml").option("rowTag", "item").schema("title string, link string, description string").load(path)
-    atom = spark.read.format("xml").option("rowTag", "entry").schema("title string, link struct<_href:string>, summary string").load(path)
-    rows = rss.select("title", F.trim("link").alias("url"), F.col("description").alias("text")).unionByName(atom.select("title", F.col("link._href").alias("url"), F.col("summary").alias("text")))
-    rows = rows.where("title <> '' AND url <> ''").withColumn("pos", F.monotonically_increasing_id())
-    return rows.orderBy("pos").limit(limit).select(F.lit(source).alias("source"), "pos", F.trim("title").alias("title"), "url", "text")
+    """Candidates of RSS items and Atom entries: source, pos, title, url, text; those without title or link go.
+
+    Titles lose site names behind them; of several links of an entry the alternate or else the first counts; text is what the entry says (title,
+    link, date, summary, categories), one a line, without markup and whole. A file that is no feed gives nothing.
+    """
+    say = "title string, description string, summary string, content string, date string, published string, updated string, category array<struct<_VALUE: string, _term: string>>, "
+    rss = spark.read.format("xml").option("rowTag", "item").schema(say + "link string").load(path).withColumn("url", F.trim("link"))
+    atom = spark.read.format("xml").option("rowTag", "entry").schema(say + "link array<struct<_href: string, _rel: string>>").load(path)
+    links = F.filter("link", lambda x: x["_href"] != "")
+    atom = atom.withColumn("url", F.coalesce(F.get(F.filter(links, lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate"), F.lit(0)), F.get(links, F.lit(0)))["_href"])
+    rows = rss.drop("link").unionByName(atom.drop("link")).withColumn("pos", F.monotonically_increasing_id())
+    plain = lambda c: F.nullif(F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", " "), r"\s+", " ")), F.lit(""))
+    named = F.transform("category", lambda x: F.coalesce(x["_VALUE"], x["_term"]))
+    text = F.concat_ws("\n", plain("title"), "url", F.coalesce("published", "date", "updated"), *[plain(c) for c in ("description", "summary", "content")], F.nullif(F.concat_ws("\n", named), F.lit("")))
+    out = rows.select(F.lit(source).alias("source"), "pos", clean_title(plain("title")).alias("title"), "url", text.alias("text"))
+    return out.where("title <> '' AND url <> ''").orderBy("pos").limit(limit)
 
 
 def json_path(dotted: str) -> str:

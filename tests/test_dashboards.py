@@ -3,8 +3,8 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from gleanery.functions import notices
-from gleanery.operators import browse, delivery, telemetry
-from gleanery.sources import writers
+from gleanery.operators import archive, browse, delivery, telemetry
+from gleanery.sources import readers, writers
 
 ROWS = [(1, "a", 50.0, "active", None, True, "strong", True, 10.0, datetime(2027, 1, 2)), (2, "b", 70.0, "active", True, None, "low", True, None, None),
         (3, "c", None, "expired", False, None, None, False, 99.0, datetime(2026, 1, 1)), (4, "d", 50.0, "active", False, None, None, None, 5.0, datetime(2027, 1, 1))]
@@ -83,3 +83,24 @@ def test_html_is_escaped(spark):
 def test_last_of_recent(spark):
     df = spark.createDataFrame([(i, i % 3, i * 1.0) for i in range(10)], "id long, source long, cost double")
     assert sorted((r["source"], r["cost"]) for r in telemetry.recent_per(df, "source", "id", 2).collect()) == [(0, 9.0), (2, 8.0)]
+
+
+def test_feeds(spark, tmp_path):
+    (tmp_path / "rss.xml").write_text("""<?xml version="1.0"?><rss><channel><title>Site</title>
+<item><title>Grants  for &amp; by all | Site Name</title><link> https://e.org/1 </link><description><![CDATA[<p>Up to <b>5</b></p>]]></description><category>a</category><category>b</category></item>
+<item><title>no link</title></item><item><link>https://e.org/2</link></item><item><title> </title><link>https://e.org/3</link></item></channel></rss>""")
+    (tmp_path / "atom.xml").write_text("""<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>Two</title><link rel="self" href="https://e.org/s"/><link href="https://e.org/4"/>
+<published>2027-01-01</published><summary>s</summary><category term="t"/></entry><entry><title>Three</title><link rel="edit" href="https://e.org/5"/></entry></feed>""")
+    (tmp_path / "none.xml").write_text("no feed")
+    got = [(r["title"], r["url"], r["text"]) for r in readers.feed(spark, str(tmp_path), "f").collect()]
+    assert sorted(got) == [("Grants for & by all", "https://e.org/1", "Grants for & by all | Site Name\nhttps://e.org/1\nUp to 5\na\nb"), ("Three", "https://e.org/5", "Three\nhttps://e.org/5"),
+                           ("Two", "https://e.org/4", "Two\nhttps://e.org/4\n2027-01-01\ns\nt")]
+    assert readers.feed(spark, str(tmp_path / "atom.xml"), "f", 1).count() == 1
+
+
+def test_pages_to_read(spark):
+    kept = spark.createDataFrame([("u", "s", "t,s", "h", ["v"]), ("w", "s", None, None, None), ("x", None, "", "h", None), ("y", "q", "q", "h", [])], "url string, source string, seen_in string, content_hash string, alt_urls array<string>")
+    found = spark.createDataFrame([(1, "s", "u", "h"), (2, "t", "v", "h"), (3, "r", "u", "h"), (4, "s", "u", "new"), (5, "s", "w", "h"), (6, "s", "x", "h"), (7, "q", "y", None), (8, None, "u", "h"), (9, "q", None, "h"), (10, "q", "y", "h"), (10, "q", "y", "h")],
+                                  "id long, source string, url string, page_hash string")
+    assert sorted(r["id"] for r in archive.pages_to_read(found, kept).collect()) == [3, 4, 5, 6, 7, 8, 9]
+    assert archive.pages_to_read(found, kept.limit(0)).count() == 11
