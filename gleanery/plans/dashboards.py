@@ -10,6 +10,7 @@ from gleanery.operators import browse, delivery, ranking, telemetry
 from gleanery.plans.notices import DIGEST
 from gleanery.plans.registry import S, query, scored
 from gleanery.session import table
+from gleanery.sources import writers
 
 #: Columns of a listing that the opportunity view lacks, in both dialects.
 MORE = {
@@ -85,3 +86,12 @@ def digest_html(spark, sf_dir):
     best = ranking.digest_rows(scored(spark, sf_dir), 45, 25)
     place = F.row_number().over(Window.orderBy(F.desc("score"), F.coalesce("days_left", F.lit(9999)), "id"))  # of 25 rows
     return best.withColumn("place", place).select("id", "place", notices.digest_html(F.col("place").cast("string")).alias("html"))
+
+
+@query(S + """ SELECT id, '<tr data-tier="' || tier || '" data-country="' || coalesce(country, '') || '" data-fundingtype="' || funding_type || '" data-source="' || source || '"><td>' || format('{:.1f}', floor(score * 10 + 0.5000001) / 10) || '</td><td>' || tier
+    || '</td><td><a href="' || replace(url, '&', '&amp;') || '">' || title || '</a></td><td>' || coalesce(country, '') || '</td><td>' || coalesce(degree_level, '') || '</td><td>' || coalesce(field, '') || '</td><td>' || funding_type || '</td><td>'
+    || coalesce(amount_text, '') || '</td><td>' || coalesce(strftime(deadline, '%Y-%m-%d'), 'rolling') || '</td><td>' || source || '</td><td>' || status || '</td></tr>' AS html FROM scored WHERE status = 'active'""")
+def report_rows_html(spark, sf_dir):
+    """Every active row as the HTML report shows it."""
+    rows = scored(spark, sf_dir).where("status = 'active'")
+    return rows.select("id", writers.html_row(rows.columns).alias("html"))

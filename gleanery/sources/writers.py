@@ -7,6 +7,8 @@ import html
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleanery.functions import notices
+
 #: The columns of the CSV report, in order.
 CSV_COLUMNS = ("id", "title", "source", "country", "degree_level", "field", "funding_type", "amount_usd", "amount_text", "deadline", "days_left", "score", "tier", "confidence", "url", "status")
 
@@ -34,11 +36,45 @@ def markdown(df: DataFrame, top: int = 40) -> DataFrame:
     return lines.select(F.array_join(F.transform("x", lambda e: e["line"]), "\n").alias("markdown"))
 
 
+#: The columns of the HTML report, and those by which a reader can narrow it.
+HTML_COLUMNS, HTML_FACETS = ("score", "tier", "title", "country", "degree_level", "field", "funding_type", "amount_text", "deadline", "source", "status"), ("tier", "country", "funding_type", "source")
+NARROW = """<script>
+const boxes = [...document.querySelectorAll("[data-by]")], fits = (row, box) => !box.value
+  || (box.dataset.by === "text" ? row.textContent.toLowerCase().includes(box.value.toLowerCase()) : row.dataset[box.dataset.by] === box.value);
+const narrow = () => document.querySelectorAll("tbody tr").forEach(row => { row.hidden = !boxes.every(box => fits(row, box)); });
+boxes.forEach(box => { box.oninput = narrow; });
+</script>"""
+
+
+def html_row(columns: list[str]) -> Column:
+    """A row of the HTML report from a frame with `columns`: a cell for each of HTML_COLUMNS (empty where it is null or missing), its title a link, its facets as attributes."""
+    plain = lambda c: notices.escaped(F.coalesce(F.col(c).cast("string"), F.lit(""))) if c in columns else F.lit("")
+    cells = {c: plain(c) for c in HTML_COLUMNS}
+    cells["score"] = F.when(F.col("score").isNull(), "").otherwise(F.format_string("%.1f", F.floor(F.col("score") * 10 + 0.5000001) / 10))
+    if "deadline" in columns:
+        cells["deadline"] = F.coalesce(F.date_format("deadline", "yyyy-MM-dd"), F.lit("rolling"))
+    if "url" in columns:  # other schemes than the web's are no links
+        cells["title"] = F.when(F.col("url").rlike("(?i)^https?://"), F.concat(F.lit('<a href="'), plain("url"), F.lit('">'), cells["title"], F.lit("</a>"))).otherwise(cells["title"])
+    marks = [F.concat(F.lit(f' data-{c.replace("_", "")}="'), plain(c), F.lit('"')) for c in HTML_FACETS]
+    return F.concat(F.lit("<tr"), *marks, F.lit(">"), *[F.concat(F.lit("<td>"), cells[c], F.lit("</td>")) for c in HTML_COLUMNS], F.lit("</tr>"))
+
+
+def html_report(df: DataFrame, as_of: str = "", top: int = 400) -> DataFrame:
+    """One row: the page of the best `top` rows, complete in itself, with a search box and a choice by each of HTML_FACETS."""
+    order = [F.desc("score"), F.asc_nulls_last("deadline") if "deadline" in df.columns else F.desc("score"), F.col("id")]
+    best = df.orderBy(*order).limit(top).withColumn("_place", F.row_number().over(Window.orderBy(*order)))  # of `top` rows
+    facets = [c for c in HTML_FACETS if c in df.columns]
+    x = best.agg(F.array_sort(F.collect_list(F.struct(F.col("_place").alias("place"), html_row(df.columns).alias("t")))).alias("rows"), *[F.array_sort(F.collect_set(F.nullif(F.col(c), F.lit("")))).alias(c) for c in facets])
+    option = lambda v: F.concat(F.lit("<option>"), notices.escaped(v), F.lit("</option>"))
+    choice = [F.concat(F.lit(f'<select data-by="{c.replace("_", "")}"><option value="">{c.replace("_", " ")}</option>'), F.array_join(F.transform(c, option), ""), F.lit("</select>")) for c in facets]
+    head = f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>Report</title></head><body><p>{html.escape(as_of)}</p><input data-by="text" placeholder="search">'
+    heads = "".join(f"<th>{c.replace('_', ' ')}</th>" for c in HTML_COLUMNS)
+    return x.select(F.concat(F.lit(head), *choice, F.lit(f"<table><thead><tr>{heads}</tr></thead><tbody>"), F.array_join(F.transform("rows", lambda r: r["t"]), "\n"), F.lit(f"</tbody></table>{NARROW}</body></html>")).alias("page"))
+
+
 def html_page(df: DataFrame, top: int = 400) -> str:
-    """A static page of the best `top`, which the driver writes."""
-    rows = df.orderBy(F.desc("score"), F.asc_nulls_last("deadline"), "id").limit(top).collect()
-    body = "".join(f"<tr><td>{html.escape(str(r['title']))}</td><td>{html.escape(str(r['country'] or ''))}</td><td>{r['score']}</td><td>{r['tier']}</td></tr>" for r in rows)
-    return f"<!DOCTYPE html><html><head><meta charset=\"utf-8\"><title>Report</title></head><body><table>{body}</table></body></html>"
+    """The HTML report of the best `top`, which the driver writes."""
+    return html_report(df, top=top).first()[0]
 
 
 def chunked(text: Column, size: int = 3500, most: int = 4) -> Column:

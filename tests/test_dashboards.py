@@ -104,3 +104,16 @@ def test_pages_to_read(spark):
                                   "id long, source string, url string, page_hash string")
     assert sorted(r["id"] for r in archive.pages_to_read(found, kept).collect()) == [3, 4, 5, 6, 7, 8, 9]
     assert archive.pages_to_read(found, kept.limit(0)).count() == 11
+
+
+def test_html_report(spark):
+    df = spark.createDataFrame([(1, "A <1>", 61.25, "low", "Chad", "https://e.org/?a=1&b=2", datetime(2027, 1, 2)), (2, "B", 80.0, "strong", None, "javascript:x()", None), (3, "C", None, "low", "Chad", None, None)],
+                               "id long, title string, score double, tier string, country string, url string, deadline timestamp_ntz")
+    page = writers.html_report(df, "2027-01-01 <now>", 2).first()["page"]
+    rows = page[page.index("<tbody>") + 7:page.index("</tbody>")].split("\n")
+    assert rows == ['<tr data-tier="strong" data-country="" data-fundingtype="" data-source=""><td>80.0</td><td>strong</td><td>B</td><td></td><td></td><td></td><td></td><td></td><td>rolling</td><td></td><td></td></tr>',
+                    '<tr data-tier="low" data-country="Chad" data-fundingtype="" data-source=""><td>61.3</td><td>low</td><td><a href="https://e.org/?a=1&amp;b=2">A &lt;1&gt;</a></td><td>Chad</td><td></td><td></td><td></td><td></td><td>2027-01-02</td><td></td><td></td></tr>']
+    assert '<select data-by="tier"><option value="">tier</option><option>low</option><option>strong</option></select>' in page and "2027-01-01 &lt;now&gt;" in page and page.endswith("</script></body></html>")
+    assert "<tbody></tbody>" in writers.html_report(df.limit(0)).first()["page"]
+    everything = writers.html_report(df).first()["page"]
+    assert everything.count("<tr data-") == 3 and "<td></td><td>low</td><td>C</td>" in everything
