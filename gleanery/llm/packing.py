@@ -231,7 +231,7 @@ def pack(items: DataFrame, size: int = 1024, slack: int = 2, fan_in: int = 16, c
     `fan_in` the groups that meet in a round (about, as a hash assigns them), `chunk` the pieces of a group of the first round. An underfull bin
     goes up by the pieces in it, as a whole it would fit in next to no other (bins of 600 meet bins of 2 * 424). Repeated rows are
     items of their own. An empty table gives an empty table. A task holds a chunk's pieces, or the counts of `size` lengths a group. Rounds
-    grow with the logarithm of the number of chunks and touch counts alone; pieces are shuffled once.
+    grow with the logarithm of the number of chunks and touch counts alone; pieces are written twice and shuffled once.
     """
     kind = dict(items.dtypes)["doc_id"]
     plain = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
@@ -246,7 +246,9 @@ def pack(items: DataFrame, size: int = 1024, slack: int = 2, fan_in: int = 16, c
             yield batch.assign(chunk=np.int64(grp), nth=seen[n] + batch.groupby("length").cumcount().to_numpy())
             seen += np.bincount(n, minlength=size + 1)
 
-    table = written(items.select(*columns).mapInPandas(numbered, f"{plain}, chunk long, nth long"), "pack")
+    # written before they are numbered: two Python steps in one task would take two workers, and each worker comes to keep the encoder of `pieces`
+    items = written(items.select(*columns), "pieces")
+    table = written(items.mapInPandas(numbered, f"{plain}, chunk long, nth long"), "pack")
     # what a chunk has left of a length: the items lo to lo + n - 1 of its group
     spans = written(table.groupBy("chunk", "length").agg(F.count("*").alias("n")).select(
         "chunk", F.col("chunk").alias("grp"), "length", F.lit(0).cast("long").alias("lo"), "n"), "spans")

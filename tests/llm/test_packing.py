@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from gleanery.llm import packing
 from gleanery.llm.packing import best_fit, best_fit_runs, emitted_runs, encoder, pack, pieces
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -142,3 +143,19 @@ def test_many_rounds_lose_nothing_and_stay_near_best_fit(spark):
     assert sorted(r["ids_crc32"] for r in out) == list(range(6000))
     n, best = held(out, 1024), best_fit(lengths, 1024)[2]
     assert n <= 1.01 * best + 1, (n, best)
+
+
+def test_a_task_needs_one_python_worker(spark, monkeypatch):
+    """Workers are kept and any of them may be given the encoding next, so a second one in a task keeps a second encoder."""
+    plans, real = [], packing.written
+
+    def noted(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(packing, "written", noted)
+    df = spark.createDataFrame([(i, "a b c " * i) for i in range(9)], "doc_id long, text string")
+    out = pack(pieces(df, PATH, 1024, 2))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert sum("MapInPandas" in p for p in plans) == 2 and max(p.count("InPandas") for p in plans) == 1
+    assert held(out.collect(), 1024) == 1
