@@ -22,7 +22,8 @@ from gleanery.llm.common import small_batches, written
 
 #: Weight of a word that was never seen, and bytes of a word's ending that make its class.
 UNSEEN, ENDING = 0.1, 3
-BLOCK, MOST_TOKENS = 128, 1_200_000
+#: Steps in a block of the recursions, symbols in a portion of the documents that run through them together, and those sorted for it.
+BLOCK, PORTION, MOST_TOKENS = 65_536, 300_000, 1_200_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -50,61 +51,74 @@ class Hmm:
             flat[at[:len(docs[i])] + row] = docs[i]
         return order, flat, at
 
+    def _emitted(self, flat: np.ndarray) -> np.ndarray:
+        """The probability of each symbol of `flat` by state, states x symbols: sums and quotients then run along the long side."""
+        return np.take(np.ascontiguousarray(self.emit.T), flat, axis=1)
+
+    def _forward(self, emitted: np.ndarray, at: np.ndarray, first: int, last: int, a: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Scaled forward states (states x symbols) of the steps from `first` to before `last`, and their scales; `a`: states of the step before."""
+        alphas, scales, across, o = np.empty_like(emitted), np.empty(emitted.shape[1]), np.ascontiguousarray(self.move.T), at[first]
+        for t in range(first, last):
+            x, y = at[t] - o, at[t + 1] - o
+            now = alphas[:, x:y]
+            now[:] = self.start[:, None] if t == 0 else across @ a[:, :y - x]
+            now *= emitted[:, x:y]
+            now.sum(0, out=scales[x:y])
+            now /= scales[x:y]
+            a = now
+        return alphas, scales
+
     def log10(self, docs: list[np.ndarray]) -> np.ndarray:
         """log10 of the probability of each symbol sequence, by scaled forward recursion."""
         order, flat, at = self._time_major(docs)
-        total, a = np.zeros(len(docs)), None
-        for t in range(len(at) - 1):
-            a = (np.broadcast_to(self.start, (at[1], len(self.start))) if t == 0 else a[:at[t + 1] - at[t]] @ self.move) * self.emit[flat[at[t]:at[t + 1]]]
-            c = a.sum(1)
-            total[:len(c)] += np.log10(c)
-            a = a / c[:, None]
+        total, a, steps = np.zeros(len(docs)), None, len(at) - 1
+        for first in range(0, steps, BLOCK):
+            last = min(steps, first + BLOCK)
+            alphas, scales = self._forward(self._emitted(flat[at[first]:at[last]]), at, first, last, a)
+            a, logs = alphas[:, at[last - 1] - at[first]:].copy(), np.log10(scales)
+            for t in range(first, last):
+                total[:at[t + 1] - at[t]] += logs[at[t] - at[first]:at[t + 1] - at[first]]
         out = np.empty(len(docs))
         out[order] = total
         return out
 
     def expect(self, docs: list[np.ndarray], counts: tuple[np.ndarray, np.ndarray, np.ndarray]) -> float:
         """Adds the expected counts of `docs` to (start, move, emit); returns their log10 likelihood. Forward states are
-        kept at block ends only and computed again block by block, so memory does not grow with a text's length."""
+        kept at block ends only and computed again block by block, so memory does not grow with a text's length; where one
+        block holds all steps, they are computed once."""
         starts, moves, emits = counts
         _, flat, at = self._time_major(docs)
         steps, k, likelihood = len(at) - 1, len(self.start), 0.0
-
-        def forward(a: np.ndarray | None, t: int) -> tuple[np.ndarray, np.ndarray]:
-            a = (np.broadcast_to(self.start, (at[1], k)) if t == 0 else a[:at[t + 1] - at[t]] @ self.move) * self.emit[flat[at[t]:at[t + 1]]]
-            c = a.sum(1)
-            return a / c[:, None], c
-
-        saved, a = [], None
-        for t in range(steps):
-            if t % BLOCK == 0:
-                saved.append(a)
-            a, _ = forward(a, t)
-        beta = np.ones((0, k))
-        for b in reversed(range(len(saved))):
-            first, last = b * BLOCK, min(steps, b * BLOCK + BLOCK)
-            alphas, scales, a = [], [], saved[b]
-            for t in range(first, last):
-                a, c = forward(a, t)
-                alphas.append(a)
-                scales.append(c)
-                likelihood += np.log10(c).sum()
-            gammas = []
-            for t in reversed(range(first, last)):
-                n = at[t + 1] - at[t]
-                if len(beta) < n:  # documents that end here
-                    beta = np.concatenate([beta, np.ones((n - len(beta), k))])
-                gammas.append(alphas[t - first] * beta)
-                if t:
-                    ahead = self.emit[flat[at[t]:at[t + 1]]] * beta / scales[t - first][:, None]
-                    before = alphas[t - 1 - first] if t > first else saved[b]
-                    moves += self.move * (before[:n].T @ ahead)
-                    beta = ahead @ self.move.T
+        edges = [*range(0, steps, BLOCK), steps]
+        saved: list[np.ndarray | None] = [None]  # the states before each block
+        for first, last in zip(edges, edges[1:-1], strict=False):
+            alphas, _ = self._forward(self._emitted(flat[at[first]:at[last]]), at, first, last, saved[-1])
+            saved.append(alphas[:, at[last - 1] - at[first]:].copy())
+        carried = np.ones((k, 0))
+        for before, first, last in zip(saved[::-1], edges[-2::-1], edges[:0:-1], strict=True):
+            symbols, o = flat[at[first]:at[last]], at[first]
+            ahead = self._emitted(symbols)
+            alphas, scales = self._forward(ahead, at, first, last, before)
+            likelihood += np.log10(scales).sum()
+            ahead /= scales
+            betas = np.ones_like(ahead)  # where documents end they stay 1
+            betas[:, at[last - 1] - o:][:, :carried.shape[1]] = carried
+            for t in reversed(range(max(first, 1), last)):
+                x, y = at[t] - o, at[t + 1] - o
+                now = ahead[:, x:y]
+                now *= betas[:, x:y]
+                carried = self.move @ now
+                if t > first:
+                    then = at[t - 1] - o
+                    betas[:, then:then + y - x] = carried
+                    moves += self.move * (alphas[:, then:then + y - x] @ now.T)
                 else:
-                    starts += gammas[-1].sum(0)
-            g, s = np.concatenate(gammas[::-1]), flat[at[first]:at[last]]
+                    moves += self.move * (before[:, :y - x] @ now.T)
+            betas *= alphas  # the states' probabilities
+            if first == 0:
+                starts += betas[:, :at[1]].sum(1)
             for i in range(k):
-                emits[:, i] += np.bincount(s, weights=g[:, i], minlength=len(emits))
+                emits[:, i] += np.bincount(symbols, weights=betas[i], minlength=len(emits))
         return likelihood
 
     def zeros(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -117,16 +131,27 @@ class Hmm:
 
 
 def portions(docs: Iterable[np.ndarray]) -> Iterator[list[np.ndarray]]:
-    """`docs` in lists of about MOST_TOKENS symbols at most."""
-    part, n = [], 0
-    for d in docs:
-        if part and n + len(d) > MOST_TOKENS:
+    """`docs` in lists of about PORTION symbols at most, those of like length together, as a list takes as many steps as its longest
+    document: among each MOST_TOKENS symbols the longest come first, and equal ones in their order."""
+    def cut(held: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
+        part, n = [], 0
+        for d in sorted(held, key=len, reverse=True):
+            if part and n + len(d) > PORTION:
+                yield part
+                part, n = [], 0
+            part.append(d)
+            n += len(d)
+        if part:
             yield part
-            part, n = [], 0
-        part.append(d)
+
+    held, n = [], 0
+    for d in docs:
+        held.append(d)
         n += len(d)
-    if part:
-        yield part
+        if n >= MOST_TOKENS:
+            yield from cut(held)
+            held, n = [], 0
+    yield from cut(held)
 
 
 def symbols_of(blob: bytes) -> np.ndarray:
@@ -231,7 +256,7 @@ def score(df: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "tex
         held, n = [], 0
 
         def flush() -> pd.DataFrame:
-            rows = pd.concat(held, ignore_index=True)
+            rows = pd.concat(held).sort_values("n", ascending=False, kind="stable", ignore_index=True)  # the order of `portions`
             logs = [last.value.log10(p) for p in portions(map(symbols_of, rows["s"]))]
             return rows.drop(columns="s").assign(hmm=np.concatenate(logs))
 

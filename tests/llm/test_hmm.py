@@ -119,3 +119,18 @@ def test_score_end_to_end_by_brute_force(spark, monkeypatch):
             tail += 0 if w in top else math.log10((c[w] + 0.1) / (mass[k] + 0.1 * (kinds[k] + 1)))
         want = math.log10(brute(kept[-1], [*symbols, frequent + classes])) + tail
         assert math.isclose(got[i]["score"], want, rel_tol=1e-9), (t, got[i]["score"], want)
+
+
+def test_states_are_computed_once_and_documents_of_like_length_run_together(monkeypatch):
+    model, r = small(4), np.random.default_rng(1)
+    docs = [r.integers(0, 3, n) for n in (300, 2, 290, 300, 5, 1)]
+    want = [np.zeros_like(x) for x in model.zeros()]
+    likelihood = sum(model.expect([d], want) for d in docs)
+    monkeypatch.setattr(H, "PORTION", 600, raising=False)
+    parts = [[len(d) for d in p] for p in H.portions(docs)]
+    assert parts == [[300, 300], [290, 5, 2, 1]]
+    calls, real, got = [], H.Hmm._forward, model.zeros()
+    monkeypatch.setattr(H.Hmm, "_forward", lambda self, *a: calls.append(a[2:4]) or real(self, *a))
+    assert np.isclose(sum(model.expect(p, got) for p in H.portions(docs)), likelihood)
+    assert calls == [(0, 300), (0, 290)]  # once for each list
+    assert all(np.allclose(a, b) for a, b in zip(got, want, strict=True))
