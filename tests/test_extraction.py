@@ -112,3 +112,18 @@ def test_chunks_by_brute_force(spark):
             texts[texts.index(t)] = (t, t_want)
         for row in spark.createDataFrame(texts, "t string, want array<string>").select(chunked(F.col("t"), size, most).alias("got"), "want").collect():
             assert row["got"] == row["want"]
+
+
+def test_typed_labels_are_dealt_out(spark):
+    """One input file is not one task: each of the session's partitions has rows."""
+    from gleanery.plans.queries import QUERIES
+
+    rows = QUERIES["labels_typed"](spark, "/root/testdata/sf0.001")
+    assert rows.select(F.spark_partition_id().alias("p")).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_labels_at_the_edges_of_lines(spark):
+    lines = ["  Study in :  Norway  \r\n\n \t Level -  PhD \r\nSubject: law\rlatin\nHOST  COUNTRY: Peru\n" + "Amount: " + "9" * 112 + "\nBenefits: " + "9" * 111, "Value:\r\n\r\n a \n b\tc  d\r", "what the scholarship: x\nWho: y\nlevel of it: z",
+             "Deadline: 5 May\n1999 or so\nClosing date: 1 May 1999\n2000", ":\nA: 1\n\u0001Level: 2\nlevel: \u2028"]
+    got = over(spark, labels.label_values, lines)
+    assert got == [{"country": "Norway Peru", "level": "PhD", "value": "9" * 112}, {"value": "a b c d"}, {"value": "x", "level": "z"}, {"deadline": "5 May 1999 or so 1 May 1999 2000"}, {}], got
