@@ -127,3 +127,20 @@ def test_labels_at_the_edges_of_lines(spark):
              "Deadline: 5 May\n1999 or so\nClosing date: 1 May 1999\n2000", ":\nA: 1\n\u0001Level: 2\nlevel: \u2028"]
     got = over(spark, labels.label_values, lines)
     assert got == [{"country": "Norway Peru", "level": "PhD", "value": "9" * 112}, {"value": "a b c d"}, {"value": "x", "level": "z"}, {"deadline": "5 May 1999 or so 1 May 1999 2000"}, {}], got
+
+
+def test_a_record_takes_one_pass_and_no_field_that_is_not_selected(spark):
+    """The input is read once, countries are met within the row, and steps of fields that a query leaves out are not in its plan."""
+    from gleanery.plans.queries import QUERIES
+
+    plan = QUERIES["extract_all"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [o_orderkey") == 1 and "Generate" not in plan and "collect_list" not in plan
+    assert all(f" AS {step}#" not in plan for step in ("_fields", "_covered", "_funding", "_s_benefits", "record"))
+
+
+def test_what_the_text_says_counts_where_neither_label_nor_reader_does(spark):
+    rows = [("Deadline: soon\nWe close on 3 May 2027, apply by 2 May 2027. €100 per month, study in Peru, a PhD.", None), ("Benefits: none\nLevel: x\nStudy in: ?\nValue of 20 USD per week for a bachelor of Kenya", "$5,000"), ("Deadline: 1 June 2027\nAward: $900\nCountry: Chad\nLevel: PhD\nThe last date is 1 May 2027, €9,000, study in Peru, for a master", "none")]
+    df = spark.createDataFrame([(i, "Award", t, (a,)) for i, (t, a) in enumerate(rows)], "id long, title string, text string, pre struct<amount_text: string>")
+    got = [r["record"] for r in sorted(record.extracted(df, DAY, pre="pre").collect(), key=lambda r: r["id"])]
+    assert [(r["deadline"], r["amount_usd"], r["country"], r["degree_level"]) for r in got] == [
+        (date(2027, 5, 2), 1090.0, "Peru", "PhD"), (None, 5000.0, None, "Bachelor"), (date(2027, 6, 1), 900.0, "Chad", "PhD")], got
